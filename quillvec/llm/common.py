@@ -15,10 +15,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillvec.ship import ship
+
 #: ASCII white space, which separates words.
 SPACE = "\\x20\\x09-\\x0D"
 
 
+def python_udf(kind: str) -> Callable:
+    """`pandas_udf`, with this package on the executors."""
+    ship()
+    return F.pandas_udf(kind)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import components, durable, sorted_groups
+from quillvec.llm.common import components, durable, python_udf, sorted_groups
+from quillvec.ship import ship
 
 SEED = 42
 BLOCK = 1 << 16
@@ -62,7 +63,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprint_column(text: Column, shingle: int = 4) -> Column:
     """The fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
+    @python_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
@@ -155,6 +156,7 @@ def shard_masks(n: int, radius: int, target: int = 128) -> list[int]:
 
 def links(values: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
     """Rows `(a, b)` whose components are those of all links among `values(fp)`, distinct longs."""
+    ship(values.sparkSession)
     masks = shard_masks(values.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "part"))

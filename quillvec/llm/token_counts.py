@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillvec.llm.common import python_udf
+
 LETTER, DIGIT, OTHER, BLANK, WHITE = range(5)
 #: Bytes in a chunk, and in what is laid end to end at a time.
 CHUNK, SLAB, LEAST_SLAB = 512, 2 << 20, 1 << 16
@@ -318,7 +320,7 @@ def token_count_column(spark: SparkSession, text: Column, path: str) -> Column:
     """The number of tokens of `text` under the `tokenizers` file at `path`, read on the driver."""
     shared = spark.sparkContext.broadcast(Vocabulary.read(path))
 
-    @F.pandas_udf("long")
+    @python_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series(compiled(shared.value).counts([t or "" for t in texts]))
 
