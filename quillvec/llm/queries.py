@@ -8,13 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.llm import quality_classifier, quality_rules, simhash, token_counts, toxicity
+from quillvec.llm import line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spans_text(found: DataFrame, count: str) -> DataFrame:
+    """Digest columns of removed spans: how many, how many words, and `start-end` pairs."""
+    return found.select(
+        F.col("id").alias("doc_id"), F.col(count).cast("long").alias(count), F.size("spans").cast("long").alias("n_removed"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("words_removed"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), " ").alias("removed"),
+    )
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_text(substring_dedup.repeats(table(spark, sf_dir, "documents")), "n_units")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_text(line_dedup.repeats(table(spark, sf_dir, "documents")), "n_lines")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +55,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
