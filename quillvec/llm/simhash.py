@@ -195,10 +195,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each component: the least id's; equal rows once."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).distinct()
-    one = F.struct("_id").alias("_one")
-    stay = stay.groupBy(one).agg(F.min("_fp").alias("_fp")).select("_one._id", "_fp")
-    kept = docs.join(stay.select("_id"), docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-    return kept.dropDuplicates([id_col])
+    """`docs` with one document of each component, the one with the least id.
+
+    Of several rows with that id in a component one stays; a component without any id keeps one row.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    stay = found.select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
