@@ -19,15 +19,15 @@ class Rows:
     def __init__(self, index: list[np.ndarray], value: list[np.ndarray]):
         self.length = np.array([len(x) for x in index], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.index = np.concatenate(index).astype(np.int64) if index else np.zeros(0, np.int64)
-        self.value = np.concatenate(value).astype(np.float64) if value else np.zeros(0)
+        self.index = np.concatenate([*index, np.zeros(0, np.int32)]).astype(np.int32)
+        self.value = np.concatenate([*value, np.zeros(0, np.float32)]).astype(np.float32)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.value * weights[self.index])])
+        sums = np.concatenate([[0.0], np.cumsum(self.value * weights.astype(np.float32)[self.index], dtype=np.float64)])
         return sums[self.start + self.length] - sums[self.start]
 
     def back(self, pull: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, self.value * np.repeat(pull, self.length), size)
+        return np.bincount(self.index, self.value * np.repeat(pull.astype(np.float32), self.length), size)
 
 
 def adam(start: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int, rate: float) -> np.ndarray:

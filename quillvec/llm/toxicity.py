@@ -13,7 +13,7 @@ regression on votes and hashed words, which gives the score.
 
 What reaches the driver: one count for each pattern of votes seen (at most
 3 * 2 ** len(VOTERS), some hundreds in practice, however many rows there are) and
-`sample_rows` sparse feature rows.
+`fit_rows` sparse feature rows, drawn from `sample_rows` labelled ones.
 
 Null and empty texts are scored like any text without a vote.  Repeated rows are
 each scored alike.  An empty table gives no rows; without labels the label model
@@ -22,12 +22,12 @@ starts from the voters alone.  Other columns are never read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ OF = {w: k for k, (_, words) in enumerate(LEXICONS.items()) for w in words}
 AIMED = frozenset("you your you're youre yourself u he she they these those such what total complete absolute du ihr sie dieser tu eres usted ustedes este vous ces cet toi".split())
 VOTERS = [*LEXICONS, "aimed", "several", "dense", "shouted", "varied", "stem", "stems", "stem_dense", "none"]
 NONE = len(VOTERS) - 1
-LETTERS = regex.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 14
 #: Features that grow with the words that have an induced stem.
 DENSE = 2
@@ -71,28 +71,28 @@ class Stems(dict):
 
     def __init__(self, keys: frozenset[int] = frozenset()):
         self.keys_in = keys
+        self.lengths = sorted({k & 15 for k in keys})
 
     def __missing__(self, word: str) -> tuple[bool, int, int]:
         if len(self) >= REMEMBERED:
             self.clear()
-        hit = bool(self.keys_in) and not self.keys_in.isdisjoint(stem_keys(word))
+        hit = any((zlib.crc32((word if n == WHOLE else word[:n]).encode("utf-8", "surrogatepass")) << 4 | n) in self.keys_in for n in self.lengths if n == WHOLE or n <= len(word))
         found = self[word] = (hit, bucket(word, BUCKETS), bucket(word[:5], BUCKETS, 1))
         return found
 
 
-def induced(keys: list[np.ndarray], toxic: np.ndarray, least: int = 3, spare: float = 0.15) -> frozenset[int]:
-    """Stems that cover the toxic rows: each adds `least` rows or more, and its share of other rows is at most `spare`."""
-    if not toxic.any():
-        return frozenset()
-    every, count = np.unique(np.concatenate([k for k, t in zip(keys, toxic) if t]), return_counts=True)
-    every, count = every[count >= least], count[count >= least]
-    clean = np.zeros(len(every), np.int64)
-    for k in (k for k, t in zip(keys, toxic) if not t):
-        clean[np.intersect1d(every, k, assume_unique=True, return_indices=True)[1]] += 1
-    every = every[clean <= spare * count]
-    rows = [np.searchsorted(every, np.intersect1d(every, k, assume_unique=True)) for k, t in zip(keys, toxic) if t]
+def candidates(keys: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that `least` toxic rows or more have, ascending, and how many do."""
+    every, count = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
+    return every[count >= least].astype(np.int64), count[count >= least]
+
+
+def induced(keys: list[np.ndarray], clean: dict[int, int], least: int = 3, spare: float = 0.15) -> frozenset[int]:
+    """Stems that cover the toxic rows: each adds `least` rows or more, and has at most `spare` as many other rows (`clean`)."""
+    every, count = candidates(keys, least)
+    every = every[np.array([clean.get(k, 0) for k in every.tolist()], np.int64) <= spare * count]
     chosen = set()
-    open_rows = [r for r in rows if len(r)]
+    open_rows = [r for r in (np.flatnonzero(np.isin(every, k, assume_unique=True)) for k in keys) if len(r)]
     while open_rows:
         gain = np.bincount(np.concatenate(open_rows), minlength=len(every))
         if gain.max() < least:
@@ -104,36 +104,40 @@ def induced(keys: list[np.ndarray], toxic: np.ndarray, least: int = 3, spare: fl
     return frozenset(chosen)
 
 
-def look(text: str, stems: Stems) -> tuple[int, list[str]]:
-    """The votes on `text` as a bit mask, and its words."""
-    found = LETTERS.findall(text)
-    low = [w.lower() for w in found]
-    hits = [k for k, w in enumerate(low) if w in OF]
+def look(text: str, stems: Stems) -> tuple[int, set[str], int, int]:
+    """The votes on `text` as a bit mask, its distinct words, how many words have a stem, and how many there are."""
+    low = LETTERS.findall(text.lower())
+    distinct = set(low)
+    marked = {w for w in distinct if stems[w][0]}
+    hits = [w for w in distinct if w in OF]
     n = len(LEXICONS)
-    stemmed = sum(stems[w][0] for w in low)
+    stemmed = sum(w in marked for w in low) if marked else 0
     votes = (stemmed > 0) << n + 5 | (stemmed > 1) << n + 6 | (stemmed > 0 and 200 * stemmed >= len(low)) << n + 7
     if not hits:
-        return votes or 1 << NONE, low
-    for k in hits:
-        votes |= 1 << OF[low[k]]
-    votes |= any(w in AIMED for k in hits for w in low[max(0, k - 3) : k]) << n
-    votes |= (len(hits) >= 2) << n + 1
-    votes |= (50 * len(hits) >= len(low)) << n + 2
-    votes |= any(found[k].isupper() for k in hits) << n + 3
-    votes |= (len({low[k] for k in hits}) >= 2) << n + 4
-    return votes, low
+        return votes or 1 << NONE, distinct, stemmed, len(low)
+    for w in hits:
+        votes |= 1 << OF[w]
+    places = [k for k, w in enumerate(low) if w in OF]
+    votes |= any(w in AIMED for k in places for w in low[max(0, k - 3) : k]) << n
+    votes |= (len(places) >= 2) << n + 1
+    votes |= (50 * len(places) >= len(low)) << n + 2
+    votes |= any(w.upper() in text for w in hits) << n + 3
+    votes |= (len(hits) >= 2) << n + 4
+    return votes, distinct, stemmed, len(low)
 
 
 def features(text: str, stems: Stems) -> tuple[np.ndarray, np.ndarray]:
     """Votes at full weight, then how many words have an induced stem, then hashed words and stems at a small weight."""
-    votes, low = look(text, stems)
+    votes, distinct, stemmed, n = look(text, stems)
     own = [k for k in range(len(VOTERS)) if votes >> k & 1]
-    words = sorted({b for w in set(low) for b in stems[w][1:]})
-    weight = 0.3 / max(1, len(words)) ** 0.5
-    hits = sum(stems[w][0] for w in low)
-    dense = [np.log1p(hits), min(1.0, 50 * hits / max(1, len(low)))]
-    index = [0, *(1 + k for k in own), *(1 + len(VOTERS) + k for k in range(DENSE)), *(1 + len(VOTERS) + DENSE + w for w in words)]
-    return np.array(index), np.array([1.0] * (1 + len(own)) + dense + [weight] * len(words))
+    head = [0, *(1 + k for k in own), *(1 + len(VOTERS) + k for k in range(DENSE))]
+    index = np.empty(len(head) + 2 * len(distinct), np.int64)
+    index[: len(head)] = head
+    index[len(head) :] = [b for w in distinct for b in stems[w][1:]]
+    index[len(head) :] += 1 + len(VOTERS) + DENSE
+    value = np.full(len(index), 0.3 / max(1, 2 * len(distinct)) ** 0.5)
+    value[: len(head)] = [1.0] * (1 + len(own)) + [np.log1p(stemmed), min(1.0, 50 * stemmed / max(1, n))]
+    return index, value
 
 
 @dataclass
@@ -226,15 +230,29 @@ def votes_column(text: Column, keys: frozenset[int]) -> Column:
     return of(text)
 
 
-def stem_keys_column(text: Column) -> Column:
+def stem_keys_column(text: Column, among: np.ndarray | None = None) -> Column:
+    """The stem keys of the words of `text`, or those of them that are `among`."""
+
     @python_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
         words = (set(LETTERS.findall((t or "").lower())) for t in texts)
-        return pd.Series([sorted({k for w in ws for k in stem_keys(w)}) for ws in words], dtype=object)
+        keys = (np.array(sorted({k for w in ws for k in stem_keys(w)}), np.int64) for ws in words)
+        return pd.Series([k if among is None else k[among[np.minimum(np.searchsorted(among, k), len(among) - 1)] == k] for k in keys], dtype=object)
 
     return of(text)
 
 
+def induce(sample: DataFrame) -> frozenset[int]:
+    """Stems from `sample(gold, text)`; the driver gets the toxic rows' keys, and of the others counts of the same keys."""
+    toxic = [r.to_numpy(np.int64) for r in map(pd.Series, sample.where("gold = 1").select(stem_keys_column(F.col("text")).alias("keys")).toPandas()["keys"])]
+    least = max(3, len(toxic) // 100)
+    among, _ = candidates(toxic, least)
+    if not len(among):
+        return frozenset()
+    clean = sample.where("gold = 0").select(F.explode(stem_keys_column(F.col("text"), among)).alias("key")).groupBy("key").count().toPandas()
+    return induced(toxic, dict(zip(clean["key"].tolist(), clean["count"].tolist())), least)
+
+
 def score_column(text: Column, model: Model) -> Column:
     weights, keys = model.weights.astype(np.float32), model.stems
 
@@ -247,19 +265,18 @@ def score_column(text: Column, model: Model) -> Column:
     return of(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model for `docs`; labels of the held-out fold are not looked at."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("gold"))
     known = known.where(~held_out(F.col(id_col)))
     sample = durable(training_rows(docs, known, sample_rows, id_col, text_col))
-    seen = sample.select(id_col, "gold", stem_keys_column(F.col("text")).alias("keys")).orderBy(id_col).toPandas()
-    stems = induced(list(seen["keys"]), seen["gold"].to_numpy() == 1)
-    del seen
+    stems = induce(sample)
     votes = docs.select(F.col(id_col), votes_column(F.col(text_col), stems).alias("votes"))
     counted = votes.join(known, id_col, "left").groupBy("votes", F.coalesce("gold", F.lit(-1)).alias("gold")).count().orderBy("votes", "gold").toPandas()
     label_model = LabelModel.fit(*(counted[c].to_numpy(np.int64) for c in ("votes", "gold", "count")))
     shown = features_column(F.col("text"), lambda text, cache=Stems(stems): features(text, cache))
-    taken = sample.select(id_col, "gold", votes_column(F.col("text"), stems).alias("votes"), shown.alias("f")).select(id_col, "gold", "votes", "f.*").orderBy(id_col).toPandas()
+    part = sample.orderBy(F.xxhash64(F.lit("fit"), F.col(id_col)), id_col).limit(fit_rows)
+    taken = part.select(id_col, "gold", votes_column(F.col("text"), stems).alias("votes"), shown.alias("f")).select(id_col, "gold", "votes", "f.*").toPandas().sort_values(id_col)
     size = 1 + len(VOTERS) + DENSE + BUCKETS
     if not len(taken):
         weights = np.zeros(size)
