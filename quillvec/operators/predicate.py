@@ -61,9 +61,11 @@ def where(field: str, operator: str, value: Scalar | object = MISSING) -> Compar
 
 
 def kind_of(value: object) -> str | None:
-    """null, bool, int, float or string; None for what isn't a scalar."""
+    """null, bool, int, float or string; None for what isn't a scalar. Whole numbers beyond 64 bits are floats."""
     if value is None:
         return "null"
+    if isinstance(value, int) and not isinstance(value, bool) and not -(2**63) <= value < 2**64:
+        return "float"
     for kind, name in ((bool, "bool"), (int, "int"), (float, "float"), (str, "string")):
         if isinstance(value, kind):
             return name
@@ -226,7 +228,7 @@ def equals(v: Column, kind: Column, value: Scalar) -> Column:
     own = kind_of(value)
     same = {
         "null": lambda: F.lit(True), "bool": lambda: F.try_variant_get(v, "$", "boolean") == F.lit(value), "string": lambda: as_string(v) == F.lit(value),
-        "int": lambda: as_whole(v) == F.lit(value).cast("decimal(20,0)") if not isinstance(value, bool) else F.lit(False), "float": lambda: as_double(v) == F.lit(float(value)),
+        "int": lambda: as_whole(v) == F.lit(Decimal(value)).cast("decimal(20,0)"), "float": lambda: as_double(v) == F.lit(float(value)),
     }[own]()
     return F.coalesce((kind == own) & same, F.lit(False))
 
