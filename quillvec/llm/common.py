@@ -41,6 +41,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of `docs` as one, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -142,5 +142,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     columns = pieces.select("shard", "id", "row", "piece", "length", "source", "cluster")
+    named = F.col("id").cast("string").alias("id")  # pandas has no whole numbers with nulls
     dealt = columns.repartition(max(1, min(shards, 1 << 16)), "shard").sortWithinPartitions("shard", F.desc("length"), "id", "row", "piece")
-    return dealt.mapInPandas(run, f"bin long, place long, id {kind}, piece int, start long, n_words int").withColumnRenamed("id", id_col)
+    packed = dealt.select("shard", named, "piece", "length", "source", "cluster").mapInPandas(run, "bin long, place long, id string, piece int, start long, n_words int")
+    return packed.select("bin", "place", F.col("id").cast(kind).alias(id_col), "piece", "start", "n_words")

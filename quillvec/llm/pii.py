@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind
+from quillvec.llm.common import bind, whole_row
 
 ROUNDS = 10
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -193,7 +193,7 @@ def pseudonym(found: Column, key: str, back: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii", back: bool = False) -> DataFrame:
     """`docs` with personal data replaced in `text_col`, and `found_col`: the kinds replaced, in order.
 
-    `back` undoes it (mail addresses cannot be undone).
+    A column `found_col` of the input is replaced.  `back` undoes it (mail addresses cannot be undone).
     """
     text = F.col(text_col)
 
@@ -206,4 +206,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     changed = F.transform(candidates, lambda x: pseudonym(x, key, back))
     plain = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
     done = F.when(text.rlike("[0-9@]"), bind(changed, join)).otherwise(plain)
-    return docs.withColumn("_done", done).withColumns({text_col: F.col("_done.text"), found_col: F.col("_done.kinds")}).drop("_done")
+    both = docs.drop(found_col).select(whole_row(docs.drop(found_col)), done.alias("done"))
+    return both.select(F.col("doc").withField(text_col, F.col("done.text")).alias("doc"), "done").select("doc.*", F.col("done.kinds").alias(found_col))

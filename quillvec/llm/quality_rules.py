@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import SPACE, bind, text_or_empty, words
+from quillvec.llm.common import SPACE, bind, text_or_empty, whole_row, words
 
 SYMBOLS = "#*$%&|<>"
 #: Marks between the entries of menus and breadcrumbs.
@@ -101,8 +101,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.3) -> DataFrame:
     """The documents that are kept, without the lines that fail; other columns stay as they are."""
     left = F.filter(F.split(text_or_empty(F.col(text_col)), "\n"), lambda x: ~x.rlike(f"[^{SPACE}]") | ~line_fails(x))
-    row = docs.withColumns({"_left": left, "_n": F.size(words(F.col(text_col)))})
-    row = row.withColumn("_kept", F.aggregate("_left", F.lit(0), lambda a, x: a + F.size(words(x))))
-    good = (F.col("_n") >= 50) & (100 * (F.col("_n") - F.col("_kept")) <= round(100 * max_lost) * F.col("_n"))
-    good = good & (100 * repeated_words(words(F.col(text_col))) <= 50 * F.col("_n"))
-    return row.where(good).withColumn(text_col, F.array_join("_left", "\n")).drop("_left", "_n", "_kept")
+    found = words(F.col(text_col))
+    row = docs.select(whole_row(docs), left.alias("left"), F.size(found).alias("n"), repeated_words(found).alias("repeated"))
+    row = row.withColumn("kept", F.aggregate("left", F.lit(0), lambda a, x: a + F.size(words(x))))
+    good = (F.col("n") >= 50) & (100 * F.col("repeated") <= 50 * F.col("n")) & (100 * (F.col("n") - F.col("kept")) <= round(100 * max_lost) * F.col("n"))
+    return row.where(good).select(F.col("doc").withField(text_col, F.array_join("left", "\n")).alias("doc")).select("doc.*")

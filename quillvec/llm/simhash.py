@@ -201,4 +201,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     stay = found.select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates([id_col])
