@@ -25,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind, text_or_empty, words
+from quillvec.llm.common import bind, durable, text_or_empty, whole_row, words
 
-NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+#: What numbers, units and names become: characters of the private use area.
+NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 #: Units of measure that may follow a number.
 UNITS = (
     "km m cm mm mi mile miles meter meters metre metres foot feet ft inch inches yard yards kg g mg lb lbs pound pounds ounce ounces oz ton tons liter liters litre "
@@ -37,51 +38,54 @@ UNITS = (
 PUNCTUATION = ".,;:!?\"'()[]{}…“”‘’«»*_`~|#$%&<>"
 
 
-def template(text: Column) -> Column:
-    """Structs `(token, raw)`: template tokens and the words they stand for."""
+NUMBERS = r"\S*[0-9]\S*"
+UNITS_AFTER = NUMBER + r"(\s+)(?:" + "|".join(UNITS) + r")(?=[\s.,;:!?)]|$)"
+#: A capital and a small letter, after a word that ends no sentence.
+NAMES = r"(?<=[^\s.!?:]\s)[\"'(\[]?\p{Lu}\p{Ll}\S*"
+
 
-    def token(found: Column, w: Column, k: Column) -> Column:
-        before = F.get(found, k - 1)
-        bare = F.translate(w, PUNCTUATION, "")
-        after_number = F.coalesce(before.rlike("[0-9]"), F.lit(False))
-        first = F.substring(bare, 1, 1)
-        inside = ~F.coalesce(F.substring(before, -1, 1).isin(".", "!", "?", ":"), F.lit(True))
-        name = inside & (F.length(bare) > 1) & (F.lower(first) != first) & (F.lower(F.substring(bare, 2, 1)) == F.substring(bare, 2, 1))
-        kind = F.when(w.rlike("[0-9]"), NUMBER).when(after_number & F.lower(bare).isin(UNITS), UNIT).when(name, NAME)
-        return F.struct(F.coalesce(kind, F.lower(bare)).alias("token"), F.lower(bare).alias("raw"))
+def bare(text: Column) -> Column:
+    """Words without case and punctuation; words of punctuation alone vanish."""
+    return words(F.translate(F.lower(text), PUNCTUATION, ""))
 
-    tokens = bind(words(text_or_empty(text)), lambda found: F.transform(found, lambda w, k: token(found, w, k)))
-    return F.filter(tokens, lambda t: t["token"] != "")
 
+def template(text: Column) -> Column:
+    """Struct `(tokens, raw)`: template tokens, and the words they stand for, place by place.
+
+    Placeholders go into the whole text before it is split, so that a word costs no
+    expression of its own.
+    """
+    text = F.translate(text_or_empty(text), NUMBER + UNIT + NAME, "")
+    numbered = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, NUMBERS, NUMBER), f"(?i){UNITS_AFTER}", f"{NUMBER}$1{UNIT}")).otherwise(text)
+    return F.struct(bare(F.regexp_replace(numbered, NAMES, NAME)).alias("tokens"), bare(text).alias("raw"))
 
-def windows(tokens: Column, size: int, stride: int) -> Column:
-    """Structs `(hash, place, slots)` of the windows of `tokens`; slots: the raw words behind placeholders."""
 
-    def slots(t: Column, k: Column) -> Column:
-        part = F.filter(F.slice(t, k + 1, F.lit(size)), lambda x: x["token"].isin(NUMBER, UNIT, NAME))
-        return F.transform(part, lambda x: x["raw"])
+def windows(found: Column, size: int, stride: int) -> Column:
+    """Structs `(hash, place, slots)` of the windows of a template; slots: the words behind its placeholders."""
 
-    def window(t: Column, k: Column) -> Column:
-        parts = [F.get(t, k + j)["token"] for j in range(size)]
-        return F.struct(F.xxhash64(*parts).alias("hash"), k.alias("place"), slots(t, k).alias("slots"))
+    def slots(t: Column, raw: Column, k: Column) -> Column:
+        part = F.slice(t, k + 1, F.lit(size))
+        pairs = F.filter(F.arrays_zip(part.alias("t"), F.slice(raw, k + 1, F.lit(size)).alias("r")), lambda x: x["t"].isin(NUMBER, UNIT, NAME))
+        return F.when(F.arrays_overlap(part, F.array(*map(F.lit, (NUMBER, UNIT, NAME)))), F.transform(pairs, lambda x: x["r"]))
 
-    def all_of(t: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(0), F.size(t) - size, F.lit(stride)), lambda k: window(t, k))
-        return F.when(F.size(t) >= size, some)
+    def all_of(f: Column) -> Column:
+        t, raw = f["tokens"], f["raw"]
+        window = lambda k: F.struct(F.xxhash64(*[F.get(t, k + j) for j in range(size)]).alias("hash"), k.alias("place"), slots(t, raw, k).alias("slots"))
+        return F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(0), F.size(t) - size, F.lit(stride)), window))
 
-    return bind(tokens, all_of)
+    return bind(found, all_of)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int = 4, cover: float = 0.5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows `(id_col, row, item_col, covered_tokens, item_tokens, n_slots, altered)`, one a document and item."""
     items = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("t")).dropDuplicates()
-    items = items.select("item", F.size("t").alias("item_tokens"), F.explode(windows(F.col("t"), window, 1)).alias("w"))
+    items = items.select("item", F.size("t.tokens").alias("item_tokens"), F.explode(windows(F.col("t"), window, 1)).alias("w"))
     items = items.select("item", "item_tokens", F.col("w.hash").alias("hash"), F.col("w.place").alias("item_place"), F.col("w.slots").alias("item_slots"))
     if items.count() <= broadcast_rows:
         items = F.broadcast(items)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), template(F.col(text_col)).alias("t"))
     found = texts.select("id", "row", F.explode(windows(F.col("t"), window, stride)).alias("w")).select("id", "row", "w.*")
-    hits = found.join(items, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
+    hits = durable(found.join(items, "hash").withColumn("diagonal", F.col("place") - F.col("item_place")))
     pairs = F.explode(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
     key = ["id", "row", "item", "item_tokens", "diagonal"]
     slot = hits.where(F.size("slots") > 0).select(*key, pairs.alias("p")).groupBy(*key).agg(
@@ -103,6 +107,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int =
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without those that hold a benchmark item."""
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(found, "_row", "left_anti").drop("_row").select(docs.columns)
+    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("row").distinct()
+    keyed = docs.select(whole_row(docs), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    return keyed.join(found, "row", "left_anti").select("doc.*")
