@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.llm import decontamination, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from quillvec.llm import decontamination, line_dedup, oracle, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Learning, search, packing, tokens, fingerprints, templates and keyed permutations are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
