@@ -46,13 +46,18 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one for the application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quillvec-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_DIRS:
+            _OWN_DIRS[application] = "file://" + tempfile.mkdtemp(prefix="quillvec-")
+        where = _OWN_DIRS[application]
+    return where.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import components, durable, python_udf, sorted_groups
+from quillvec.llm.common import components, durable, python_udf, sorted_groups, whole_row
 from quillvec.ship import ship
 
 SEED = 42
@@ -183,22 +183,26 @@ def links(values: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFra
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """One row a document: `(id_col, fp, component_id)`; component_id is the least id reachable."""
-    marked = durable(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
-    values = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
+def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Documents as `(id, row, fp)`, and fingerprints as `(fp, component_id, keeper)`; keeper is the row with the least id."""
+    marked = durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
+    values = durable(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(first).alias("first")))
     found = components(links(values.select("fp"), radius, shard_rows))
-    rooted = values.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rooted = values.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    return marked, rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", F.col("first.row").alias("keeper"))
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+    """One row a document: `(id_col, fp, component_id)`; component_id is the least id reachable."""
+    marked, named = groups(docs, id_col, text_col, shingle, radius, shard_rows)
+    return marked.join(named.drop("keeper"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each component, the one with the least id.
 
-    Of several rows with that id in a component one stays; a component without any id keeps one row.
-    """
-    found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = found.select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+    """`docs` with one document of each component: the one with the least id, null ids last, and of equal rows one."""
+    _, named = groups(docs, id_col, text_col, shingle, radius, shard_rows)
+    keyed = docs.select(whole_row(docs), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    stay = named.select(F.col("keeper").alias("row")).distinct()
+    return keyed.join(stay, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

@@ -76,6 +76,13 @@ def test_empty_texts_have_defined_results(spark, edges, labels):
     assert packed.where("doc_id in (1, 2, 3)").count() == 0 and packed.agg(F.sum("n_words")).first()[0] == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in EDGES)
 
 
+def test_keep_one_keeps_each_component_once(edges):
+    """Ids 1 to 3 and a null id have fingerprint zero; the two rows of id 7 and id 8 are copies."""
+    kept = simhash.keep_one(edges).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 9, 10]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["a null id with some words in it"]
+
+
 def test_pipeline_on_edges(spark, clashing, labels, tmp_path):
     root = f"file://{tmp_path}"
     clashing.write.parquet(f"{root}/documents.parquet")
