@@ -111,7 +111,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, sample_rows: int = 60
     """The model from `grades(id_col, grade_col)`, whole numbers from 0 to n_grades - 1."""
     known = grades.where(F.col(grade_col).between(0, n_grades - 1)).groupBy(id_col).agg(F.max(grade_col).cast("int").alias("_grade"))
     sample = training_rows(docs, known, sample_rows, id_col, text_col)
-    taken = sample.select(id_col, "_grade", features_column(F.col("text"), features).alias("f")).select(id_col, "_grade", "f.*").orderBy(id_col).toPandas()
+    taken = sample.select(id_col, "_grade", features_column(F.col("text"), features).alias("f")).select(id_col, "_grade", "f.*").toPandas().sort_values(id_col)
     if not len(taken):
         return Ordinal(np.zeros(BUCKETS + EXTRA), np.zeros(n_grades - 1))
     return Ordinal.fit(Rows(list(taken["index"]), list(taken["value"])), taken["_grade"].to_numpy(np.int64), n_grades)

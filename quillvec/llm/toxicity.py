@@ -180,7 +180,7 @@ class LabelModel:
 
         def estimate(q: np.ndarray, cliques: list[list[int]]) -> tuple:
             by = np.stack([count * (1 - q), count * q])
-            prior = float(np.clip(by[1].sum() / by.sum(), 1e-3, 0.5))
+            prior = float(np.clip(by[1].sum() / max(by.sum(), 1e-9), 1e-3, 0.5))
             tables = []
             for clique in cliques:
                 at = cls.joint(votes, clique)
@@ -202,7 +202,7 @@ class LabelModel:
             if phase == 0:
                 fired = np.stack([votes >> k & 1 for k in range(len(VOTERS))]).astype(float)
                 weight = np.stack([count * (1 - q), count * q])
-                mean = (fired @ weight.T) / weight.sum(axis=1)
+                mean = (fired @ weight.T) / np.maximum(weight.sum(axis=1), 1e-9)
                 left = [(fired - mean[:, [c]]) * np.sqrt(weight[c]) for c in (0, 1)]
                 cover = sum(x @ x.T for x in left)
                 size = np.sqrt(np.maximum(np.diag(cover), 1e-9))
