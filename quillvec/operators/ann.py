@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec.functions import metric as M
@@ -29,12 +29,17 @@ def fit(records: DataFrame, lists: int, metric: str, sample_rows: int = 100_000,
     return np.array(model.fit(vectors).clusterCenters())
 
 
-def list_of(vector: Column, centroids: np.ndarray, metric: str) -> Column:
-    """The list of a vector: the nearest centroid, the first of equals."""
+def nearness(vector: Column, centroids: np.ndarray, metric: str) -> Column:
+    """Structs `(d, list)` of all lists for a vector; the least is the nearest."""
     kind = "l2" if metric == L2 else "cosine"
     sign = 1 if metric == L2 else -1
     distances = [M.value(kind, M.literal(c.tolist(), "f64"), vector, "f64") * sign for c in centroids]
-    return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(k).alias("list")) for k, d in enumerate(distances)]))["list"]
+    return F.array(*[F.struct(d.alias("d"), F.lit(k).alias("list")) for k, d in enumerate(distances)])
+
+
+def list_of(vector: Column, centroids: np.ndarray, metric: str) -> Column:
+    """The list of a vector: the nearest centroid, the first of equals."""
+    return F.array_min(nearness(vector, centroids, metric))["list"]
 
 
 def build(records: DataFrame, path: str, centroids: np.ndarray, metric: str) -> None:
@@ -55,3 +60,16 @@ def search(spark: SparkSession, path: str, query: Sequence[float], centroids: np
     """The best `k` of the lists nearest to the query."""
     lists = spark.read.parquet(path).where(F.col("list").isin(probed(query, centroids, metric, probes)))
     return ranking.top_k(lists, query, metric, k, precision, filter_by)
+
+
+def search_many(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, metric: str, k: int, probes: int, precision: str = "f32") -> DataFrame:
+    """The best `k` for every row of `queries(query_id, query_vector)`, in the lists nearest to it.
+
+    A query meets its lists in an equi-join on the list; `indexed` has the column `list`.
+    """
+    nearest = F.slice(F.sort_array(nearness(F.col("query_vector"), centroids, metric)), 1, probes)
+    probing = queries.select("query_id", "query_vector", F.explode(F.transform(nearest, lambda x: x["list"])).alias("list"))
+    pairs = indexed.join(probing, "list")
+    scored = pairs.select("query_id", "id", M.value(metric, F.col("query_vector"), F.col("vector"), precision).alias("value"))
+    window = Window.partitionBy("query_id").orderBy(*M.order(metric))
+    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)

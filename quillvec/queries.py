@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillvec.functions import metric as M
 from quillvec.model import COSINE, DOT, L2, MUTABLE_UNIT
-from quillvec.operators import mvcc, ranking
+from quillvec.operators import ann, mvcc, ranking
 from quillvec.operators.predicate import And, Not, Or, Predicate, combine, compile_predicate, where
 from quillvec.plans import engine, planner, stats
 
@@ -294,6 +294,19 @@ both_sides AS (SELECT * FROM (SELECT * FROM live WHERE id IN (SELECT id FROM can
 )(from_log(lambda d, q: ranking.top_k(mvcc.merge_latest(mvcc.lookup(d, candidates(d, q)), mvcc.live(mvcc.at(d, None, [], True))), q, DOT, K, "f64")))
 
 
+@register("ann_recall")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 of the inverted-file index against exact search, for every row whose id is divisible by 50."""
+    rows = records(spark, sf_dir)
+    asked = read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    centroids = ann.fit(rows, 16, COSINE)
+    indexed = rows.withColumn("list", ann.list_of(F.col("vector"), centroids, COSINE))
+    found = ann.search_many(indexed, asked, centroids, COSINE, K, 13).select("query_id", "id")
+    exact = ranking.nearest(asked, rows, COSINE, K).select("query_id", "id")
+    both = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return both.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
+
+
 # --- plans --------------------------------------------------------------------------------
 
 PLAN_CASES: dict[str, tuple[Predicate | None, bool]] = {

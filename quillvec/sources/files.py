@@ -41,9 +41,10 @@ class Files:
         stream = self.fs.create(temporary, True)
         stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         stream.close()
-        if self.fs.exists(target):
-            self.fs.delete(target, False)
-        self.fs.rename(temporary, target)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, target, how)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.Path(self.at(name)), True)

@@ -74,6 +74,11 @@ def test_inverted_lists(spark, tmp_path):
     assert hits >= 0.9 * 80
 
 
+def test_recall_over_the_embeddings(spark, sf_dir):
+    recalls = [r["recall"] for r in queries.QUERIES["ann_recall"](spark, sf_dir).collect()]
+    assert len(recalls) == 10 and sum(recalls) / len(recalls) >= 0.9
+
+
 def test_unit_candidates_take_the_newest_version(spark):
     rows = [(s, "put", i, [v, 0.0], "{}", u) for s, i, v, u in [(1, "hot", 12, "u1"), (2, "x", 1, "u1"), (3, "hot", 11, "u2"), (4, "y", 2, "u2"), (5, "hot", 10, "u3"), (6, "z", 3, "u3")]]
     d = spark.createDataFrame([(s, o, i, [float(v[0]), 0.0], m, u) for s, o, i, v, m, u in rows], "seq_no long, op string, id string, vector array<float>, metadata string, unit_id string")
