@@ -60,14 +60,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows that go to a Python worker at a time while a table is written; texts are long.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    Python workers get small batches meanwhile; the session's setting comes back.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
 

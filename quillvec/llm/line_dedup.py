@@ -71,6 +71,13 @@ def windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, least_word
     return start, end, least, whole
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """`batches` in parts that take little memory."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def batch_windows(batch: pd.DataFrame, least_words: int) -> tuple[np.ndarray, ...]:
     """As `windows`, with the row of each window and places counted within documents."""
     sizes = batch["hash"].map(len).to_numpy(np.int64)
@@ -85,24 +92,20 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
     """Documents with later repeated runs: `(id, row, n_lines, spans)`; spans are (start, end, words)."""
     ship(docs.sparkSession)
     lines = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), lines_column(F.col(text_col), sentences).alias("l")).select("id", "row", "l.*")
-    lines = durable(lines.where(F.size("hash") > 0))
+    lines = durable(lines).where(F.size("hash") > 0)  # a filter before it would split the texts twice
 
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in parts(batches):
             row, _, _, least, low, _ = batch_windows(batch, least_words)
             _, one = np.unique(row * (1 << 32) + least, return_index=True)
             yield pd.DataFrame({"row": batch["row"].to_numpy()[row[one]], "k": least[one].astype(np.int32), "hash": low[one].view(np.int64)})
 
-    found = durable(lines.dropDuplicates(["row"]).select("row", "hash", "words").mapInPandas(fingerprints, "row long, k int, hash long"))
-    twice = found.groupBy("hash").count().where("count > 1").select("hash")
+    found = durable(lines.select("row", "hash", "words").mapInPandas(fingerprints, "row long, k int, hash long"))
+    twice = durable(found.groupBy("hash").count().where("count > 1").select("hash"))
     places = found.join(twice, "hash").groupBy("row").agg(F.collect_set("k").alias("places"))
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in parts(batches):
             row, start, end, least, _, whole = batch_windows(batch, least_words)
             sizes = batch["places"].map(len).to_numpy()
             keys = np.repeat(np.arange(len(batch)), sizes) * (1 << 32) + np.concatenate(batch["places"].tolist())
@@ -111,14 +114,15 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
             yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "row": batch["row"].to_numpy()[row], "k": start[on].astype(np.int32), "to": end[on].astype(np.int32), "whole": whole[on].view(np.int64)})
 
     kind = lines.schema["id"].dataType.simpleString()
-    asked = lines.dropDuplicates(["row"]).join(places, "row")
-    window = durable(asked.select("id", "row", "hash", "words", "places").mapInPandas(shared, f"id {kind}, row long, k int, to int, whole long"))
-    first = window.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "k")).alias("first")).where("n > 1")
+    asked = lines.join(places, "row").withColumn("id", F.col("id").cast("string"))  # pandas has no whole numbers with nulls
+    window = asked.select("id", "row", "hash", "words", "places").mapInPandas(shared, "id string, row long, k int, to int, whole long")
+    window = durable(window.withColumn("id", F.col("id").cast(kind)))
+    first = durable(window.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "k")).alias("first")).where("n > 1"))
     later = window.join(first, "whole").where((F.col("row") != F.col("first.row")) | (F.col("k") != F.col("first.k")))
     marked = later.groupBy("row").agg(F.collect_set(F.struct("k", "to")).alias("matches"))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for x in batch.itertuples():
                 change = np.zeros(len(x.words) + 1, np.int64)
@@ -131,7 +135,8 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
             if out:
                 yield pd.DataFrame(out, columns=["row", "n_lines", "spans"])
 
-    spans = lines.dropDuplicates(["row"]).join(marked, "row").select("row", "words", "start", "end", "matches").mapInPandas(runs, "row long, n_lines int, spans array<struct<start: int, end: int, words: int>>")
+    spans = lines.join(marked, "row").select("row", "words", "start", "end", "matches").mapInPandas(runs, "row long, n_lines int, spans array<struct<start: int, end: int, words: int>>")
+    spans = durable(spans.dropDuplicates(["row"]))
     return lines.select("id", "row").distinct().join(spans, "row").select("id", "row", "n_lines", "spans")
 
 

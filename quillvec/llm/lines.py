@@ -16,34 +16,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind, python_udf, text_or_empty
+from quillvec.llm.common import bind, python_udf, text_or_empty, whole_row
 
 CUTS = {True: re.compile(r"\n|[.!?] "), False: re.compile(r"\n")}
 FIELDS = "hash: array<long>, words: array<int>, start: array<int>, end: array<int>"
 
 
+#: White space that normalising would change.
+UNEVEN = re.compile(r"[^\S \n]|  ")
+
+
 def split(text: str, sentences: bool = True) -> tuple[list[int], list[int], list[int], list[int]]:
     """Hashes, word counts, starts and ends of the lines of `text`."""
     cuts = [m.end() for m in CUTS[sentences].finditer(text)]
-    hashes, words, starts, ends = [], [], [], []
-    at = 0
-    for end in [*cuts, len(text)]:
-        found = text[at:end].lower().split()
-        if found:
-            hashes.append(xxhash.xxh64_intdigest(" ".join(found).encode("utf-8", "surrogatepass")))
-            words.append(len(found))
-            starts.append(at)
-            ends.append(end)
-        at = end
-    return hashes, words, starts, ends
+    places = list(zip([0, *cuts], [*cuts, len(text)]))
+    low = text.lower()
+    if len(low) == len(text):
+        parts = [low[a:b].strip() for a, b in places]
+    else:  # some letters change their length
+        parts = [text[a:b].lower().strip() for a, b in places]
+    if UNEVEN.search(text):
+        parts = [" ".join(p.split()) for p in parts]
+    if not all(parts):
+        places = [x for x, p in zip(places, parts) if p]
+        parts = [p for p in parts if p]
+    raw = [p.encode("utf-8", "surrogatepass") for p in parts]
+    return list(map(xxhash.xxh64_intdigest, raw)), [p.count(" ") + 1 for p in parts], [a for a, _ in places], [b for _, b in places]
 
 
 def lines_column(text: Column, sentences: bool = True) -> Column:
     @python_udf(f"struct<{FIELDS}>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        found = [split(t or "", sentences) for t in texts]
         kinds = {"hash": np.uint64, "words": np.int32, "start": np.int32, "end": np.int32}
-        return pd.DataFrame({c: [np.array(x[k], kinds[c]).view(np.int64) if c == "hash" else np.array(x[k], kinds[c]) for x in found] for k, c in enumerate(kinds)})
+        out = {c: [] for c in kinds}
+        for t in texts:
+            for (c, kind), values in zip(kinds.items(), split(t or "", sentences)):
+                out[c].append(np.array(values, kind))
+        out["hash"] = [h.view(np.int64) for h in out["hash"]]
+        return pd.DataFrame(out)
 
     return of(text)
 
@@ -64,11 +74,12 @@ def cut_out(text: Column, spans: Column) -> Column:
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`docs` with `spans(row, spans)` cut out of their texts; documents that lose every word go."""
-    keyed = docs.withColumn("_row", row_hash(id_col, text_col))
-    found = spans.select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    cut = keyed.join(found, "_row", "left").withColumn("_cut", F.coalesce(bind(F.col("_spans"), lambda s: cut_out(F.col(text_col), s)), F.col(text_col)))
-    left = F.col("_spans").isNull() | F.col("_cut").rlike(r"[^\x20\x09-\x0D]")
-    return cut.where(left).withColumn(text_col, F.col("_cut")).drop("_row", "_spans", "_cut").select(docs.columns)
+    keyed = docs.select(whole_row(docs), row_hash(id_col, text_col).alias("row"))
+    text = F.col("doc")[text_col]
+    cut = F.coalesce(bind(F.col("spans"), lambda s: cut_out(text, s)), text)
+    joined = keyed.join(spans, "row", "left").select("doc", cut.alias("cut"), F.col("spans").isNull().alias("whole"))
+    kept = joined.where(F.col("whole") | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(F.col("doc").withField(text_col, F.col("cut")).alias("doc")).select("doc.*")
 
 
 def stretches(marks: np.ndarray, words: np.ndarray, least_words: int) -> list[tuple[int, int]]:
