@@ -180,7 +180,10 @@ def units_from(counts: DataFrame, fields: DataFrame, histogram: DataFrame, names
 def collection_stats(log: DataFrame, visible_seq_no: int | None = None) -> DataFrame:
     """One row: live and deleted ids, operations in the mutable unit, immutable units."""
     log = mvcc.at(log, visible_seq_no)
-    newest = mvcc.latest(log).agg(F.count_if(F.col("op") == "put").alias("live_count"), F.count_if(F.col("op") == "delete").alias("deleted_count"))
+    newest = mvcc.latest(log).select("op", F.lit(None).cast("string").alias("unit_id"), F.lit(0).cast("long").alias("n"))
+    units = log.groupBy("unit_id").count().select(F.lit(None).cast("string").alias("op"), "unit_id", F.col("count").alias("n"))
     mutable = F.col("unit_id") == MUTABLE_UNIT
-    shape = log.agg(F.count_if(mutable).alias("mutable_ops"), F.countDistinct(F.when(~mutable, F.col("unit_id"))).alias("segment_count"))
-    return newest.crossJoin(shape)  # one row each
+    return newest.unionByName(units).agg(
+        F.count_if(F.col("op") == "put").alias("live_count"), F.count_if(F.col("op") == "delete").alias("deleted_count"),
+        F.coalesce(F.sum(F.when(mutable, F.col("n"))), F.lit(0)).alias("mutable_ops"), F.count_if(~mutable).alias("segment_count"),
+    )
