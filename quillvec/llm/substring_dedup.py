@@ -35,14 +35,14 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
     ship(docs.sparkSession)
     rank = F.col(rank_col or id_col)
     units = docs.select(F.col(id_col).alias("id"), rank.alias("rank"), row_hash(id_col, text_col).alias("row"), lines_column(F.col(text_col), sentences).alias("l")).select("id", "rank", "row", "l.*")
-    units = durable(units.where(F.size("hash") > 0))
+    units = durable(units).where(F.size("hash") > 0)  # a filter before it would split the texts twice
     each = units.select("rank", "row", F.posexplode("hash").alias("k", "digest"))
-    twice = each.groupBy("digest").count().where("count > 1").select("digest")
+    twice = durable(each.groupBy("digest").count().where("count > 1").select("digest"))
     shared = durable(each.join(twice, "digest"))
-    first = shared.groupBy("digest").agg(F.min(F.struct("rank", "row", "k")).alias("first"))
+    first = durable(shared.groupBy("digest").agg(F.min(F.struct("rank", "row", "k")).alias("first")))
     later = shared.join(first, "digest").where((F.col("row") != F.col("first.row")) | (F.col("k") != F.col("first.k")))
     marked = later.groupBy("row").agg(F.collect_set("k").alias("marks"))
-    rows = units.dropDuplicates(["row"]).join(marked, "row")
+    rows = units.join(marked, "row")
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -57,6 +57,7 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
                 yield pd.DataFrame(out, columns=["row", "n_units", "spans"])
 
     spans = rows.select("row", "words", "start", "end", "marks").mapInPandas(passages, "row long, n_units int, spans array<struct<start: int, end: int, words: int>>")
+    spans = durable(spans.dropDuplicates(["row"]))
     return units.select("id", "row").distinct().join(spans, "row").select("id", "row", "n_units", "spans")
 
 
