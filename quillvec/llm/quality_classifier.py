@@ -33,7 +33,7 @@ SHAPES = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+(?<!A)"), "a"
 
 
 def shape(word: str) -> str:
-    """`word` with letters, digits and repeats cut short: "Ruin!!" is "Aa!"."""
+    """`word` with letters, digits and repeats cut short: "Ruin!!" is "a!" and "RUIN!!" is "A!"."""
     for pattern, by in SHAPES:
         word = pattern.sub(by, word)
     return word[:12]

@@ -16,8 +16,10 @@ Where words begin is decided by a sliding window over character classes (read
 off the library's own splitter), so a word start is a place where every entry
 state leads to the same state.  Texts are laid end to end and cut into chunks;
 a chunk's state map is constant after its first word start, and before it is a
-short head.  All chunks run in step, one byte each at a time; then a prefix
-scan finds, for each chunk, the state its predecessors lead to, and the heads run.
+short head.  All chunks run in step, one byte each at a time.  Composing maps
+that are constant means carrying the last exit state forward, so the prefix scan
+takes one step: every head runs from the exit of the chunk before it, again all in
+step.  Only chunks inside a word longer than a chunk wait for one another.
 
 States are dropped when their table is full, which costs time and not exactness.  Null and empty texts have no tokens.  Repeated rows are counted
 each; an empty table gives no rows.
