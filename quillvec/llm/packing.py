@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import SPACE, sorted_groups, text_or_empty, words
+from quillvec.llm.common import SPACE, durable, sorted_groups, text_or_empty, words
 from quillvec.ship import ship
 
 
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col:
     ).where("n > 0")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
     pieces = pieces.withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity)).drop("n")
+    pieces = durable(pieces)  # texts are read once
     shards = max(1, -(-pieces.count() // shard_rows))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
     pieces = pieces.withColumn("cluster", F.when(F.col("length") < capacity, F.coalesce("cluster", F.xxhash64("row", "piece"))).otherwise(F.xxhash64("row", "piece")))
