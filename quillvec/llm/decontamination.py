@@ -2,11 +2,12 @@
 
 Texts become templates: numbers, units of measure and names inside sentences turn
 into typed placeholders, other words lose case and punctuation.  Windows of
-`window` tokens are hash-joined: every window of an item, and of a document those
-that start at multiples of `stride`, so a copied run of `window + stride - 1`
-tokens always shows.  Matches that lie on one diagonal (document place less item
-place) are one aligned copy.  A copy counts if it covers `cover` of the item and
-the values in its slots are consistent: an item's value always stands for the
+`window` tokens are hash-joined, every one of an item and every one of a document.
+Matches that lie on one diagonal (document place less item place) are one aligned
+copy; a word put in or left out moves the rest of a copy to another diagonal, so
+diagonals are also taken together with those up to `window`, and up to an item's
+length, further on.  A copy counts if its windows cover `cover` of the item's tokens
+and the values in its slots are consistent: an item's value always stands for the
 same value of the document and the other way round.  That catches questions with
 new numbers and names, and lets go of texts that only share a pattern.
 
@@ -15,14 +16,15 @@ The windows of the benchmark are broadcast only while they are at most
 documents, 8 bytes a window and a row hash take part; texts are never shuffled,
 and slot values travel only with windows that have slots.
 
-Null and empty texts, and items shorter than a window, have no windows and never
-match.  Repeated rows and items are reported once.  Empty tables give no rows;
-other columns pass through `remove`.
+An item shorter than `window` is one window; made of placeholders alone, it must
+stand in the document with its own values.  Null and empty texts have no windows
+and never match.  Repeated rows and items are reported once.  Empty tables give no
+rows; other columns pass through `remove`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.llm.common import bind, durable, text_or_empty, whole_row, words
@@ -60,45 +62,64 @@ def template(text: Column) -> Column:
     return F.struct(bare(F.regexp_replace(numbered, NAMES, NAME)).alias("tokens"), bare(text).alias("raw"))
 
 
-def windows(found: Column, size: int, stride: int) -> Column:
-    """Structs `(hash, place, slots)` of the windows of a template; slots: the words behind its placeholders."""
+def windows(found: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows `(size, place, hash, slots)` of the templates `t`, instead of `t`; slots: the words behind placeholders, null for other words.
 
-    def slots(t: Column, raw: Column, k: Column) -> Column:
-        part = F.slice(t, k + 1, F.lit(size))
-        pairs = F.filter(F.arrays_zip(part.alias("t"), F.slice(raw, k + 1, F.lit(size)).alias("r")), lambda x: x["t"].isin(NUMBER, UNIT, NAME))
-        return F.when(F.arrays_overlap(part, F.array(*map(F.lit, (NUMBER, UNIT, NAME)))), F.transform(pairs, lambda x: x["r"]))
-
-    def all_of(f: Column) -> Column:
-        t, raw = f["tokens"], f["raw"]
-        window = lambda k: F.struct(F.xxhash64(*[F.get(t, k + j) for j in range(size)]).alias("hash"), k.alias("place"), slots(t, raw, k).alias("slots"))
-        return F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(0), F.size(t) - size, F.lit(stride)), window))
-
-    return bind(found, all_of)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int = 4, cover: float = 0.5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    Tokens are hashed in a projection of their own, and what follows has no lambdas:
+    so it is compiled, and slots are made for windows that find a partner only.
+    """
+    kept = [c for c in found.columns if c != "t"]
+    split = found.select(*kept, F.col("t.tokens").alias("tokens"), F.col("t.raw").alias("raw"), F.transform("t.tokens", lambda x: F.xxhash64(x)).alias("h"))
+    each = split.select(*kept, "tokens", "raw", "h", F.posexplode("h").alias("place", "_"))
+    if len(sizes) > 1:
+        each = each.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
+    else:
+        each = each.withColumn("size", F.lit(sizes[0]))
+    each = each.where(F.col("place") + F.col("size") <= F.size("h"))
+    at = lambda c, j: F.get(F.col(c), F.col("place") + j)
+    hashed = lambda size: F.xxhash64(F.lit(size), *[at("h", j) for j in range(size)])
+    hashes = hashed(sizes[0])
+    for size in sizes[1:]:
+        hashes = F.when(F.col("size") == size, hashed(size)).otherwise(hashes)
+    inside = lambda j: F.col("size") > j if len(sizes) > 1 else F.lit(True)
+    slot = [F.when(inside(j) & at("tokens", j).isin(NUMBER, UNIT, NAME), at("raw", j)) for j in range(max(sizes))]
+    slots = F.when(F.coalesce(*slot).isNotNull(), F.array(*slot))
+    return each.select(*kept, "size", "place", hashes.alias("hash"), slots.alias("slots"))
+
+
+def coverage(places: Column, size: Column) -> Column:
+    """Tokens that windows of `size` tokens at the distinct `places` cover."""
+    return bind(F.sort_array(places), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(size, F.coalesce(F.get(p, k + 1) - x, size))), F.lit(0), lambda a, x: a + x))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows `(id_col, row, item_col, covered_tokens, item_tokens, n_slots, altered)`, one a document and item."""
     items = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("t")).dropDuplicates()
-    items = items.select("item", F.size("t.tokens").alias("item_tokens"), F.explode(windows(F.col("t"), window, 1)).alias("w"))
-    items = items.select("item", "item_tokens", F.col("w.hash").alias("hash"), F.col("w.place").alias("item_place"), F.col("w.slots").alias("item_slots"))
+    items = items.withColumns({"item_tokens": F.size("t.tokens"), "fixed": F.size(F.array_except("t.tokens", F.array(*map(F.lit, (NUMBER, UNIT, NAME))))) > 0}).where("item_tokens > 0")
+    lengths = items.agg(F.max("item_tokens"), F.collect_set(F.when(F.col("item_tokens") < window, F.col("item_tokens")))).first()
+    longest, sizes = lengths[0] or 0, [window, *sorted(lengths[1])]
+    items = windows(items, sizes).where(F.col("size") == F.least(F.lit(window), "item_tokens"))
+    items = items.select("item", "item_tokens", "fixed", "size", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     if items.count() <= broadcast_rows:
         items = F.broadcast(items)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), template(F.col(text_col)).alias("t"))
-    found = texts.select("id", "row", F.explode(windows(F.col("t"), window, stride)).alias("w")).select("id", "row", "w.*")
-    hits = durable(found.join(items, "hash").withColumn("diagonal", F.col("place") - F.col("item_place")))
-    pairs = F.explode(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
-    key = ["id", "row", "item", "item_tokens", "diagonal"]
-    slot = hits.where(F.size("slots") > 0).select(*key, pairs.alias("p")).groupBy(*key).agg(
-        F.countDistinct("p").alias("pairs"), F.countDistinct("p.item").alias("left"), F.countDistinct("p.doc").alias("right"), F.max(F.col("p.item") != F.col("p.doc")).alias("altered")
-    )
-    place = hits.select(*key, "place").distinct().groupBy(*key).agg(F.count("*").alias("n"))
-    slot = slot.select(*[F.col(k).alias(f"s_{k}") for k in key], "pairs", "left", "right", "altered")
-    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in key]
-    covered = F.least(F.col("item_tokens"), (F.col("n") - 1) * stride + window)
-    copies = place.join(slot, same, "left").select(*key, covered.alias("covered"), F.coalesce("pairs", F.lit(0)).alias("pairs"), "left", "right", F.coalesce("altered", F.lit(False)).alias("altered"))
-    consistent = (F.col("pairs") == 0) | (F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right"))
+    hits = durable(windows(texts, sizes).join(items, ["size", "hash"]).withColumn("diagonal", F.col("place") - F.col("item_place")))
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull())
+    key = ["id", "row", "item", "item_tokens", "fixed", "size"]
+    line = hits.groupBy(*key, "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    ahead = F.collect_list(F.struct("diagonal", "places", "pairs")).over(Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, longest))
+
+    def copy(level: int, reach: Column) -> Column:
+        near = F.filter("ahead", lambda x: x["diagonal"] - F.col("diagonal") <= reach)
+        return F.struct(F.lit(-level).alias("level"), F.array_distinct(F.flatten(F.transform(near, lambda x: x["places"]))).alias("places"), F.array_distinct(F.flatten(F.transform(near, lambda x: x["pairs"]))).alias("pairs"))
+
+    reaches = (F.lit(0), F.least(F.lit(window), "item_tokens"), F.col("item_tokens"))
+    copies = line.withColumn("ahead", ahead).select(*key, F.explode(F.array(*[copy(k, r) for k, r in enumerate(reaches)])).alias("c"))
+    distinct = lambda field: F.size(F.array_distinct(F.transform("c.pairs", lambda p: p[field])))
+    copies = copies.select(*key, "c.level", coverage(F.col("c.places"), F.col("size")).alias("covered"), F.size("c.pairs").alias("pairs"), distinct("item").alias("left"), distinct("doc").alias("right"), F.exists("c.pairs", lambda p: p["item"] != p["doc"]).alias("altered"))
+    consistent = (F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right")) & (F.col("fixed") | ~F.col("altered") | (F.col("item_tokens") >= window))
     enough = F.col("covered") >= F.ceil(cover * F.col("item_tokens"))
-    best = copies.where(consistent & enough).groupBy("id", "row", "item").agg(F.max(F.struct("covered", "item_tokens", "pairs", "altered")).alias("b"))
+    best = copies.where(consistent & enough).groupBy("id", "row", "item").agg(F.max(F.struct("covered", "item_tokens", "level", "pairs", "altered")).alias("b"))
     return best.select(
         F.col("id").alias(id_col), "row", F.col("item").alias(item_col), F.col("b.covered").cast("long").alias("covered_tokens"), F.col("b.item_tokens").cast("long").alias("item_tokens"),
         F.col("b.pairs").cast("long").alias("n_slots"), F.col("b.altered").alias("altered"),

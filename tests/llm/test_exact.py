@@ -357,6 +357,34 @@ def test_templates_and_slots(spark, docs_of):
     assert got[1] == (False, True) and got[2] == (True, True) and set(got) <= {1, 2, 4}
 
 
+def test_changed_copies_are_leaks(spark, docs_of):
+    """Words put in, left out and replaced, parts of an item, items shorter than a window."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("aeioulnrst") for _ in range(7 * n))
+    words = lambda n: [text(1) for _ in range(n)]
+    items = [words(n) for n in (24, 30, 37, 50)]
+    short = ["zulu", "yankee", "xray"]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([*items, short, ["42"]])], "item_id long, text string")
+    rows, want = [], {}
+    for k, w in enumerate(items):
+        m, n = len(w) // 2, len(w)
+        changed = {"in": w[:m] + words(1) + w[m:], "three in": w[:m] + words(3) + w[m:], "many in": w[:m] + words(12) + w[m:], "out": w[:m] + w[m + 1 :], "replaced": w[:m] + words(1) + w[m + 1 :], "first": w[: -(-55 * n // 100)]}
+        for kind, part in changed.items():
+            for at in range(4):
+                want[len(rows)] = k, n if kind.endswith("in") else len(part) if kind == "first" else n - 1
+                rows.append((len(rows), " ".join(words(9 + at) + part + words(9))))
+    wanted = dict(want)
+    for k, w in enumerate(items):
+        rows.append((len(rows), " ".join(words(5) + w[: len(w) // 2 - 1] + words(9))))  # under half
+    for t, hit in ((" ".join([*words(3), *short, *words(2)]), 4), ("yankee zulu xray", None), ("the 42 of it", 5), ("the 43 of it", None)):
+        if hit is not None:
+            wanted[len(rows)] = hit, 3 if hit == 4 else 1
+        rows.append((len(rows), t))
+    for limit in (500_000, 0):
+        got = {r["doc_id"]: (r["item_id"], r["covered_tokens"]) for r in decontamination.leaks(docs_of(rows), benchmark, broadcast_rows=limit).collect()}
+        assert got == wanted
+
+
 # --- pseudonyms ---------------------------------------------------------------------------
 
 PRIVATE = [
