@@ -18,7 +18,8 @@ packed by one task.  Only ids, places and lengths are shuffled, never text.  Bin
 of different shards never mix, which costs at most one poorly filled end a shard.
 
 Documents without a word are left out of bins.  Null sources are one source, and
-a null cluster conflicts with nothing.  Rows equal in id and text are separate
+a null cluster conflicts with nothing.  Clusters are exact copies, whatever the case
+and spacing, unless `clusters` names others, such as `near_copies`.  Rows equal in id and text are separate
 pieces, kept apart by their cluster.  An empty table gives no rows.
 """
 
@@ -32,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.llm import simhash
 from quillvec.llm.common import SPACE, durable, sorted_groups, text_or_empty, words
 from quillvec.ship import ship
 
@@ -116,10 +118,18 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.trim(F.lower(text_or_empty(text))), f"[{SPACE}]+", " "))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Clusters `(row, cluster)` of near copies, which hold those of exact copies: SimHash components over lower-cased texts."""
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("id"), F.lower(F.col(text_col)).alias("text"))
+    marked, named = simhash.groups(rows, "id", "text", 4, 4, 4096)
+    return marked.join(named, "fp").groupBy(F.col("id").alias("row")).agg(F.min("keeper").alias("cluster"))
+
+
+def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """Rows `(bin, place, id_col, piece, start, n_words)`: words start .. start + n_words of a document.
 
-    `bin` is shard * 2**32 + number; `place` counts the pieces of a bin.
+    `bin` is shard * 2**32 + number; `place` counts the pieces of a bin.  `clusters(row, cluster)`,
+    one row each, goes before `cluster`.
     """
     ship(docs.sparkSession)
     cluster = cluster_of(F.col(text_col)) if cluster is None else cluster
@@ -130,6 +140,9 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col:
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
     pieces = pieces.withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity)).drop("n")
     pieces = durable(pieces)  # texts are read once
+    if clusters is not None:
+        named = clusters.select(F.col("row").alias("named_row"), F.col("cluster").alias("named"))
+        pieces = pieces.join(named, F.col("row") == F.col("named_row"), "left").withColumn("cluster", F.coalesce("named", "cluster")).drop("named_row", "named")
     shards = max(1, -(-pieces.count() // shard_rows))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
     pieces = pieces.withColumn("cluster", F.when(F.col("length") < capacity, F.coalesce("cluster", F.xxhash64("row", "piece"))).otherwise(F.xxhash64("row", "piece")))

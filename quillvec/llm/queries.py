@@ -25,7 +25,8 @@ def spans_text(found: DataFrame, count: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=packing.near_copies(docs))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

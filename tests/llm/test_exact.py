@@ -276,6 +276,22 @@ def test_packing_rules(spark, corpus, texts):
         assert (d.start == d.n_words.cumsum().shift(fill_value=0)).all()
 
 
+def test_near_copies_go_into_different_bins(spark, tmp_path):
+    from quillvec.llm import queries
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(7))
+    first = [word() for _ in range(400)]
+    texts = {1: first, 2: [*first[:-1], word()], 3: [word() for _ in range(300)]}
+    assert 0 < (plain_fingerprint(" ".join(texts[1])) ^ plain_fingerprint(" ".join(texts[2]))).bit_count() <= 4
+    rows = [(k, " ".join(t), "en", f"src{k}", 0) for k, t in texts.items()]
+    rows += [(4, "É " + " ".join(texts[3]), "en", "src4", 0), (5, "é " + "  ".join(texts[3]), "en", "src5", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_packing"](spark, f"file://{tmp_path}").collect()
+    bins = {r["doc_id"]: r["bin"] for r in got}
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4, 5] and bins[1] != bins[2] and len({bins[k] for k in (4, 5)}) == 2
+
+
 def test_tightest_compatible_bin():
     import numpy as np
 
