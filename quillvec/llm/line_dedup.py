@@ -1,23 +1,26 @@
 """Line dedup by winnowing over line hashes.
 
-A window is a shortest run of successive lines with at least `least_words` words,
-from each line forwards and from each line backwards.  Its fingerprint is its
-least line hash.  A repeated run of `least_words` words holds a whole window, so
-both copies select the same line: a fingerprint that occurs once in the corpus
-cannot be part of a repeat, and most positions end there.
-
-Positions whose fingerprint recurs are joined by the hash of their whole window.
-The earliest window, by (id, row, position), stays; the others are matches.  From
-its fingerprint a match extends both ways over every neighbouring window that
-matches as well; as windows run both forwards and backwards, that reaches each
-line of every repeated run exactly, whichever earlier documents hold its parts.
+Lines are short: they end at line breaks, after sentences and after words with
+certain last letters, so that a passage has the same lines wherever it is pasted.
+A window is the shortest run of successive lines from a line on that has
+`least_words` words.  A gram is the same with `gram_words` words.  A window's
+fingerprint is the least hash of the grams inside it.  A repeated window selects the
+same gram in all its copies: a fingerprint that occurs once in the corpus cannot be
+part of a repeat, and most places end there.
+
+Windows around places whose fingerprint recurs are joined by the hash of their
+whole content (128 bits).  The earliest window, by (id, place), stays; the others
+are matches.  From a fingerprint a match extends both ways, line by line, over
+every neighbouring window that matches as well, whichever earlier documents hold
+the parts; what matching windows cover is removed.
 
 Rows of a frequent fingerprint or window are counted before the shuffle and
 joined to one row a key, in joins that Spark may split.  What is gathered is one
-document's positions, bounded by its length.
+document's places, bounded by its length.
 
-Null and empty texts have no lines.  Rows equal in id and text count as one
-document.  Null ids rank first.  An empty table gives no rows; other columns pass.
+Null and empty texts have no lines.  A text of any length is read whole.  Rows
+equal in id and text count as one document.  Null ids rank first; among rows with
+equal ids a hash of the text decides.  An empty table gives no rows; other columns pass.
 """
 
 from __future__ import annotations
@@ -30,117 +33,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.common import durable
-from quillvec.llm.lines import lines_column, row_hash, stretches, without
+from quillvec.llm.lines import BASE, PIECES, SECOND, Sums, arrays_column, listed, numbered, one_each, spans_of, split, without
 from quillvec.ship import ship
 
-#: Odd, so that a prefix's powers can be divided out modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
-    """Windows of documents laid end to end; `first`: where documents begin, and the total.
-
-    Returns starts, ends, the places of their least hashes, and hashes of the whole windows.
-    """
-    n = len(hashes)
-    total = np.concatenate([[0], np.cumsum(words)])
-    document = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    ahead = np.searchsorted(total, total[:-1] + least_words, "left")
-    behind = np.searchsorted(total, total[1:] - least_words, "right") - 1
-    lines = np.arange(n)
-    forward, backward = ahead <= first[document + 1], behind >= first[document]
-    start = np.concatenate([lines[forward], behind[backward]])
-    end = np.concatenate([ahead[forward], lines[backward] + 1])
-    pairs = np.unique(start * (n + 1) + end)
-    start, end = pairs // (n + 1), pairs % (n + 1)
-    least = start.copy()
-    for k in range(1, int((end - start).max(initial=0))):
-        more = np.flatnonzero(start + k < end)
-        lower = more[hashes[start[more] + k] < hashes[least[more]]]
-        least[lower] = start[lower] + k
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(BASE, n), dtype=np.uint64)])
-    whole = (sums[end] - sums[start]) * powers(INVERSE, n + 1)[start]
-    whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(BASE) + (end - start).astype(np.uint64)
-    return start, end, least, whole
+FIELDS = "short: array<int>, weight: array<int>, size: array<int>, k: array<int>, hash: array<long>"
+
 
+def reach(weight: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of documents laid end to end: where a run of `least` words from it on ends, and whether its document holds it."""
+    total = np.concatenate([[0], np.cumsum(weight)])
+    to = np.searchsorted(total, total[:-1] + least, "left")
+    return to, to <= np.repeat(first[1:], np.diff(first))
 
-def parts(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+
+def fingerprints(hashes: np.ndarray, weight: np.ndarray, first: np.ndarray, least_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the grams that windows select, ascending, and their hashes."""
+    to, fits = reach(weight, first, least_words)
+    gram_to, _ = reach(weight, first, gram_words)
+    start = np.flatnonzero(fits)
+    last = np.searchsorted(gram_to, to[start], "right") - 1
+    grams = Sums(hashes, BASE).of(np.arange(len(hashes)), np.minimum(gram_to, len(hashes)))
+    least = start.copy()
+    for k in range(1, int((last - start).max(initial=0)) + 1):
+        more = np.flatnonzero(start + k <= last)
+        lower = more[grams[start[more] + k] < grams[least[more]]]
+        least[lower] = start[lower] + k
+    least = np.unique(least)
+    return least, grams[least]
+
+
+def windows(short: np.ndarray, weight: np.ndarray, first: np.ndarray, places: np.ndarray, least_words: int, gram_words: int) -> tuple[np.ndarray, ...]:
+    """Windows with a gram at one of `places` inside: starts, ends, and two hashes of the content."""
+    to, fits = reach(weight, first, least_words)
+    gram_to, _ = reach(weight, first, gram_words)
+    next_place = np.searchsorted(places, np.arange(len(weight)))
+    near = np.append(places, len(weight))[next_place]
+    inside = fits & (np.append(gram_to, len(weight) + 1)[near] <= to)
+    start = np.flatnonzero(inside)
+    values = short.view(np.uint32).astype(np.uint64) + np.uint64(1)
+    return start, to[start], Sums(values, BASE).of(start, to[start]), Sums(values, SECOND).of(start, to[start])
+
+
+def lines_of(texts: list[str], least_words: int, gram_words: int, sentences: bool) -> dict[str, list[np.ndarray]]:
+    """Lines with 32 bits of their hashes, and the documents' fingerprints."""
+    got = split(texts, PIECES if sentences else "")
+    places, hashes = fingerprints(got.hash, got.weight, got.first, least_words, gram_words)
+    of = np.searchsorted(places, got.first)
+    document = np.searchsorted(got.first, places, "right") - 1
+    short = (got.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return {
+        "short": listed(got.first, short), "weight": listed(got.first, got.weight), "size": listed(got.first, got.sizes().astype(np.int32)),
+        "k": listed(of, (places - got.first[document]).astype(np.int32)), "hash": listed(of, hashes),
+    }
+
+
+def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
     """`batches` in parts that take little memory."""
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows]
 
 
-def batch_windows(batch: pd.DataFrame, least_words: int) -> tuple[np.ndarray, ...]:
-    """As `windows`, with the row of each window and places counted within documents."""
-    sizes = batch["hash"].map(len).to_numpy(np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    hashes = np.concatenate(batch["hash"].tolist()).astype(np.int64).view(np.uint64)
-    start, end, least, whole = windows(hashes, np.concatenate(batch["words"].tolist()), first, least_words)
-    row = np.searchsorted(first, start, "right") - 1
-    return row, start - first[row], end - first[row], least - first[row], hashes[least], whole
-
-
-def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, least_words: int = 25, gram_words: int = 8, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with later repeated runs: `(id, row, n_lines, spans)`; spans are (start, end, words)."""
     ship(docs.sparkSession)
-    lines = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("row"), lines_column(F.col(text_col), sentences).alias("l")).select("id", "row", "l.*")
-    lines = durable(lines).where(F.size("hash") > 0)  # a filter before it would split the texts twice
-
-    def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in parts(batches):
-            row, _, _, least, low, _ = batch_windows(batch, least_words)
-            _, one = np.unique(row * (1 << 32) + least, return_index=True)
-            yield pd.DataFrame({"row": batch["row"].to_numpy()[row[one]], "k": least[one].astype(np.int32), "hash": low[one].view(np.int64)})
-
-    found = durable(lines.select("row", "hash", "words").mapInPandas(fingerprints, "row long, k int, hash long"))
+    gram_words = min(gram_words, least_words)
+    split_up = arrays_column(F.col(text_col), FIELDS, lambda texts: lines_of(texts, least_words, gram_words, sentences))
+    lines = numbered(docs, id_col, text_col, F.hash(F.col(text_col)).alias("tie"), split_up.alias("l")).select("id", "row", "n", "tie", "l.*")
+    lines = durable(lines).where(F.size("short") > 0)  # a filter before it would split the texts twice
+    found = lines.select("n", F.explode(F.arrays_zip("k", "hash")).alias("f")).select("n", "f.k", "f.hash")
     twice = durable(found.groupBy("hash").count().where("count > 1").select("hash"))
-    places = found.join(twice, "hash").groupBy("row").agg(F.collect_set("k").alias("places"))
+    places = found.join(twice, "hash").groupBy("n").agg(F.collect_list("k").alias("places"))
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts(batches):
-            row, start, end, least, _, whole = batch_windows(batch, least_words)
-            sizes = batch["places"].map(len).to_numpy()
-            keys = np.repeat(np.arange(len(batch)), sizes) * (1 << 32) + np.concatenate(batch["places"].tolist())
-            on = np.isin(row * (1 << 32) + least, keys)
-            row = row[on]
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "row": batch["row"].to_numpy()[row], "k": start[on].astype(np.int32), "to": end[on].astype(np.int32), "whole": whole[on].view(np.int64)})
+            sizes = batch["weight"].map(len).to_numpy(np.int64)
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.concatenate([np.sort(p) + a for p, a in zip(batch["places"], first)]).astype(np.int64)
+            start, end, whole, second = windows(np.concatenate(batch["short"].tolist()).astype(np.int32), np.concatenate(batch["weight"].tolist()), first, at, least_words, gram_words)
+            row = np.searchsorted(first, start, "right") - 1
+            own = {c: batch[c].to_numpy()[row] for c in ("id", "tie", "n")}
+            yield pd.DataFrame(own | {"k": (start - first[row]).astype(np.int32), "to": (end - first[row]).astype(np.int32), "whole": whole.view(np.int64), "second": second.view(np.int64)})
 
     kind = lines.schema["id"].dataType.simpleString()
-    asked = lines.join(places, "row").withColumn("id", F.col("id").cast("string"))  # pandas has no whole numbers with nulls
-    window = asked.select("id", "row", "hash", "words", "places").mapInPandas(shared, "id string, row long, k int, to int, whole long")
+    asked = lines.join(places, "n").withColumn("id", F.col("id").cast("string"))  # pandas has no whole numbers with nulls
+    window = asked.select("id", "tie", "n", "short", "weight", "places").mapInPandas(shared, "id string, tie int, n long, k int, to int, whole long, second long")
     window = durable(window.withColumn("id", F.col("id").cast(kind)))
-    first = durable(window.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "k")).alias("first")).where("n > 1"))
-    later = window.join(first, "whole").where((F.col("row") != F.col("first.row")) | (F.col("k") != F.col("first.k")))
-    marked = later.groupBy("row").agg(F.collect_set(F.struct("k", "to")).alias("matches"))
+    content = ["whole", "second"]
+    first = durable(window.groupBy(*content).agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie", "n", "k")).alias("first")).where("copies > 1"))
+    later = window.join(first, content).where((F.col("n") != F.col("first.n")) | (F.col("k") != F.col("first.k")))
+    marked = later.groupBy("n").agg(F.collect_list(F.col("k").cast("long") * (1 << 32) + F.col("to")).alias("matches"))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts(batches):
             out = []
             for x in batch.itertuples():
-                change = np.zeros(len(x.words) + 1, np.int64)
-                for m in x.matches:
-                    change[m["k"]] += 1
-                    change[m["to"]] -= 1
-                cover = np.cumsum(change)[:-1] > 0
-                spans = [{"start": int(x.start[a]), "end": int(x.end[b - 1]), "words": int(x.words[a:b].sum())} for a, b in stretches(cover, x.words, 0)]
-                out.append((x.row, len(cover), spans))
+                n = len(x.weight)
+                change = np.bincount(x.matches >> 32, minlength=n + 1) - np.bincount(x.matches & (1 << 32) - 1, minlength=n + 1)
+                out.append((x.n, n, spans_of(np.cumsum(change)[:-1] > 0, x.weight, x.size)))
             if out:
-                yield pd.DataFrame(out, columns=["row", "n_lines", "spans"])
+                yield pd.DataFrame(out, columns=["n", "n_lines", "spans"])
 
-    spans = lines.join(marked, "row").select("row", "words", "start", "end", "matches").mapInPandas(runs, "row long, n_lines int, spans array<struct<start: int, end: int, words: int>>")
-    spans = durable(spans.dropDuplicates(["row"]))
-    return lines.select("id", "row").distinct().join(spans, "row").select("id", "row", "n_lines", "spans")
+    spans = lines.join(marked, "n").select("n", "weight", "size", "matches").mapInPandas(runs, "n long, n_lines int, spans array<struct<start: int, end: int, words: int>>")
+    return one_each(durable(spans), lines).select("id", "row", "n_lines", "spans")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without later repeated runs; documents that lose every word go."""
     found = repeats(docs, id_col=id_col, text_col=text_col, **options)
-    return without(docs, found.select("row", "spans").dropDuplicates(["row"]), id_col, text_col)
+    return without(docs, found.select("row", "spans"), id_col, text_col)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quillvec.llm import quality_rules as rules
+from quillvec.llm.lines import PIECES, SENTENCES, WIDE, WORD_CHARS
 
 SPACES = r"[\x20\x09-\x0D]+"
-LEAST_WORDS = 25
+LEAST_WORDS, LEAST_UNIT = 25, 13
 
 
 def count_of(column: str, characters: str) -> str:
@@ -35,28 +36,31 @@ base AS (SELECT r, doc_id, len(ws)::BIGINT AS n_words, length(translate(t, ' ' |
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * words_removed <= 30 * n_words AS kept, lines_removed, words_removed FROM base"""
 
-UNITS = f"""WITH cut AS (SELECT doc_id, unnest(parts) AS u, unnest(range(1, len(parts) + 1)) AS p FROM (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), chr(10), chr(10) || chr(30), 'g'), '([.!?] )', '\\1' || chr(30), 'g'), chr(30)) AS parts FROM documents)),
-placed AS (SELECT *, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM cut),
-units AS (SELECT doc_id, s, s + length(u) AS e, {words("u")} AS ws, array_to_string({words("lower(u)")}, ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM placed WHERE regexp_matches(u, '[^\\x20\\x09-\\x0D]'))
+def units(after: str) -> str:
+    """Logical lines of all documents: place, offsets, weight and words in normal form."""
+    both = after + "".join(c.upper() for c in after if c.isalpha())
+    return f"""WITH cut AS (SELECT doc_id, unnest(parts) AS u, unnest(range(1, len(parts) + 1)) AS p FROM (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(10), chr(10) || chr(30), 'g'), '([{both}] )', '\\1' || chr(30), 'g'), '([{WIDE}])', '\\1' || chr(30), 'g'), chr(30)) AS parts FROM documents)),
+ends AS (SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY p)::BIGINT AS e FROM cut),
+worded AS (SELECT doc_id, e, {words("u")} AS ws, array_to_string({words("lower(u)")}, ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM ends WHERE regexp_matches(u, '[^\\x20\\x09-\\x0D]')),
+units AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS s, greatest(len(ws), length(norm) // {WORD_CHARS}) AS w FROM worded)
 """
 
 
-def spans(marked: str, least: int, count: str) -> str:
-    """Runs of `marked(doc_id, k)`, with at least `least` words, as the queries show them."""
+def spans(marked: str, count: str) -> str:
+    """Runs of `marked(doc_id, k)` as the queries show them."""
     return f""", islands AS (SELECT u.*, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM units u WHERE (doc_id, k) IN (SELECT doc_id, k FROM {marked})),
-runs AS (SELECT doc_id, g, min(s) AS s, max(e) AS e, sum(len(ws)) AS w FROM islands GROUP BY 1, 2 HAVING sum(len(ws)) >= {least})
+runs AS (SELECT doc_id, g, min(s) AS s, max(e) AS e, sum(w) AS w FROM islands GROUP BY 1, 2)
 SELECT doc_id, (SELECT count(*) FROM units u WHERE u.doc_id = r.doc_id)::BIGINT AS {count}, count(*)::BIGINT AS n_removed, sum(w)::BIGINT AS words_removed, string_agg(s || '-' || e, ' ' ORDER BY s) AS removed FROM runs r GROUP BY doc_id"""
 
 
-OP2 = UNITS + ", later AS (SELECT doc_id, k FROM units QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1)" + spans("later", LEAST_WORDS, "n_units")
+OP2 = units(SENTENCES) + f""", later AS (SELECT doc_id, k, w, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1)),
+gone AS (SELECT doc_id, k FROM later QUALIFY w >= {LEAST_UNIT} OR sum(w) OVER (PARTITION BY doc_id, stretch) >= {LEAST_WORDS})""" + spans("gone", "n_units")
 
-OP3 = UNITS + f""", sums AS (SELECT *, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS c FROM units),
-lines AS (SELECT *, c - len(ws) AS before FROM sums), whole AS (SELECT doc_id, list(norm ORDER BY k) AS norms FROM units GROUP BY 1),
-ahead AS (SELECT a.doc_id, a.k AS f, b.k AS l FROM (SELECT *, before + {LEAST_WORDS} AS target FROM lines) a ASOF JOIN lines b ON a.doc_id = b.doc_id AND a.target <= b.c),
-behind AS (SELECT a.doc_id, b.k AS f, a.k AS l FROM (SELECT *, c - {LEAST_WORDS} AS target FROM lines) a ASOF JOIN lines b ON a.doc_id = b.doc_id AND a.target >= b.before),
-windows AS (SELECT DISTINCT doc_id, f, l, norms[f:l] AS content FROM (SELECT * FROM ahead UNION SELECT * FROM behind) JOIN whole USING (doc_id)),
+OP3 = units(PIECES) + f""", sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS c FROM units),
+whole AS (SELECT doc_id, list(norm ORDER BY k) AS norms FROM units GROUP BY 1),
+windows AS (SELECT a.doc_id, a.k AS f, b.k AS l, norms[a.k:b.k] AS content FROM (SELECT *, c - w + {LEAST_WORDS} AS target FROM sums) a ASOF JOIN sums b ON a.doc_id = b.doc_id AND a.target <= b.c JOIN whole ON a.doc_id = whole.doc_id),
 later AS (SELECT doc_id, f, l FROM windows QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, f) > 1),
-covered AS (SELECT DISTINCT u.doc_id, u.k FROM units u JOIN later x ON u.doc_id = x.doc_id AND u.k BETWEEN x.f AND x.l)""" + spans("covered", 0, "n_lines")
+covered AS (SELECT DISTINCT u.doc_id, u.k FROM units u JOIN later x ON u.doc_id = x.doc_id AND u.k BETWEEN x.f AND x.l)""" + spans("covered", "n_lines")
 
 ORACLE_SQL = {"op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op5_quality_rules": OP5}

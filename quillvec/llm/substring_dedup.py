@@ -1,10 +1,11 @@
 """Substring dedup by hashing lines or paragraphs.
 
 Units (lines, cut after sentences unless told otherwise) are normalised and
-hashed; digests are counted over all documents; the earliest unit of a digest, by
-(rank, row, position), stays and later ones are repeats.  A stretch of successive
-repeats with at least `least_words` words is removed, and its original offsets
-are kept.  A short sentence that recurs by itself is no passage and stays.
+hashed to 128 bits; digests are counted over all documents; the earliest unit of a
+digest, by (rank, place), stays and later ones are repeats.  A repeat with
+`least_unit` words or more is removed, and so is every repeat in a stretch of
+successive ones that has `least_words` words together; original offsets are kept.
+A shorter sentence that recurs by itself is no passage and stays.
 
 Only digests that occur twice or more leave the first count, so what is joined
 and ranked afterwards is the repeated part of the corpus.  A frequent unit is
@@ -12,8 +13,9 @@ counted before the shuffle and its rows meet their digest in a join that Spark
 may split; nothing gathers the rows of one digest.  A document's marks come
 together per document, bounded by its own length.
 
-Null and empty texts have no units.  Rows equal in id and text count as one
-document.  Null ids rank first.  An empty table gives no rows; other columns pass.
+Null and empty texts have no units.  A text of any length is read whole.  Rows
+equal in id and text count as one document.  Null ids rank first; among rows with
+equal ranks a hash of the text decides.  An empty table gives no rows; other columns pass.
 """
 
 from __future__ import annotations
@@ -26,42 +28,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.common import durable
-from quillvec.llm.lines import lines_column, row_hash, stretches, without
+from quillvec.llm.lines import SENTENCES, arrays_column, listed, numbered, one_each, spans_of, split, stretches, without
 from quillvec.ship import ship
 
+FIELDS = "hash: array<long>, second: array<long>, weight: array<int>, size: array<int>"
 
-def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None) -> DataFrame:
+def units_of(texts: list[str], sentences: bool = True) -> dict[str, list[np.ndarray]]:
+    got = split(texts, SENTENCES if sentences else "")
+    return {"hash": listed(got.first, got.hash), "second": listed(got.first, got.second), "weight": listed(got.first, got.weight), "size": listed(got.first, got.sizes().astype(np.int32))}
+
+
+def removed(marks: np.ndarray, weight: np.ndarray, least_words: int, least_unit: int) -> np.ndarray:
+    """Which of the repeats go."""
+    sums = np.concatenate([[0], np.cumsum(weight)])
+    out = marks & (weight >= least_unit)
+    for a, b in zip(*stretches(marks)):
+        if sums[b] - sums[a] >= least_words:
+            out[a:b] = True
+    return out
+
+
+def repeats(docs: DataFrame, least_words: int = 25, least_unit: int = 13, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None) -> DataFrame:
     """Documents with removed passages: `(id, row, n_units, spans)`; spans are (start, end, words)."""
     ship(docs.sparkSession)
-    rank = F.col(rank_col or id_col)
-    units = docs.select(F.col(id_col).alias("id"), rank.alias("rank"), row_hash(id_col, text_col).alias("row"), lines_column(F.col(text_col), sentences).alias("l")).select("id", "rank", "row", "l.*")
+    split_up = arrays_column(F.col(text_col), FIELDS, lambda texts: units_of(texts, sentences))
+    units = numbered(docs, id_col, text_col, F.col(rank_col or id_col).alias("rank"), F.hash(F.col(text_col)).alias("tie"), split_up.alias("l")).select("id", "row", "n", "rank", "tie", "l.*")
     units = durable(units).where(F.size("hash") > 0)  # a filter before it would split the texts twice
-    each = units.select("rank", "row", F.posexplode("hash").alias("k", "digest"))
-    twice = durable(each.groupBy("digest").count().where("count > 1").select("digest"))
-    shared = durable(each.join(twice, "digest"))
-    first = durable(shared.groupBy("digest").agg(F.min(F.struct("rank", "row", "k")).alias("first")))
-    later = shared.join(first, "digest").where((F.col("row") != F.col("first.row")) | (F.col("k") != F.col("first.k")))
-    marked = later.groupBy("row").agg(F.collect_set("k").alias("marks"))
-    rows = units.join(marked, "row")
+    each = units.select("rank", "tie", "n", F.posexplode(F.arrays_zip("hash", "second")).alias("k", "digest")).select("rank", "tie", "n", "k", "digest.hash", "digest.second")
+    digest = ["hash", "second"]
+    twice = durable(each.groupBy(*digest).count().where("count > 1").select(*digest))
+    shared = durable(each.join(twice, digest))
+    first = durable(shared.groupBy(*digest).agg(F.min(F.struct("rank", "tie", "n", "k")).alias("first")))
+    later = shared.join(first, digest).where((F.col("n") != F.col("first.n")) | (F.col("k") != F.col("first.k")))
+    rows = units.join(later.groupBy("n").agg(F.collect_set("k").alias("marks")), "n")
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for x in batch.itertuples():
-                marks = np.zeros(len(x.words), bool)
+                marks = np.zeros(len(x.weight), bool)
                 marks[x.marks] = True
-                found = [{"start": int(x.start[a]), "end": int(x.end[b - 1]), "words": int(x.words[a:b].sum())} for a, b in stretches(marks, x.words, least_words)]
-                if found:
-                    out.append((x.row, len(marks), found))
+                if found := spans_of(removed(marks, x.weight, least_words, least_unit), x.weight, x.size):
+                    out.append((x.n, len(marks), found))
             if out:
-                yield pd.DataFrame(out, columns=["row", "n_units", "spans"])
+                yield pd.DataFrame(out, columns=["n", "n_units", "spans"])
 
-    spans = rows.select("row", "words", "start", "end", "marks").mapInPandas(passages, "row long, n_units int, spans array<struct<start: int, end: int, words: int>>")
-    spans = durable(spans.dropDuplicates(["row"]))
-    return units.select("id", "row").distinct().join(spans, "row").select("id", "row", "n_units", "spans")
+    spans = rows.select("n", "weight", "size", "marks").mapInPandas(passages, "n long, n_units int, spans array<struct<start: int, end: int, words: int>>")
+    return one_each(durable(spans), units).select("id", "row", "n_units", "spans")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the repeated passages."""
+    """`docs` without the repeated passages; documents that lose every word go."""
     found = repeats(docs, id_col=id_col, text_col=text_col, **options)
-    return without(docs, found.select("row", "spans").dropDuplicates(["row"]), id_col, text_col)
+    return without(docs, found.select("row", "spans"), id_col, text_col)

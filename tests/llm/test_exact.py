@@ -170,36 +170,45 @@ def test_token_counts_of_any_text(text):
 # --- repeated lines -----------------------------------------------------------------------
 
 
-def covered(text_lines, windows):
-    marks = [False] * len(text_lines[0])
-    for a, b in windows:
-        for k in range(a, b):
-            marks[k] = True
-    return marks
+def plain_lines_of(text, after):
+    """(words in normal form, weight, start, end) of each line."""
+    low, out, start = lines.lower(text), [], 0
+    for k, c in enumerate(text):
+        if c == "\n" or c in lines.WIDE or c == " " and k and low[k - 1] in after or k == len(text) - 1:
+            norm = " ".join(re.findall(r"[^\x20\x09-\x0D]+", low[start : k + 1]))
+            if norm:
+                out.append((norm, max(norm.count(" ") + 1, len(norm) // lines.WORD_CHARS), start, k + 1))
+                start = k + 1
+    return out
 
 
-def spans_of(marks, found, least):
-    hashes, words, starts, ends = found
+def spans_of(marks, found):
     out, k = [], 0
     while k < len(marks):
         j = k
         while j < len(marks) and marks[j]:
             j += 1
-        if j > k and sum(words[k:j]) >= least:
-            out.append((starts[k], ends[j - 1]))
+        if j > k:
+            out.append((found[k][2], found[j - 1][3]))
         k = max(j, k + 1)
     return out
 
 
 def plain_substring(rows, least):
+    """Later repeats in a stretch of `least` words, or of half as many themselves."""
     seen, out = set(), {}
     for i, t in rows:
-        found = lines.split(t or "")
+        found = plain_lines_of(t or "", lines.SENTENCES)
         marks = []
-        for h in found[0]:
-            marks.append(h in seen)
-            seen.add(h)
-        if spans := spans_of(marks, found, least):
+        for x in found:
+            marks.append(x[0] in seen)
+            seen.add(x[0])
+        gone = [m and found[k][1] >= least // 2 for k, m in enumerate(marks)]
+        for a in range(len(marks)):
+            for b in range(a + 1, len(marks) + 1):
+                if all(marks[a:b]) and sum(x[1] for x in found[a:b]) >= least:
+                    gone[a:b] = [True] * (b - a)
+        if spans := spans_of(gone, found):
             out[i] = spans
     return out
 
@@ -207,25 +216,15 @@ def plain_substring(rows, least):
 def plain_lines(rows, least):
     first, out = {}, {}
     for i, t in rows:
-        found = lines.split(t or "")
-        hashes, words = found[:2]
-        windows = set()
-        for a in range(len(hashes)):
-            for ends in (range(a + 1, len(hashes) + 1), ()):
-                for b in ends:
-                    if sum(words[a:b]) >= least:
-                        windows.add((a, b))
-                        break
-        for b in range(1, len(hashes) + 1):
-            for a in range(b - 1, -1, -1):
-                if sum(words[a:b]) >= least:
-                    windows.add((a, b))
-                    break
-        matched = []
-        for a, b in sorted(windows):
-            if first.setdefault(tuple(hashes[a:b]), (i, a)) != (i, a):
-                matched.append((a, b))
-        if spans := spans_of(covered(found, matched), found, 1):
+        found = plain_lines_of(t or "", lines.PIECES)
+        marks = [False] * len(found)
+        for a in range(len(found)):
+            b, n = a, 0
+            while b < len(found) and n < least:
+                n, b = n + found[b][1], b + 1
+            if n >= least and first.setdefault(tuple(x[0] for x in found[a:b]), (i, a)) != (i, a):
+                marks[a:b] = [True] * (b - a)
+        if spans := spans_of(marks, found):
             out[i] = spans
     return out
 
@@ -236,14 +235,14 @@ def repeated_corpus(seed):
     return [(i, rng.choice(["\n", " "]).join(rng.choice(pool) for _ in range(rng.randint(0, 25)))) for i in range(60)]
 
 
-@pytest.mark.parametrize("least", [1, 6, 12])
+@pytest.mark.parametrize("least", [2, 6, 12])
 def test_repeats_match_brute_force(spark, docs_of, texts, least):
-    for rows in (repeated_corpus(least), sorted(texts.items())):
+    for rows in (repeated_corpus(least), sorted(texts.items())[: 200 if least > 2 else 60]):
         df = docs_of(rows)
-        for operator, plain in ((substring_dedup, plain_substring), (line_dedup, plain_lines)):
-            got = {r["id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in operator.repeats(df, least_words=least).collect()}
+        for operator, plain, options in ((substring_dedup, plain_substring, {"least_unit": least // 2}), (line_dedup, plain_lines, {"gram_words": least // 2})):
+            got = {r["id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in operator.repeats(df, least_words=least, **options).collect()}
             assert got == plain(rows, least), operator.__name__
-            left = {r["doc_id"]: r["text"] for r in operator.remove(df, least_words=least).collect()}
+            left = {r["doc_id"]: r["text"] for r in operator.remove(df, least_words=least, **options).collect()}
             for i, t in rows:
                 at, kept = 0, ""
                 for a, b in got.get(i, []):
@@ -252,6 +251,36 @@ def test_repeats_match_brute_force(spark, docs_of, texts, least):
                 assert left.get(i) == (kept if kept.split() or i not in got else None)
 
 
+@pytest.mark.parametrize("after", ["", lines.SENTENCES, lines.PIECES])
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(list("abns. \n\t!é。İA")), max_size=120), max_size=12))
+@settings(deadline=None, max_examples=60)
+def test_lines_of_any_text(after, texts):
+    old, lines.SLAB = lines.SLAB, 40
+    try:
+        got = lines.split(texts, after)
+    finally:
+        lines.SLAB = old
+    norms = {}
+    for k, t in enumerate(texts):
+        a, b = got.first[k], got.first[k + 1]
+        want = plain_lines_of(t, after) if after else [x for x in plain_lines_of(t.replace("。", "c"), "")]
+        if after or "。" not in t:
+            assert [x[1:2] + x[3:] for x in want] == list(zip(got.weight[a:b].tolist(), got.end[a:b].tolist()))
+            for x, *h in zip(want, got.hash[a:b].tolist(), got.second[a:b].tolist()):
+                assert norms.setdefault(x[0], h) == h
+    assert len({tuple(h) for h in norms.values()}) == len({h[0] for h in norms.values()}) == len(norms)
+
+
+def test_rows_with_equal_ids(docs_of):
+    """Copies of a row count as one document; other texts of the same id are documents of their own."""
+    text = lambda c: " ".join(f"{c}{k}." for k in range(40))
+    df = docs_of([(1, text("a")), (1, text("a")), (1, text("b") + " " + text("a")), (2, text("b"))])
+    for operator in (substring_dedup, line_dedup):
+        kept = sorted((r["doc_id"], r["text"].strip()) for r in operator.remove(df).collect())
+        assert [x for x in kept if x[1].startswith("a")] in ([(1, text("a"))] * 2, []) and len(kept) in (1, 2, 3)
+        assert sum(x[1].count("b5.") for x in kept) == 1 and sum("a5." in x[1] for x in kept) in (1, 2)
+
+
 def test_pasted_passages_are_found(spark, docs_of):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9)))
@@ -260,6 +289,9 @@ def test_pasted_passages_are_found(spark, docs_of):
     rows = [(i, f"{text(50)} {passage} {text(50)}" if i % 4 == 1 else text(120)) for i in range(40)]
     for operator in (substring_dedup, line_dedup):
         assert {r["id"] for r in operator.repeats(docs_of(rows)).collect()} == {i for i, _ in rows if i % 4 == 1 and i > 1}
+    long = "".join(word() + " " for _ in range(60))  # one sentence, fused with its surroundings at both ends
+    rows = [(i, f"{text(50)} {word()} {long}{word()} {text(50)}" if i % 4 == 1 else text(120)) for i in range(40)]
+    assert {r["id"] for r in line_dedup.repeats(docs_of(rows)).collect()} == {i for i, _ in rows if i % 4 == 1 and i > 1}
 
 
 # --- packing ------------------------------------------------------------------------------
