@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, which only a local master can share with its tasks."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillvec-")
+        where = _OWN_DIRS[context.applicationId]
+    return where.rstrip("/")
+
+
 class Files:
     """A folder, through Hadoop's file systems."""
 
@@ -27,6 +44,9 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.Path(self.at(name))) if not s.getPath().getName().startswith((".", "_")))
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self.Path(self.at(name))).getLength() if self.exists(name) else 0
+
     def read(self, name: str) -> object:
         stream = self.fs.open(self.Path(self.at(name)))
         try:
