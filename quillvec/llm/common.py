@@ -1,13 +1,12 @@
 """Shared pieces: words, row keys, durable tables, sorted groups and components.
 
 Row keys: `doc_id` may be null or repeated, so an operator that has to find a
-row again uses `(doc_id, xxhash64(text))`.  Rows equal in both are the same
+row again uses 128 bits of id and text.  Rows equal in both are the same
 document to every operator and get the same answer.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.ship import ship
+from quillvec.sources.files import shared_dir
 
 #: ASCII white space, which separates words.
 SPACE = "\\x20\\x09-\\x0D"
@@ -46,18 +46,9 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one for the application."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN_DIRS:
-            _OWN_DIRS[application] = "file://" + tempfile.mkdtemp(prefix="quillvec-")
-        where = _OWN_DIRS[application]
-    return where.rstrip("/")
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells documents apart: 128 bits of the id and the whole text."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x1e")), F.coalesce(F.col(text_col), F.lit("\x1e"))).cast("binary")))
 
 
 #: Rows that go to a Python worker at a time while a table is written; texts are long.

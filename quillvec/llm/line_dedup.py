@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.common import durable
-from quillvec.llm.lines import BASE, PIECES, SECOND, Sums, arrays_column, listed, numbered, one_each, spans_of, split, without
+from quillvec.llm.lines import BASE, PIECES, PLACE_BITS, SECOND, Sums, arrays_column, listed, numbered, one_each, ranked, short, spans_of, split, without
 from quillvec.ship import ship
 
 FIELDS = "short: array<int>, weight: array<int>, size: array<int>, k: array<int>, hash: array<long>"
@@ -62,7 +62,7 @@ def fingerprints(hashes: np.ndarray, weight: np.ndarray, first: np.ndarray, leas
     return least, grams[least]
 
 
-def windows(short: np.ndarray, weight: np.ndarray, first: np.ndarray, places: np.ndarray, least_words: int, gram_words: int) -> tuple[np.ndarray, ...]:
+def windows(lines: np.ndarray, weight: np.ndarray, first: np.ndarray, places: np.ndarray, least_words: int, gram_words: int) -> tuple[np.ndarray, ...]:
     """Windows with a gram at one of `places` inside: starts, ends, and two hashes of the content."""
     to, fits = reach(weight, first, least_words)
     gram_to, _ = reach(weight, first, gram_words)
@@ -70,19 +70,18 @@ def windows(short: np.ndarray, weight: np.ndarray, first: np.ndarray, places: np
     near = np.append(places, len(weight))[next_place]
     inside = fits & (np.append(gram_to, len(weight) + 1)[near] <= to)
     start = np.flatnonzero(inside)
-    values = short.view(np.uint32).astype(np.uint64) + np.uint64(1)
+    values = lines.view(np.uint32).astype(np.uint64) + np.uint64(1)
     return start, to[start], Sums(values, BASE).of(start, to[start]), Sums(values, SECOND).of(start, to[start])
 
 
 def lines_of(texts: list[str], least_words: int, gram_words: int, sentences: bool) -> dict[str, list[np.ndarray]]:
     """Lines with 32 bits of their hashes, and the documents' fingerprints."""
-    got = split(texts, PIECES if sentences else "")
+    got = split(texts, PIECES if sentences else "", second=False)
     places, hashes = fingerprints(got.hash, got.weight, got.first, least_words, gram_words)
     of = np.searchsorted(places, got.first)
     document = np.searchsorted(got.first, places, "right") - 1
-    short = (got.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return {
-        "short": listed(got.first, short), "weight": listed(got.first, got.weight), "size": listed(got.first, got.sizes().astype(np.int32)),
+        "short": listed(got.first, short(got.hash)), "weight": listed(got.first, got.weight), "size": listed(got.first, got.sizes().astype(np.int32)),
         "k": listed(of, (places - got.first[document]).astype(np.int32)), "hash": listed(of, hashes),
     }
 
@@ -103,7 +102,8 @@ def repeats(docs: DataFrame, least_words: int = 25, gram_words: int = 8, sentenc
     lines = durable(lines).where(F.size("short") > 0)  # a filter before it would split the texts twice
     found = lines.select("n", F.explode(F.arrays_zip("k", "hash")).alias("f")).select("n", "f.k", "f.hash")
     twice = durable(found.groupBy("hash").count().where("count > 1").select("hash"))
-    places = found.join(twice, "hash").groupBy("n").agg(F.collect_list("k").alias("places"))
+    ranks = ranked(lines, "id", "tie")
+    places = found.join(twice, "hash").groupBy("n").agg(F.collect_list("k").alias("places")).join(ranks, "n")
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts(batches):
@@ -112,24 +112,24 @@ def repeats(docs: DataFrame, least_words: int = 25, gram_words: int = 8, sentenc
             at = np.concatenate([np.sort(p) + a for p, a in zip(batch["places"], first)]).astype(np.int64)
             start, end, whole, second = windows(np.concatenate(batch["short"].tolist()).astype(np.int32), np.concatenate(batch["weight"].tolist()), first, at, least_words, gram_words)
             row = np.searchsorted(first, start, "right") - 1
-            own = {c: batch[c].to_numpy()[row] for c in ("id", "tie", "n")}
-            yield pd.DataFrame(own | {"k": (start - first[row]).astype(np.int32), "to": (end - first[row]).astype(np.int32), "whole": whole.view(np.int64), "second": second.view(np.int64)})
+            place = (batch["rank"].to_numpy(np.int64)[row] << PLACE_BITS) + start - first[row]
+            yield pd.DataFrame({"place": place, "lines": (end - start).astype(np.int32), "whole": whole.view(np.int64), "second": second.view(np.int64)})
 
-    kind = lines.schema["id"].dataType.simpleString()
-    asked = lines.join(places, "n").withColumn("id", F.col("id").cast("string"))  # pandas has no whole numbers with nulls
-    window = asked.select("id", "tie", "n", "short", "weight", "places").mapInPandas(shared, "id string, tie int, n long, k int, to int, whole long, second long")
-    window = durable(window.withColumn("id", F.col("id").cast(kind)))
+    asked = lines.join(places, "n").select("rank", "short", "weight", "places")
+    window = durable(asked.mapInPandas(shared, "place long, lines int, whole long, second long"))
     content = ["whole", "second"]
-    first = durable(window.groupBy(*content).agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie", "n", "k")).alias("first")).where("copies > 1"))
-    later = window.join(first, content).where((F.col("n") != F.col("first.n")) | (F.col("k") != F.col("first.k")))
-    marked = later.groupBy("n").agg(F.collect_list(F.col("k").cast("long") * (1 << 32) + F.col("to")).alias("matches"))
+    first = durable(window.groupBy(*content).agg(F.count("*").alias("copies"), F.min("place").alias("first")).where("copies > 1").drop("copies"))
+    later = window.join(first, content).where("place <> first")
+    of = later.select(F.shiftright("place", PLACE_BITS).alias("rank"), (F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) * (1 << 32) + F.col("lines")).alias("match"))
+    marked = of.groupBy("rank").agg(F.collect_list("match").alias("matches")).join(ranks, "rank").drop("rank")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts(batches):
             out = []
             for x in batch.itertuples():
                 n = len(x.weight)
-                change = np.bincount(x.matches >> 32, minlength=n + 1) - np.bincount(x.matches & (1 << 32) - 1, minlength=n + 1)
+                begin = x.matches >> 32
+                change = np.bincount(begin, minlength=n + 1) - np.bincount(begin + (x.matches & (1 << 32) - 1), minlength=n + 1)
                 out.append((x.n, n, spans_of(np.cumsum(change)[:-1] > 0, x.weight, x.size)))
             if out:
                 yield pd.DataFrame(out, columns=["n", "n_lines", "spans"])

@@ -20,10 +20,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind, python_udf, text_or_empty, whole_row
+from quillvec.llm.common import bind, durable, python_udf, row_key, text_or_empty, whole_row
 
 SENTENCES, PIECES = ".!?", ".!?sn"
 #: Sentence marks of scripts without spaces.
@@ -31,21 +31,27 @@ WIDE = "。！？"
 #: Characters that count as one word at least.
 WORD_CHARS = 10
 #: Code points that are split at a time.
-SLAB = 1 << 20
+SLAB = 1 << 17
 #: Odd numbers: bases of two hashes, and multipliers that spread values over 64 bits.
 BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SPREAD, FINAL = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-KINDS = (np.uint64, np.uint64, np.int32, np.int32)
+KINDS = (np.uint64, np.uint64, np.int32, np.int32, np.int32)
+#: Words before and after a line that may be told apart, too.
+NEAR, FAR = 6, 12
 
 
 class Lines(NamedTuple):
-    """Lines of texts laid end to end; `first`: where a text's lines begin, and the total."""
+    """Lines of texts laid end to end; `first`: where a text's lines begin, and the total.
+
+    `around`: 32-bit hashes of the `NEAR` and `FAR` words before a line, and of those after it; 0 where there are fewer.
+    """
 
     first: np.ndarray
     hash: np.ndarray
     second: np.ndarray
     weight: np.ndarray
     end: np.ndarray
+    around: np.ndarray
 
     def sizes(self) -> np.ndarray:
         """Code points of each line, so that their sums are the ends."""
@@ -67,26 +73,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def known_powers(base: int, n: int) -> np.ndarray:
+    """The first `n` powers, kept up to the size of a slab."""
+    if n > 2 * SLAB:
+        return powers(base, n)
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        _POWERS[base] = powers(base, max(n, min(SLAB + SLAB // 4, 2 * SLAB)))
+    return _POWERS[base][:n]
+
+
 class Sums:
     """Hashes of stretches of `values`, equal for equal stretches wherever they are."""
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base, n), dtype=np.uint64)])
-        self.back = powers(pow(base, -1, 1 << 64), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * known_powers(base, n), out=self.sums[1:])
+        self.back = known_powers(pow(base, -1, 1 << 64), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         whole = (self.sums[end] - self.sums[start]) * self.back[start]
         return mixed(whole + (end - start).astype(np.uint64))
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of hashes, signed."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def lower(text: str) -> str:
     """`text` in small letters, place by place."""
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
-def split_slab(texts: list[str], after: str) -> Lines:
+def split_slab(texts: list[str], after: str, second: bool = True) -> Lines:
     joined = "".join(texts)
     points = np.frombuffer(lower(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
     n, sizes = len(points), np.array([len(t) for t in texts], np.int64)
@@ -109,22 +133,36 @@ def split_slab(texts: list[str], after: str) -> Lines:
     at = np.flatnonzero(~space)
     opens = np.ones(len(at), bool)
     opens[1:] = at[1:] != at[:-1] + 1
-    low, high = np.searchsorted(at, start), np.searchsorted(at, end)
+    seen = np.concatenate([[0], np.cumsum(~space, dtype=np.int32)])
+    low, high = seen[start], seen[end]
     opens[low[low < high]] = True
     values = points[at].astype(np.uint64)
     values = mixed((values | opens.astype(np.uint64) << np.uint64(21)) + np.uint64(1))
     some = low < high
     low, high, end = low[some], high[some], end[some]
-    words = np.concatenate([[0], np.cumsum(opens)])
-    words = words[high] - words[low]
+    words = np.add.reduceat(opens, low, dtype=np.int32) if len(low) else low
     weight = np.maximum(words, (high - low + words - 1) // WORD_CHARS)
     text = np.searchsorted(text_end, end, "left")
     first = np.searchsorted(text, np.arange(len(texts) + 1))
-    return Lines(first, Sums(values, BASE).of(low, high), Sums(values, SECOND).of(low, high), weight, end - (text_end - sizes)[text])
-
-
-def split(texts: list[str], after: str = SENTENCES) -> Lines:
-    """The lines of all `texts`.
+    sums = Sums(values, BASE)
+    hashes = sums.of(low, high)
+    around = np.zeros((len(low), 0), np.int32)
+    if second:
+        word = np.append(np.flatnonzero(opens), len(at))
+        begin, after_it = np.searchsorted(word, low), np.searchsorted(word, high)
+        text_word = np.searchsorted(word, seen[np.append(text_end - sizes, n)])
+        least, most = text_word[text], text_word[text + 1]
+        around = np.zeros((len(low), 4), np.int32)
+        for k, size in enumerate((NEAR, FAR)):
+            near = np.flatnonzero(begin - size >= least)
+            around[near, k] = short(sums.of(word[begin[near] - size], low[near]))
+            near = np.flatnonzero(after_it + size <= most)
+            around[near, 2 + k] = short(sums.of(high[near], word[after_it[near] + size]))
+    return Lines(first, hashes, Sums(values, SECOND).of(low, high) if second else hashes, weight, end - (text_end - sizes)[text], around)
+
+
+def split(texts: list[str], after: str = SENTENCES, second: bool = True) -> Lines:
+    """The lines of all `texts`; without `second` the second hash is the first and nothing is known of what is `around`.
 
     Texts go through in slabs of about `SLAB` characters; a longer one is cut at line
     breaks, or after sentences, where lines end anyway.
@@ -144,11 +182,11 @@ def split(texts: list[str], after: str = SENTENCES) -> Lines:
     counts = np.zeros(len(texts) + 1, np.int64)
 
     def flush() -> None:
-        got = split_slab([p for _, _, p in slab], after)
+        got = split_slab([p for _, _, p in slab], after, second)
         of = np.diff(got.first)
         np.add.at(counts, [k + 1 for k, _, _ in slab], of)
         shift = np.repeat(np.array([a for _, a, _ in slab], np.int64), of)
-        found.append((*got[1:4], got.end + shift))
+        found.append((*got[1:4], got.end + shift, got.around))
 
     for part in whole:
         slab.append(part)
@@ -158,7 +196,7 @@ def split(texts: list[str], after: str = SENTENCES) -> Lines:
             slab, size = [], 0
     if slab:
         flush()
-    columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(4)]
+    columns = [np.concatenate([f[c] for f in found]) if found else np.zeros((0, 4) if c == 4 else 0, np.int64) for c in range(5)]
     return Lines(np.cumsum(counts), *(x.astype(kind) for x, kind in zip(columns, KINDS)))
 
 
@@ -182,9 +220,18 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     return docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.monotonically_increasing_id().alias("n"), *more)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Tells documents apart: 128 bits of the id and the whole text."""
-    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x1e")), F.coalesce(F.col(text_col), F.lit("\x1e"))).cast("binary")))
+#: Bits of a line's number within its document, in a place; the rest is its document's rank.
+PLACE_BITS = 26
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """`(n, rank)` for rows numbered by `n`: ranks from 0 up by `order` and then `n`, without one task seeing all rows."""
+    keys = [*order, "n"]
+    dealt = durable(rows.select(*keys).repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    return durable(dealt.withColumn("own", own).join(F.broadcast(before), "part").select("n", (F.col("before") + F.col("own") - 1).alias("rank")))
 
 
 def one_each(spans: DataFrame, lines: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quillvec.llm import quality_rules as rules
-from quillvec.llm.lines import PIECES, SENTENCES, WIDE, WORD_CHARS
+from quillvec.llm.lines import FAR, NEAR, PIECES, SENTENCES, WIDE, WORD_CHARS
 
 SPACES = r"[\x20\x09-\x0D]+"
-LEAST_WORDS, LEAST_UNIT = 25, 13
+LEAST_WORDS = 25
 
 
 def count_of(column: str, characters: str) -> str:
@@ -54,8 +54,19 @@ runs AS (SELECT doc_id, g, min(s) AS s, max(e) AS e, sum(w) AS w FROM islands GR
 SELECT doc_id, (SELECT count(*) FROM units u WHERE u.doc_id = r.doc_id)::BIGINT AS {count}, count(*)::BIGINT AS n_removed, sum(w)::BIGINT AS words_removed, string_agg(s || '-' || e, ' ' ORDER BY s) AS removed FROM runs r GROUP BY doc_id"""
 
 
-OP2 = units(SENTENCES) + f""", later AS (SELECT doc_id, k, w, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1)),
-gone AS (SELECT doc_id, k FROM later QUALIFY w >= {LEAST_UNIT} OR sum(w) OVER (PARTITION BY doc_id, stretch) >= {LEAST_WORDS})""" + spans("gone", "n_units")
+def beside(side: str) -> str:
+    """Words beside a unit that are the same beside its first copy: 12, 6 or none."""
+    cut = {"before": lambda t, n: f"{t}.dw[{t}.c - {n} + 1 : {t}.c]", "after": lambda t, n: f"{t}.dw[{t}.c + len({t}.ws) + 1 : {t}.c + len({t}.ws) + {n}]"}[side]
+    room = {"before": lambda t, n: f"{t}.c >= {n}", "after": lambda t, n: f"{t}.c + len({t}.ws) + {n} <= len({t}.dw)"}[side]
+    same = lambda n: f"({room('u', n)} AND {room('f', n)} AND {cut('u', n)} = {cut('f', n)})"
+    return f"CASE WHEN {same(FAR)} THEN {FAR} WHEN {same(NEAR)} THEN {NEAR} ELSE 0 END"
+
+
+OP2 = units(SENTENCES) + f""", placed AS (SELECT u.*, (sum(len(ws)) OVER (PARTITION BY u.doc_id ORDER BY k))::BIGINT - len(ws) AS c, dw FROM units u JOIN (SELECT doc_id, {words("lower(text)")} AS dw FROM documents) d ON u.doc_id = d.doc_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) AS copy FROM placed),
+later AS (SELECT u.doc_id, u.k, u.w, u.w + {beside("before")} + {beside("after")} >= {LEAST_WORDS} AS alone, u.k - row_number() OVER (PARTITION BY u.doc_id ORDER BY u.k) AS stretch
+  FROM numbered u JOIN numbered f ON u.norm = f.norm AND f.copy = 1 WHERE u.copy > 1),
+gone AS (SELECT doc_id, k FROM later QUALIFY alone OR sum(w) OVER (PARTITION BY doc_id, stretch) >= {LEAST_WORDS})""" + spans("gone", "n_units")
 
 OP3 = units(PIECES) + f""", sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS c FROM units),
 whole AS (SELECT doc_id, list(norm ORDER BY k) AS norms FROM units GROUP BY 1),
