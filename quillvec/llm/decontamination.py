@@ -11,23 +11,31 @@ and the values in its slots are consistent: an item's value always stands for th
 same value of the document and the other way round.  That catches questions with
 new numbers and names, and lets go of texts that only share a pattern.
 
-The windows of the benchmark are broadcast only while they are at most
-`broadcast_rows`; a larger benchmark is joined by a shuffle on the hash.  Of the
-documents, 8 bytes a window and a row hash take part; texts are never shuffled,
+A window of placeholders alone has nothing but its values to be known by: it is
+joined by its own words, and the items' tokens that only such windows hold need not
+be covered.  So long columns of numbers do not meet all items with numbers.
+
+The windows of the benchmark are broadcast only while they take at most
+`broadcast_bytes`; a larger benchmark is joined by a shuffle on the hash.  Of the
+documents, 8 bytes a window and a row key take part; texts are never shuffled,
 and slot values travel only with windows that have slots.
 
-An item shorter than `window` is one window; made of placeholders alone, it must
-stand in the document with its own values.  Null and empty texts have no windows
-and never match.  Repeated rows and items are reported once.  Empty tables give no
+An item shorter than `window` is one window.  Null and empty texts have no windows
+and never match; texts of any length are read whole.  Repeated rows and items are
+reported once; of several copies of an item in a document the best covered counts, of
+equally covered ones the one with fewer steps between diagonals.  Empty tables give no
 rows; other columns pass through `remove`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind, durable, text_or_empty, whole_row, words
+from quillvec.llm.common import bind, durable, row_key, text_or_empty, whole_row, words
 
 #: What numbers, units and names become: characters of the private use area.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -37,6 +45,7 @@ UNITS = (
     "litres l ml gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years dollar dollars cent cents euro euros "
     "percent degrees mph kmh watts volts"
 ).split()
+PLACEHOLDERS = (NUMBER, UNIT, NAME)
 PUNCTUATION = ".,;:!?\"'()[]{}…“”‘’«»*_`~|#$%&<>"
 
 
@@ -62,10 +71,10 @@ def template(text: Column) -> Column:
     return F.struct(bare(F.regexp_replace(numbered, NAMES, NAME)).alias("tokens"), bare(text).alias("raw"))
 
 
-def windows(found: DataFrame, sizes: list[int]) -> DataFrame:
+def windows(found: DataFrame, sizes: list[int], bare: bool = False) -> DataFrame:
     """Windows `(size, place, hash, slots)` of the templates `t`, instead of `t`; slots: the words behind placeholders, null for other words.
 
-    Tokens are hashed in a projection of their own, and what follows has no lambdas:
+    `bare`: also whether a window holds placeholders alone.  Tokens are hashed in a projection of their own, and what follows has no lambdas:
     so it is compiled, and slots are made for windows that find a partner only.
     """
     kept = [c for c in found.columns if c != "t"]
@@ -77,14 +86,16 @@ def windows(found: DataFrame, sizes: list[int]) -> DataFrame:
         each = each.withColumn("size", F.lit(sizes[0]))
     each = each.where(F.col("place") + F.col("size") <= F.size("h"))
     at = lambda c, j: F.get(F.col(c), F.col("place") + j)
+    known = [F.xxhash64(F.lit(p)) for p in PLACEHOLDERS]
+    bare_of = lambda size: reduce(and_, [at("h", j).isin(*known) for j in range(size)])
     hashed = lambda size: F.xxhash64(F.lit(size), *[at("h", j) for j in range(size)])
-    hashes = hashed(sizes[0])
-    for size in sizes[1:]:
-        hashes = F.when(F.col("size") == size, hashed(size)).otherwise(hashes)
+    own = lambda size: F.xxhash64(F.lit(-size), *[at("raw", j) for j in range(size)])
+    by_size = lambda of: reduce(lambda rest, size: F.when(F.col("size") == size, of(size)).otherwise(rest), sizes[1:], of(sizes[0]))
+    hashes = by_size(lambda size: F.when(bare_of(size), own(size)).otherwise(hashed(size)))
     inside = lambda j: F.col("size") > j if len(sizes) > 1 else F.lit(True)
-    slot = [F.when(inside(j) & at("tokens", j).isin(NUMBER, UNIT, NAME), at("raw", j)) for j in range(max(sizes))]
+    slot = [F.when(inside(j) & at("tokens", j).isin(*PLACEHOLDERS), at("raw", j)) for j in range(max(sizes))]
     slots = F.when(F.coalesce(*slot).isNotNull(), F.array(*slot))
-    return each.select(*kept, "size", "place", hashes.alias("hash"), slots.alias("slots"))
+    return each.select(*kept, "size", "place", hashes.alias("hash"), slots.alias("slots"), *([by_size(bare_of).alias("bare")] if bare else []))
 
 
 def coverage(places: Column, size: Column) -> Column:
@@ -92,20 +103,27 @@ def coverage(places: Column, size: Column) -> Column:
     return bind(F.sort_array(places), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(size, F.coalesce(F.get(p, k + 1) - x, size))), F.lit(0), lambda a, x: a + x))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows `(id_col, row, item_col, covered_tokens, item_tokens, n_slots, altered)`, one a document and item."""
     items = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("t")).dropDuplicates()
-    items = items.withColumns({"item_tokens": F.size("t.tokens"), "fixed": F.size(F.array_except("t.tokens", F.array(*map(F.lit, (NUMBER, UNIT, NAME))))) > 0}).where("item_tokens > 0")
+    items = items.withColumn("item_tokens", F.size("t.tokens")).where("item_tokens > 0")
     lengths = items.agg(F.max("item_tokens"), F.collect_set(F.when(F.col("item_tokens") < window, F.col("item_tokens")))).first()
     longest, sizes = lengths[0] or 0, [window, *sorted(lengths[1])]
-    items = windows(items, sizes).where(F.col("size") == F.least(F.lit(window), "item_tokens"))
-    items = items.select("item", "item_tokens", "fixed", "size", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    if items.count() <= broadcast_rows:
+    items = windows(items, sizes, bare=True).where(F.col("size") == F.least(F.lit(window), "item_tokens"))
+    # the tokens that must be covered: those in windows with a word of their own, or all if there is no such window
+    worded = items.where(~F.col("bare")).groupBy("item", "item_tokens").agg(F.collect_list("place").alias("places"), F.max("size").alias("size"))
+    worded = worded.select("item", "item_tokens", coverage(F.col("places"), F.col("size")).alias("worded"))
+    items = items.join(worded, ["item", "item_tokens"], "left").select(
+        "item", "item_tokens", F.coalesce("worded", "item_tokens").alias("worded"), "size", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
+    )
+    items = durable(items.dropDuplicates())
+    long = F.aggregate(F.coalesce("item_slots", F.array()), F.lit(0), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
+    if (items.agg(F.sum(80 + long)).first()[0] or 0) <= broadcast_bytes:
         items = F.broadcast(items)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), template(F.col(text_col)).alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), template(F.col(text_col)).alias("t"))
     hits = durable(windows(texts, sizes).join(items, ["size", "hash"]).withColumn("diagonal", F.col("place") - F.col("item_place")))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull())
-    key = ["id", "row", "item", "item_tokens", "fixed", "size"]
+    key = ["id", "row", "item", "item_tokens", "worded", "size"]
     line = hits.groupBy(*key, "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     ahead = F.collect_list(F.struct("diagonal", "places", "pairs")).over(Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, longest))
 
@@ -117,8 +135,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float =
     copies = line.withColumn("ahead", ahead).select(*key, F.explode(F.array(*[copy(k, r) for k, r in enumerate(reaches)])).alias("c"))
     distinct = lambda field: F.size(F.array_distinct(F.transform("c.pairs", lambda p: p[field])))
     copies = copies.select(*key, "c.level", coverage(F.col("c.places"), F.col("size")).alias("covered"), F.size("c.pairs").alias("pairs"), distinct("item").alias("left"), distinct("doc").alias("right"), F.exists("c.pairs", lambda p: p["item"] != p["doc"]).alias("altered"))
-    consistent = (F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right")) & (F.col("fixed") | ~F.col("altered") | (F.col("item_tokens") >= window))
-    enough = F.col("covered") >= F.ceil(cover * F.col("item_tokens"))
+    consistent = (F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right"))
+    enough = F.col("covered") >= F.ceil(cover * F.col("worded"))
     best = copies.where(consistent & enough).groupBy("id", "row", "item").agg(F.max(F.struct("covered", "item_tokens", "level", "pairs", "altered")).alias("b"))
     return best.select(
         F.col("id").alias(id_col), "row", F.col("item").alias(item_col), F.col("b.covered").cast("long").alias("covered_tokens"), F.col("b.item_tokens").cast("long").alias("item_tokens"),
@@ -129,5 +147,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float =
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without those that hold a benchmark item."""
     found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("row").distinct()
-    keyed = docs.select(whole_row(docs), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    keyed = docs.select(whole_row(docs), row_key(id_col, text_col).alias("row"))
     return keyed.join(found, "row", "left_anti").select("doc.*")
