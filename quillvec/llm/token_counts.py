@@ -14,20 +14,27 @@ each place in it the last token there and the count relative to now.
 
 Where words begin is decided by a sliding window over character classes (read
 off the library's own splitter), so a word start is a place where every entry
-state leads to the same state.  Texts are laid end to end and cut into chunks;
-a chunk's state map is constant after its first word start, and before it is a
-short head.  All chunks run in step, one byte each at a time.  Composing maps
-that are constant means carrying the last exit state forward, so the prefix scan
-takes one step: every head runs from the exit of the chunk before it, again all in
-step.  Only chunks inside a word longer than a chunk wait for one another.
-
-States are dropped when their table is full, which costs time and not exactness.  Null and empty texts have no tokens.  Repeated rows are counted
-each; an empty table gives no rows.
+state leads to the same state.  Texts are laid end to end and cut into chunks, which
+all run in step, one byte each at a time.  What a chunk does is a state map, from
+entry states to exit states.  After a word start it is constant; the head before
+the first one runs from the exit of the chunk before it, again all in step.  A chunk
+inside a word longer than a chunk has no constant map: its map is worked out for the
+entry states that are live, which are guesses at first (what the bytes just before
+it lead to) and then what the map of the chunk before it yields.  Maps compose by
+doubling, chunk pairs first and then spans twice as long, so the exact states at all
+places are known after a number of rounds that is logarithmic in the length of the word;
+where maps don't meet, the missing entry is worked out and they compose again.
+
+States are dropped when their table is full, which costs time and not exactness.
+Null and empty texts have no tokens.  Texts and words of any length are counted
+whole.  Repeated rows are counted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,7 +47,9 @@ from quillvec.llm.common import python_udf
 
 LETTER, DIGIT, OTHER, BLANK, WHITE = range(5)
 #: Bytes in a chunk, and in what is laid end to end at a time.
-CHUNK, SLAB, LEAST_SLAB = 512, 2 << 20, 1 << 16
+CHUNK, SLAB = 512, 2 << 20
+#: Bytes before a chunk that a guess at its entry state looks at, and rounds in which every live entry is followed.
+WARM, ROUNDS = 64, 3
 #: Slots of the transition table (8 bytes each), and states (some 400 bytes each) before they are dropped.
 SLOT_BITS, MAX_STATES = 22, 300_000
 #: Pairs of tokens that are remembered when the states are dropped.
@@ -111,21 +120,38 @@ class Transducer:
         self.growing = {t[:k] for t in vocabulary.tokens for k in range(len(t))}
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
         self.together: dict[tuple[bytes, bytes], bool] = {}
+        self.states: list[tuple] = []
         self.forget()
 
-    def forget(self) -> None:
-        """Start a table of states: 1 is nowhere, 2 a word's start.
+    def forget(self, keep: Sequence[np.ndarray] = ()) -> None:
+        """Start a table of states: 1 is nowhere, 2 a word's start; states in the arrays `keep` stay, under new numbers.
 
         A slot holds state and byte (32 bits), the next state (24) and the count added plus 128 (8); 0: free.
         """
+        before = self.states if keep else []
         self.table = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.states: list[tuple] = [(), (), (b"", (None,), (0,))]
+        self.states = [(), (), (b"", (None,), (0,))]
         self.ids = {self.states[2]: 2}
         self.filled = 0
         if len(self.together) > MAX_PAIRS:
             self.together.clear()
         for byte in range(256):
             self.put(256 + byte, 1, 0)
+        if keep:
+            number = np.zeros(len(before), np.uint64)
+            number[1:3] = 1, 2
+            for x in np.unique(np.concatenate([a.ravel() for a in keep])).tolist():
+                if x > 2:
+                    number[x] = self.number(before[x])
+            for a in keep:
+                a[...] = number[a]
+
+    def number(self, state: tuple) -> int:
+        found = self.ids.get(state)
+        if found is None:
+            found = self.ids[state] = len(self.states)
+            self.states.append(state)
+        return found
 
     def full(self) -> bool:
         return len(self.states) > MAX_STATES or self.filled > (1 << SLOT_BITS) // 2
@@ -172,11 +198,14 @@ class Transducer:
         # a place matters only if a token may still begin there
         live = [grown[k:] in self.growing for k in range(len(grown))] + [True]
         new = (grown, tuple(x if a else b"" for x, a in zip(lasts, live)), tuple(c - adds if a else 0 for c, a in zip(counts, live)))
-        number = self.ids.get(new)
-        if number is None:
-            number = self.ids[new] = len(self.states)
-            self.states.append(new)
-        self.put(key, number, adds)
+        self.put(key, self.number(new), adds)
+
+    def advance(self, states: np.ndarray, data: np.ndarray, *keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`step`, with a new table if the old one is full; the numbers in `keep` change with it."""
+        if self.full():
+            states = states.copy()
+            self.forget([states, *keep])
+        return self.step(states, data)
 
     def step(self, states: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One byte for each of `states`: the next states and the counts added."""
@@ -250,22 +279,12 @@ class Transducer:
         data = np.frombuffer(joined.encode("utf-8"), np.uint8)
         flags = np.zeros(len(data), bool)
         flags[offset[start]] = True
-        added = np.concatenate(self.pieces(data, flags))
+        added = self.run(data, flags)
         sums = np.add.reduceat(added, offset[first], dtype=np.int64)
         np.add.at(out, [k for k, _ in parts], sums)
 
-    def pieces(self, data: np.ndarray, flags: np.ndarray) -> list[np.ndarray]:
-        """The counts added at each byte; in halves where the table would outgrow its bound."""
-        if self.full():
-            self.forget()
-        if (got := self.run(data, flags)) is not None:
-            return [got]
-        middle = len(data) // 2
-        cut = np.flatnonzero(flags[: middle + 1])[-1] or middle + flags[middle:].argmax()
-        self.forget()
-        return self.pieces(data[:cut], flags[:cut]) + self.pieces(data[cut:], flags[cut:])
-
-    def run(self, data: np.ndarray, flags: np.ndarray) -> np.ndarray | None:
+    def run(self, data: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """The counts added at each byte; `flags`: where words start."""
         n = len(data)
         lanes = -(-n // CHUNK)
         wide = np.zeros(lanes * CHUNK, np.uint8)
@@ -277,35 +296,89 @@ class Transducer:
         added = np.zeros((CHUNK, lanes), np.int8)
         # every chunk from its first word start on: there its state map is constant
         state = np.ones(lanes, np.uint64)
-        bounded = n > LEAST_SLAB and np.count_nonzero(flags) > 1
         for t in range(CHUNK):
             state[go[t]] = 2
-            state, added[t] = self.step(state, by_step[t])
-            if bounded and self.full():
-                return None
+            state, added[t] = self.advance(state, by_step[t])
         added = np.ascontiguousarray(added.T)
         # the heads: first those after a chunk whose map is constant, all in step
         synced = resets.any(axis=1)
         head = np.where(synced, resets.argmax(axis=1), CHUNK)
         head[-1] = min(head[-1], n - (lanes - 1) * CHUNK)
         ready = np.flatnonzero((head[1:] > 0) & synced[:-1]) + 1
-        now = state[ready - 1]
-        for t in range(int(head[ready].max(initial=0))):
-            if not (live := head[ready] > t).all():
-                ends = ready[~live]
-                state[ends[~synced[ends]]] = now[~live][~synced[ends]]
-                ready, now = ready[live], now[live]
-            now, added[ready, t] = self.step(now, wide[ready * CHUNK + t])
-        state[ready[~synced[ready]]] = now[~synced[ready]]
-        # then chunks inside a word that is longer than a chunk, in order
-        for lane in np.flatnonzero((head[1:] > 0) & ~synced[:-1]) + 1:
-            now = state[lane - 1 : lane]
-            for t in range(int(head[lane])):
-                now, added[lane, t : t + 1] = self.step(now, wide[lane * CHUNK + t : lane * CHUNK + t + 1])
-            if not synced[lane]:
-                state[lane] = now[0]
+        out, counts = self.heads(ready, state[ready - 1], head, wide, state)
+        added[ready] = np.where(np.arange(CHUNK) < head[ready, None], counts, added[ready])
+        state[ready[~synced[ready]]] = out[~synced[ready]]
+        # then chunks inside a word that is longer than a chunk
+        inside = np.flatnonzero((head[1:] > 0) & ~synced[:-1]) + 1
+        if inside.size:
+            out, counts = self.long_words(inside, state, head, wide)
+            added[inside] = np.where(np.arange(CHUNK) < head[inside, None], counts, added[inside])
         return added.reshape(-1)[:n]
 
+    def heads(self, lanes: np.ndarray, entry: np.ndarray, head: np.ndarray, wide: np.ndarray, *keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states of the heads of `lanes` from their `entry` states, and the counts added at their bytes."""
+        order = np.argsort(-head[lanes], kind="stable")
+        now, length, at = entry[order].copy(), head[lanes][order], lanes[order] * CHUNK
+        counts = np.zeros((len(lanes), CHUNK), np.int8)
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t, "left"))
+            moved, counts[order[:live], t] = self.advance(now[:live], wide[at[:live] + t], now, *keep)
+            now[:live] = moved
+        out = np.empty_like(now)
+        out[order] = now
+        return out, counts
+
+    def long_words(self, lanes: np.ndarray, state: np.ndarray, head: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `heads`, for chunks each of which follows a chunk without a word start.
+
+        A node is a chunk with an entry state; its successor is the next chunk with
+        the node's exit state as entry.  The nodes that the first chunk's known entry
+        leads to are found by doubling; nodes that lack a successor get one.
+        """
+        n = len(lanes)
+        opens = np.diff(lanes, prepend=-1) != 1  # runs of chunks within one word
+        entry = np.full(n, 2, np.uint64)
+        for t in range(CHUNK - WARM, CHUNK):
+            entry, _ = self.advance(entry, wide[(lanes - 1) * CHUNK + t], state)
+        entry[opens] = state[lanes[opens] - 1]
+        lane, out, counts = np.arange(n), np.zeros(n, np.uint64), np.zeros((n, CHUNK), np.int8)
+        new, rounds = np.arange(n), 0
+        while True:
+            found, counts[new] = self.heads(lanes[lane[new]], entry[new], head, wide, state, entry, out)
+            out[new] = found
+            key = lane.astype(np.uint64) << np.uint64(32) | entry
+            order = np.argsort(key)
+            goes_on = np.append(~opens[1:], False)[lane]
+            wanted = (lane + 1).astype(np.uint64) << np.uint64(32) | out
+            place = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
+            after = np.where(goes_on & (key[order[place]] == wanted), order[place], -1)
+            on_path = np.zeros(len(lane), bool)
+            on_path[:n][opens] = True
+            jump, reached = after, np.flatnonzero(on_path)
+            while True:  # jumps of 1, 2, 4 ... chunks
+                further = jump[reached]
+                further = further[further >= 0]
+                if not (~on_path[further]).any() and not (jump >= 0).any():
+                    break
+                on_path[further] = True
+                reached = np.flatnonzero(on_path)
+                jump = np.where(jump >= 0, jump[jump], -1)
+            missing = goes_on & (after < 0)
+            if not (missing & on_path).any():
+                break
+            rounds += 1
+            if rounds > ROUNDS:
+                missing &= on_path
+            fresh = np.unique(wanted[missing])
+            new = np.arange(len(lane), len(lane) + len(fresh))
+            lane = np.concatenate([lane, (fresh >> np.uint64(32)).astype(lane.dtype)])
+            entry = np.concatenate([entry, fresh & np.uint64((1 << 32) - 1)])
+            out = np.concatenate([out, np.zeros(len(fresh), np.uint64)])
+            counts = np.concatenate([counts, np.zeros((len(fresh), CHUNK), np.int8)])
+        node = np.flatnonzero(on_path)
+        node = node[np.argsort(lane[node])]
+        return out[node], counts[node]
+
 
 _COMPILED: dict[str, Transducer] = {}
 
@@ -318,9 +391,21 @@ def compiled(vocabulary: Vocabulary) -> Transducer:
     return _COMPILED[vocabulary.name]
 
 
+_READ: dict[tuple[str, int], Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """The file at `path`, read once as long as it does not change."""
+    key = path, os.stat(path).st_mtime_ns
+    if key not in _READ:
+        _READ.clear()
+        _READ[key] = Vocabulary.read(path)
+    return _READ[key]
+
+
 def token_count_column(spark: SparkSession, text: Column, path: str) -> Column:
     """The number of tokens of `text` under the `tokenizers` file at `path`, read on the driver."""
-    shared = spark.sparkContext.broadcast(Vocabulary.read(path))
+    shared = spark.sparkContext.broadcast(vocabulary(path))
 
     @python_udf("long")
     def count(texts: pd.Series) -> pd.Series:
