@@ -56,12 +56,12 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str) -> DataFrame:
     """At most `sample_rows` labelled rows outside the held-out fold, chosen by a hash of the id.
 
-    `labels` holds one row an id; the result has its columns and `text`.
+    `labels` holds one row an id; the result has its columns and `text`, of several texts of an id the least.
     """
     chosen = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).join(docs.select(id_col).distinct(), id_col, "left_semi")
     chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), F.col(id_col)), id_col).limit(sample_rows)
     text = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    return text.join(F.broadcast(chosen), id_col).groupBy(*labels.columns).agg(F.min("text").alias("text"))
 
 
 def features_column(text: Column, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> Column:

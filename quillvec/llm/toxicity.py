@@ -8,16 +8,22 @@ fitted by expectation maximisation to the counts of all vote patterns of the
 corpus, estimates how often each voter fires on toxic and other texts.  Voters
 that stay correlated given the label are joined into cliques, whose joint votes
 are modelled as one.  Known labels (of rows outside the held-out fold) are one
-more voter.  The posterior labels of a bounded sample then train a logistic
-regression on votes and hashed words, which gives the score.
+more voter.  The posterior labels of bounded samples of labelled and of unlabelled
+documents outside that fold then train a logistic regression on votes and hashed
+words, which gives the score.
 
-What reaches the driver: one count for each pattern of votes seen (at most
-3 * 2 ** len(VOTERS), some hundreds in practice, however many rows there are) and
-`fit_rows` sparse feature rows, drawn from `sample_rows` labelled ones.
+Every text is looked at once: votes and hashed words are written down, and the fit
+and the scores come from what is written.  (`reject` looks at texts again, as it returns them.)
 
-Null and empty texts are scored like any text without a vote.  Repeated rows are
-each scored alike.  An empty table gives no rows; without labels the label model
-starts from the voters alone.  Other columns are never read.
+What reaches the driver: one count for each pattern of votes seen (at most
+3 * 2 ** len(VOTERS), some hundreds in practice, however many rows there are), at
+most `MOST_KEYS` stem keys with their counts, those of them that a toxic row of the
+sample has, and `2 * fit_rows` sets of hashed words of at most 2 * BUCKETS bytes each.
+
+Null and empty texts are scored like any text without a vote; texts of any length are
+read whole.  Repeated rows are each scored alike.  Of several texts of a labelled id
+the least trains, of several labels the greater counts.  An empty table gives no rows;
+without labels the label model starts from the voters alone.  Other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,14 +31,15 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import durable, python_udf
-from quillvec.llm.linear import Rows, adam, bucket, features_column, held_out, sigmoid, training_rows
+from quillvec.llm.common import discard, durable, python_udf
+from quillvec.llm.linear import Rows, adam, bucket, held_out, sigmoid, training_rows
 
 LEXICONS: dict[str, frozenset[str]] = {
     name: frozenset(words.split())
@@ -58,6 +65,13 @@ DENSE = 2
 #: Lengths of stems, and what stands for a whole word.
 STEMS, WHOLE = range(3, 9), 15
 REMEMBERED = 200_000
+#: Other rows that a stem may have, as a share of the toxic ones.
+SPARE = 0.15
+#: Stem keys of toxic rows that are candidates; the more frequent ones go first.
+MOST_KEYS = 1 << 16
+#: What is known of a word, in bits: two hash buckets, whether it has a stem, its lexicon and one, whether it points at somebody.
+BUCKET_BITS, STEM, LEXICON, POINTS = 14, 28, 29, 33
+LOOKED = "votes: long, stemmed: int, n: int, words: array<short>"
 
 
 def stem_keys(word: str) -> list[int]:
@@ -66,18 +80,19 @@ def stem_keys(word: str) -> list[int]:
     return [raw(word) | WHOLE, *(raw(word[:n]) | n for n in STEMS if n <= len(word))]
 
 
-class Stems(dict):
-    """By word: whether it has one of `keys`, and its feature buckets; for the words met last."""
+class Words(dict):
+    """By word: the bits above, with stems among `keys`; for the words met last."""
 
     def __init__(self, keys: frozenset[int] = frozenset()):
         self.keys_in = keys
         self.lengths = sorted({k & 15 for k in keys})
 
-    def __missing__(self, word: str) -> tuple[bool, int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        hit = any((zlib.crc32((word if n == WHOLE else word[:n]).encode("utf-8", "surrogatepass")) << 4 | n) in self.keys_in for n in self.lengths if n == WHOLE or n <= len(word))
-        found = self[word] = (hit, bucket(word, BUCKETS), bucket(word[:5], BUCKETS, 1))
+        stem = any((zlib.crc32((word if n == WHOLE else word[:n]).encode("utf-8", "surrogatepass")) << 4 | n) in self.keys_in for n in self.lengths if n == WHOLE or n <= len(word))
+        found = bucket(word, BUCKETS) | bucket(word[:5], BUCKETS, 1) << BUCKET_BITS | stem << STEM | (OF.get(word, -1) + 1) << LEXICON | (word in AIMED) << POINTS
+        self[word] = found
         return found
 
 
@@ -87,7 +102,7 @@ def candidates(keys: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.n
     return every[count >= least].astype(np.int64), count[count >= least]
 
 
-def induced(keys: list[np.ndarray], clean: dict[int, int], least: int = 3, spare: float = 0.15) -> frozenset[int]:
+def induced(keys: list[np.ndarray], clean: dict[int, int], least: int = 3, spare: float = SPARE) -> frozenset[int]:
     """Stems that cover the toxic rows: each adds `least` rows or more, and has at most `spare` as many other rows (`clean`)."""
     every, count = candidates(keys, least)
     every = every[np.array([clean.get(k, 0) for k in every.tolist()], np.int64) <= spare * count]
@@ -104,40 +119,61 @@ def induced(keys: list[np.ndarray], clean: dict[int, int], least: int = 3, spare
     return frozenset(chosen)
 
 
-def look(text: str, stems: Stems) -> tuple[int, set[str], int, int]:
-    """The votes on `text` as a bit mask, its distinct words, how many words have a stem, and how many there are."""
-    low = LETTERS.findall(text.lower())
-    distinct = set(low)
-    marked = {w for w in distinct if stems[w][0]}
-    hits = [w for w in distinct if w in OF]
-    n = len(LEXICONS)
-    stemmed = sum(w in marked for w in low) if marked else 0
-    votes = (stemmed > 0) << n + 5 | (stemmed > 1) << n + 6 | (stemmed > 0 and 200 * stemmed >= len(low)) << n + 7
-    if not hits:
-        return votes or 1 << NONE, distinct, stemmed, len(low)
-    for w in hits:
-        votes |= 1 << OF[w]
-    places = [k for k, w in enumerate(low) if w in OF]
-    votes |= any(w in AIMED for k in places for w in low[max(0, k - 3) : k]) << n
-    votes |= (len(places) >= 2) << n + 1
-    votes |= (50 * len(places) >= len(low)) << n + 2
-    votes |= any(w.upper() in text for w in hits) << n + 3
-    votes |= (len(hits) >= 2) << n + 4
-    return votes, distinct, stemmed, len(low)
-
-
-def features(text: str, stems: Stems) -> tuple[np.ndarray, np.ndarray]:
-    """Votes at full weight, then how many words have an induced stem, then hashed words and stems at a small weight."""
-    votes, distinct, stemmed, n = look(text, stems)
-    own = [k for k in range(len(VOTERS)) if votes >> k & 1]
-    head = [0, *(1 + k for k in own), *(1 + len(VOTERS) + k for k in range(DENSE))]
-    index = np.empty(len(head) + 2 * len(distinct), np.int64)
-    index[: len(head)] = head
-    index[len(head) :] = [b for w in distinct for b in stems[w][1:]]
-    index[len(head) :] += 1 + len(VOTERS) + DENSE
-    value = np.full(len(index), 0.3 / max(1, 2 * len(distinct)) ** 0.5)
-    value[: len(head)] = [1.0] * (1 + len(own)) + [np.log1p(stemmed), min(1.0, 50 * stemmed / max(1, n))]
-    return index, value
+def look(texts: list[str], known: Words) -> dict[str, object]:
+    """For each text: the votes as a bit mask, how many words have a stem, how many there are, and the buckets of its words."""
+    low = [LETTERS.findall(t.lower()) for t in texts]
+    n = np.array([len(x) for x in low], np.int64)
+    end = np.cumsum(n)
+    first = end - n
+    code = np.fromiter(map(known.__getitem__, chain.from_iterable(low)), np.int64, int(n.sum()))
+    doc = np.repeat(np.arange(len(texts)), n)
+    count = lambda where: np.bincount(doc[where], minlength=len(texts))
+    stemmed = count(np.flatnonzero(code >> STEM & 1))
+    places = np.flatnonzero(code >> LEXICON & 15)
+    of, hits, size = (code[places] >> LEXICON & 15) - 1, count(places), len(LEXICONS)
+    votes = np.zeros(len(texts), np.int64)
+    for k in range(size):
+        votes |= (count(places[of == k]) > 0).astype(np.int64) << k
+    for back in (1, 2, 3):
+        near = places[places - back >= first[doc[places]]]
+        votes |= (count(near[code[near - back] >> POINTS & 1 == 1]) > 0).astype(np.int64) << size
+    votes |= (hits >= 2).astype(np.int64) << size + 1
+    votes |= ((hits > 0) & (50 * hits >= n)).astype(np.int64) << size + 2
+    for k in np.flatnonzero(hits).tolist():
+        found = {w for w in low[k] if w in OF}
+        votes[k] |= any(w.upper() in texts[k] for w in found) << size + 3 | (len(found) >= 2) << size + 4
+    votes |= (stemmed > 0).astype(np.int64) << size + 5 | (stemmed > 1).astype(np.int64) << size + 6 | ((stemmed > 0) & (200 * stemmed >= n)).astype(np.int64) << size + 7
+    votes[votes == 0] = 1 << NONE
+    one, two = code & BUCKETS - 1, code >> BUCKET_BITS & BUCKETS - 1
+    seen, words = np.zeros(BUCKETS, bool), []
+    for a, b in zip(first.tolist(), end.tolist()):
+        seen[one[a:b]] = seen[two[a:b]] = True
+        words.append(np.flatnonzero(seen).astype(np.int16))
+        seen[words[-1]] = False
+    return {"votes": votes, "stemmed": stemmed.astype(np.int32), "n": n.astype(np.int32), "words": words}
+
+
+def rows_of(votes: np.ndarray, stemmed: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> Rows:
+    """Features: one, the votes at full weight, two that grow with the words that have a stem, then hashed words at a small weight."""
+    index, value = [], []
+    dense = np.stack([np.log1p(stemmed), np.minimum(1.0, 50 * stemmed / np.maximum(1, n))], 1)
+    head = 1 + len(VOTERS) + np.arange(DENSE)
+    for v, d, w in zip(votes.tolist(), dense, words):
+        own = [0, *(1 + k for k in range(len(VOTERS)) if v >> k & 1)]
+        index.append(np.concatenate([own, head, np.asarray(w, np.int64) + 1 + len(VOTERS) + DENSE]))
+        value.append(np.concatenate([np.ones(len(own)), d, np.full(len(w), 0.3 / max(1, len(w)) ** 0.5)]))
+    return Rows(index, value)
+
+
+def scores(weights: np.ndarray, votes: np.ndarray, stemmed: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """The logistic regression on what `look` found."""
+    size = np.array([len(w) for w in words], np.int64)
+    head = 1 + len(VOTERS)
+    total = weights[0] + sum(weights[1 + k] * (votes >> k & 1) for k in range(len(VOTERS)))
+    total = total + weights[head] * np.log1p(stemmed) + weights[head + 1] * np.minimum(1.0, 50 * stemmed / np.maximum(1, n))
+    sums = np.concatenate([[0.0], np.cumsum(weights[head + DENSE :][np.concatenate([*words, np.zeros(0, np.int16)]).astype(np.int64)])])
+    end = np.cumsum(size)
+    return sigmoid(total + (sums[end] - sums[end - size]) * 0.3 / np.sqrt(np.maximum(1, size)))
 
 
 @dataclass
@@ -221,15 +257,6 @@ class Model:
     stems: frozenset[int]
 
 
-def votes_column(text: Column, keys: frozenset[int]) -> Column:
-    @python_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        stems = Stems(keys)
-        return pd.Series([look(t or "", stems)[0] for t in texts], dtype="int64")
-
-    return of(text)
-
-
 def stem_keys_column(text: Column, among: np.ndarray | None = None) -> Column:
     """The stem keys of the words of `text`, or those of them that are `among`."""
 
@@ -243,62 +270,82 @@ def stem_keys_column(text: Column, among: np.ndarray | None = None) -> Column:
 
 
 def induce(sample: DataFrame) -> frozenset[int]:
-    """Stems from `sample(gold, text)`; the driver gets the toxic rows' keys, and of the others counts of the same keys."""
-    toxic = [r.to_numpy(np.int64) for r in map(pd.Series, sample.where("gold = 1").select(stem_keys_column(F.col("text")).alias("keys")).toPandas()["keys"])]
-    least = max(3, len(toxic) // 100)
-    among, _ = candidates(toxic, least)
-    if not len(among):
+    """Stems from `sample(gold, text)`; keys are counted on the executors."""
+    toxic, clean = sample.where("gold = 1"), sample.where("gold = 0")
+    least = max(3, toxic.count() // 100)
+    key = F.explode(stem_keys_column(F.col("text"))).alias("key")
+    often = toxic.select(key).groupBy("key").count().where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST_KEYS).toPandas()
+    if not len(often):
         return frozenset()
-    clean = sample.where("gold = 0").select(F.explode(stem_keys_column(F.col("text"), among)).alias("key")).groupBy("key").count().toPandas()
-    return induced(toxic, dict(zip(clean["key"].tolist(), clean["count"].tolist())), least)
+    among = np.sort(often["key"].to_numpy(np.int64))
+    others = clean.select(F.explode(stem_keys_column(F.col("text"), among)).alias("key")).groupBy("key").count().toPandas()
+    spare = dict(zip(others["key"].tolist(), others["count"].tolist()))
+    rare = np.array(sorted(k for k, c in zip(often["key"].tolist(), often["count"].tolist()) if spare.get(k, 0) <= SPARE * c), np.int64)
+    if not len(rare):
+        return frozenset()
+    keys = toxic.select("id", stem_keys_column(F.col("text"), rare).alias("keys")).toPandas().sort_values("id")["keys"]
+    return induced([np.asarray(k, np.int64) for k in keys], spare, least)
 
 
-def score_column(text: Column, model: Model) -> Column:
-    weights, keys = model.weights.astype(np.float32), model.stems
+def looked(docs: DataFrame, stems: frozenset[int], id_col: str, text_col: str) -> DataFrame:
+    """`(id, key, ...)`: what `look` finds in every text, written down; `key` orders rows of equal ids."""
 
-    @python_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        stems = Stems(keys)
-        found = (features(t or "", stems) for t in texts)
-        return pd.Series(sigmoid(np.array([weights[index] @ value for index, value in found], np.float64)))
+    @python_udf(f"struct<{LOOKED}>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(look([t or "" for t in texts], Words(stems)))
 
-    return of(text)
+    return durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), of(F.col(text_col)).alias("l")).select("id", "key", "l.*"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model for `docs`; labels of the held-out fold are not looked at."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("gold"))
-    known = known.where(~held_out(F.col(id_col)))
-    sample = durable(training_rows(docs, known, sample_rows, id_col, text_col))
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
+    """The model for `docs`, and what was seen of them; labels of the held-out fold are not looked at."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("gold"))
+    known = known.where(~held_out(F.col("id")))
+    sample = durable(training_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, sample_rows, "id", "text"))
     stems = induce(sample)
-    votes = docs.select(F.col(id_col), votes_column(F.col(text_col), stems).alias("votes"))
-    counted = votes.join(known, id_col, "left").groupBy("votes", F.coalesce("gold", F.lit(-1)).alias("gold")).count().orderBy("votes", "gold").toPandas()
+    seen = looked(docs, stems, id_col, text_col)
+    judged = seen.join(known, "id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
+    counted = judged.groupBy("votes", "gold").count().orderBy("votes", "gold").toPandas()
     label_model = LabelModel.fit(*(counted[c].to_numpy(np.int64) for c in ("votes", "gold", "count")))
-    shown = features_column(F.col("text"), lambda text, cache=Stems(stems): features(text, cache))
-    part = sample.orderBy(F.xxhash64(F.lit("fit"), F.col(id_col)), id_col).limit(fit_rows)
-    taken = part.select(id_col, "gold", votes_column(F.col("text"), stems).alias("votes"), shown.alias("f")).select(id_col, "gold", "votes", "f.*").toPandas().sort_values(id_col)
+    order = [F.xxhash64(F.lit("fit"), "id", "key"), F.col("id"), F.col("key")]
+    free = judged.where(~held_out(F.col("id")))
+    part = free.where("gold >= 0").orderBy(*order).limit(fit_rows).unionByName(free.where("gold < 0").orderBy(*order).limit(fit_rows))
+    taken = part.toPandas().sort_values(["gold", "id", "key"])
     size = 1 + len(VOTERS) + DENSE + BUCKETS
-    if not len(taken):
+    if not (taken["gold"] >= 0).any():
         weights = np.zeros(size)
         weights[0], weights[1 + NONE] = 2.0, -4.0
-        return Model(label_model, weights, stems)
+        return Model(label_model, weights, stems), seen
     target = label_model.posterior(taken["votes"].to_numpy(np.int64), taken["gold"].to_numpy(np.int64))
-    rows = Rows(list(taken["index"]), list(taken["value"]))
+    rows = rows_of(*(taken[c].to_numpy() for c in ("votes", "stemmed", "n")), list(taken["words"]))
 
     def gradient(w: np.ndarray) -> np.ndarray:
         return rows.back(sigmoid(rows.dot(w)) - target, size) / len(taken) + 1e-4 * w
 
-    return Model(label_model, adam(np.zeros(size), gradient, 200, 0.15), stems)
+    return Model(label_model, adam(np.zeros(size), gradient, 200, 0.15), stems), seen
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row a document: `(id_col, held_out, score, predicted)`."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score_column(F.col(text_col), model).alias("score"))
+    model, seen = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+    weights = model.weights
+
+    @python_udf("double")
+    def of(found: pd.DataFrame) -> pd.Series:
+        return pd.Series(scores(weights, *(found[c].to_numpy(np.int64) for c in ("votes", "stemmed", "n")), list(found["words"])))
+
+    scored = seen.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), of(F.struct("votes", "stemmed", "n", "words")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without those scored 0.5 or more."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    return docs.where(score_column(F.col(text_col), model) < 0.5)
+    model, seen = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+    discard(seen)
+    weights, stems = model.weights, model.stems
+
+    @python_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(scores(weights, **look([t or "" for t in texts], Words(stems))))
+
+    return docs.where(of(F.col(text_col)) < 0.5)
