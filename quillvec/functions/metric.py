@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,25 @@ def value(metric: str, query: Column, vector: Column, precision: str = "f32") ->
     return {DOT: dot, COSINE: cosine, L2: l2}[metric](query, vector, precision)
 
 
+def plain_norm(vector: Sequence[float], precision: str = "f32") -> float:
+    """`norm` of a vector that the driver holds, folded in the same order."""
+    kind = np.float32 if precision == "f32" else np.float64
+    total = kind(0)
+    for x in np.asarray(vector, np.float32 if precision == "f32" else np.float64):
+        total = kind(total + x * x)
+    return float(kind(np.sqrt(np.float64(total))))
+
+
+def to_query(metric: str, query: Sequence[float], vector: Column, precision: str = "f32", stored_norm: Column | None = None) -> Column:
+    """`value` against one query vector, whose norm is taken once; a record's norm may be stored."""
+    if metric != COSINE:
+        return value(metric, literal(query, precision), vector, precision)
+    kind = KINDS[precision]
+    size = F.lit(plain_norm(query, precision)).cast(kind)
+    own = norm(vector, precision) if stored_norm is None else stored_norm
+    return F.when((size == 0) | (own == 0), F.lit(0).cast(kind)).otherwise((dot(literal(query, precision), vector, precision) / (size * own).cast(kind)).cast(kind))
+
+
 def order(metric: str, value_col: str = "value", id_col: str = "id") -> list[Column]:
     """Best first, ties by id; among zeros the positive one is the greater, as IEEE total order has it."""
     v = F.col(value_col)

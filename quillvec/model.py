@@ -23,6 +23,8 @@ LOG = T.StructType([
     T.StructField("seq_no", T.LongType(), False), T.StructField("op", T.StringType(), False), T.StructField("id", T.StringType(), False),
     T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("metadata", T.StringType()),
 ])
+#: A row of a unit's index: a visible record of the unit, with the norm of its vector.
+INDEXED = T.StructType([T.StructField("id", T.StringType()), T.StructField("seq_no", T.LongType()), LOG["vector"], LOG["metadata"], T.StructField("norm", T.FloatType())])
 
 
 class CollectionError(Exception):
@@ -41,6 +43,10 @@ class InvalidArgument(CollectionError, ValueError):
     """A request that can never be served."""
 
 
+class EmptyBatch(InvalidArgument):
+    """A batch without operations."""
+
+
 class InvalidPredicate(InvalidArgument):
     """A malformed predicate."""
 

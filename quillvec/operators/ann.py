@@ -1,31 +1,62 @@
-"""An inverted-file index: vectors in lists by their nearest centroid.
-
-Optional: exact candidates per unit are the default.  Centroids are fitted on a
-bounded sample; every vector is indexed.  Cosine and dot product probe by the
-angle to the centroids, L2 by distance.  A query reads `probes` lists, which are
-folders, so the others are pruned before any file is opened.
+"""Inverted-file indexes: vectors in lists by their nearest centroid.
+
+An index belongs to an immutable unit and is written with it.  It holds the unit's
+newest put of each id that the unit does not delete, every one of them, in folders
+by list, with its norm.  Centroids are fitted on at most `SAMPLE_ROWS` vectors.
+How many lists a query has to read is measured when the index is built: the least
+number at which `CHECK_QUERIES` vectors of the unit find `RECALL` of their exact
+ten neighbours.  If that takes more than `MOST_READ` of the vectors an index would
+not pay, and the unit is left raw: queries scan it exactly.  Units of at most
+`FLAT_ROWS` records have one list, which is always read.
+
+Cosine and dot product probe by the angle to the centroids, L2 by distance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.functions import metric as M
 from quillvec.model import L2
-from quillvec.operators import ranking
+from quillvec.operators import mvcc, ranking
+
+FLAT_ROWS = 1024
+SAMPLE_ROWS = 100_000
+MOST_LISTS = 256
+CHECK_QUERIES = 64
+RECALL = 0.95
+MOST_READ = 0.5
+RAW, FLAT, IVF = "raw", "flat", "ivf"
+
+
+@dataclass
+class Index:
+    """What the driver knows of a unit's index; `probes`: lists that a query reads."""
 
+    kind: str
+    centroids: list[list[float]]
+    probes: int
+    recall: float
+    read_share: float
 
-def fit(records: DataFrame, lists: int, metric: str, sample_rows: int = 100_000, seed: int = 1) -> np.ndarray:
-    """Centroids from at most `sample_rows` records, chosen by a hash of the id."""
-    sample = records.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows)
+
+def sampled(records: DataFrame, rows: int, salt: int) -> DataFrame:
+    """At most `rows` records, chosen by a hash of the id."""
+    return records.orderBy(F.xxhash64(F.lit(salt), "id"), "id").limit(rows)
+
+
+def fit(records: DataFrame, lists: int, metric: str, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> np.ndarray:
+    """Centroids from at most `sample_rows` records."""
     model = KMeans(k=lists, seed=seed, maxIter=15, distanceMeasure="euclidean" if metric == L2 else "cosine")
-    vectors = sample.where(M.norm(F.col("vector"), "f64") > 0).select(array_to_vector("vector").alias("features"))
+    vectors = sampled(records, sample_rows, seed).where(M.norm(F.col("vector"), "f64") > 0).select(array_to_vector("vector").alias("features"))
     return np.array(model.fit(vectors).clusterCenters())
 
 
@@ -33,7 +64,7 @@ def nearness(vector: Column, centroids: np.ndarray, metric: str) -> Column:
     """Structs `(d, list)` of all lists for a vector; the least is the nearest."""
     kind = "l2" if metric == L2 else "cosine"
     sign = 1 if metric == L2 else -1
-    distances = [M.value(kind, M.literal(c.tolist(), "f64"), vector, "f64") * sign for c in centroids]
+    distances = [M.to_query(kind, c.tolist(), vector, "f64") * sign for c in centroids]
     return F.array(*[F.struct(d.alias("d"), F.lit(k).alias("list")) for k, d in enumerate(distances)])
 
 
@@ -42,24 +73,18 @@ def list_of(vector: Column, centroids: np.ndarray, metric: str) -> Column:
     return F.array_min(nearness(vector, centroids, metric))["list"]
 
 
-def build(records: DataFrame, path: str, centroids: np.ndarray, metric: str) -> None:
-    """Write every record of `records(id, vector, metadata, seq_no)` to its list."""
-    records.withColumn("list", list_of(F.col("vector"), centroids, metric)).repartition("list", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("list").parquet(path)
-
-
-def probed(query: Sequence[float], centroids: np.ndarray, metric: str, probes: int) -> list[int]:
+def order_of(query: Sequence[float], centroids: np.ndarray, metric: str) -> list[int]:
+    """All lists, nearest first."""
     q = np.array(query, float)
     if metric == L2:
         far = np.linalg.norm(centroids - q, axis=1)
     else:
         far = -(centroids @ q) / np.maximum(np.linalg.norm(centroids, axis=1), 1e-12)
-    return np.argsort(far, kind="stable")[:probes].tolist()
+    return np.argsort(far, kind="stable").tolist()
 
 
-def search(spark: SparkSession, path: str, query: Sequence[float], centroids: np.ndarray, metric: str, k: int, probes: int, precision: str = "f32", filter_by: Column | None = None) -> DataFrame:
-    """The best `k` of the lists nearest to the query."""
-    lists = spark.read.parquet(path).where(F.col("list").isin(probed(query, centroids, metric, probes)))
-    return ranking.top_k(lists, query, metric, k, precision, filter_by)
+def probed(query: Sequence[float], centroids: np.ndarray, metric: str, probes: int) -> list[int]:
+    return order_of(query, centroids, metric)[:probes]
 
 
 def search_many(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, metric: str, k: int, probes: int, precision: str = "f32") -> DataFrame:
@@ -73,3 +98,45 @@ def search_many(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, m
     scored = pairs.select("query_id", "id", M.value(metric, F.col("query_vector"), F.col("vector"), precision).alias("value"))
     window = Window.partitionBy("query_id").orderBy(*M.order(metric))
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def calibrated(indexed: DataFrame, centroids: np.ndarray, metric: str, k: int = 10) -> tuple[int, float, float]:
+    """Probes for `RECALL`, the recall measured with them, and the share of vectors they read.
+
+    The exact neighbours of `CHECK_QUERIES` vectors are found once, with their lists;
+    what is collected is `CHECK_QUERIES * k` rows and the sizes of the lists.
+    """
+    asked = sampled(indexed, CHECK_QUERIES, 2).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    truth = ranking.nearest(asked, indexed, metric, k).select("query_id", "id")
+    rows = truth.join(indexed.select("id", "list"), "id").collect()
+    vectors = {r["query_id"]: r["query_vector"] for r in asked.collect()}
+    sizes = np.zeros(len(centroids))
+    for r in indexed.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    place = {i: {at: p for p, at in enumerate(order_of(v, centroids, metric))} for i, v in vectors.items()}
+    depths = np.sort([place[r["query_id"]][r["list"]] for r in rows])
+    probes = int(depths[math.ceil(RECALL * len(depths)) - 1]) + 1
+    read = np.mean([sizes[[at for at, p in order.items() if p < probes]].sum() for order in place.values()]) / max(sizes.sum(), 1)
+    return probes, float((depths < probes).mean()), float(read)
+
+
+def build(unit: DataFrame, path: str, metric: str, dimensions: int, flat_rows: int = FLAT_ROWS) -> Index:
+    """Index the rows of one unit under `path`; nothing is written for a raw unit."""
+    visible = mvcc.live(unit).select("id", "seq_no", "vector", "metadata", M.norm(F.col("vector")).alias("norm"))
+    rows = visible.count()
+    if rows <= flat_rows:
+        visible.withColumn("list", F.lit(0)).write.partitionBy("list").parquet(path)
+        return Index(FLAT, [[0.0] * dimensions], 1, 1.0, 1.0)
+    lists = min(MOST_LISTS, max(4, round(math.sqrt(rows) / 2)))
+    centroids = fit(visible, lists, metric)
+    placed = visible.withColumn("list", list_of(F.col("vector"), centroids, metric))
+    placed.repartition("list", F.pmod(F.xxhash64("id"), F.lit(max(1, rows // 1_000_000)))).write.partitionBy("list").parquet(path)
+    probes, recall, read = calibrated(unit.sparkSession.read.parquet(path), centroids, metric)
+    return Index(IVF if read <= MOST_READ else RAW, centroids.tolist(), probes, recall, read)
+
+
+def candidates(lists: DataFrame, vector: Sequence[float], metric: str, budget: int, precision: str = "f32", filter_by: Column | None = None) -> DataFrame:
+    """As `ranking.unit_candidates`, from the lists of indexes that a query reads."""
+    if filter_by is not None:
+        lists = lists.where(filter_by)
+    return ranking.best_of_units(ranking.scored(lists, vector, metric, precision), metric, budget)

@@ -44,8 +44,9 @@ def deleted(log: DataFrame) -> DataFrame:
 
 
 def scan(log: DataFrame, visible_seq_no: int | None = None, units: Sequence[str] | None = None, include_mutable: bool = True) -> DataFrame:
-    """Visible records, ordered by id."""
-    return live(at(log, visible_seq_no, units, include_mutable)).select("id", "vector", "metadata", "seq_no").orderBy("id")
+    """Visible records, ordered by id; without vectors if the log has none."""
+    shown = [c for c in ("id", "vector", "metadata", "seq_no") if c in log.columns]
+    return live(at(log, visible_seq_no, units, include_mutable)).select(*shown).orderBy("id")
 
 
 def lookup(log: DataFrame, ids: DataFrame) -> DataFrame:

@@ -7,19 +7,21 @@ Counts for diagnostics run as jobs of their own, only where they are asked for.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.model import DimensionMismatch, InvalidArgument, Scalar
-from quillvec.operators import mvcc, ranking
+from quillvec.operators import ann, mvcc, ranking
 from quillvec.operators.predicate import Predicate, combine, compile_predicate, validate
 from quillvec.plans import planner
 from quillvec.plans.stats import UnitStats
 
 EXPLAIN = ("none", "plan", "profile")
+STAGES = ("planning", "prefilter", "candidate_generation", "postfilter", "rerank", "merge")
 
 
 @dataclass
@@ -51,12 +53,15 @@ class Result:
 
 def execute(
     log: DataFrame, units: Sequence[UnitStats], vector: Sequence[float], metric: str, k: int, *, dimensions: int | None = None, filters: dict[str, Scalar] | None = None, predicate: Predicate | None = None,
-    visible_seq_no: int | None = None, precision: str = "f32", explain: str = "none",
+    visible_seq_no: int | None = None, precision: str = "f32", explain: str = "none", index: Callable[[list[str], float], tuple[DataFrame, bool]] | None = None,
 ) -> Result:
     """The best `k` visible records that satisfy filters and predicate.
 
     `units` are the statistics of the log's units at the snapshot; they hold at
-    least what `planner.named` lists for the predicate.
+    least what `planner.named` lists for the predicate.  `index` gives the indexed
+    records of some units that a query has to look at, for so many times the usual
+    lists, and whether that is all of them; without it, candidates are generated
+    from the log.
     """
     started = time.perf_counter()
     if explain not in EXPLAIN:
@@ -78,11 +83,14 @@ def execute(
     if plan in planner.EXACT_PLANS:
         records = mvcc.live(mvcc.at(bounded, None, selection.immutable, selection.include_mutable))
         matches = ranking.top_k(records, vector, metric, k, precision, test)
-        count = None if explain == "none" else lambda: exact_counts(records, test, plan)
+        count = None if explain == "none" else lambda clock: exact_counts(records, test, plan, clock)
     else:
         size = planner.budget(k, share)
-        frozen = mvcc.at(bounded, None, selection.immutable, include_mutable=False)
-        found = ranking.unit_candidates(frozen, vector, metric, size, precision, test)
+        if index is not None:
+            found = indexed_candidates(index, selection.immutable, vector, metric, size, precision, test, float(share))
+        else:
+            frozen = mvcc.at(bounded, None, selection.immutable, include_mutable=False)
+            found = ranking.unit_candidates(frozen, vector, metric, size, precision, test)
         fresh = mvcc.lookup(bounded, found)
         fresh = fresh if test is None else fresh.where(test)
         sides = [fresh]
@@ -91,31 +99,65 @@ def execute(
             sides.append(mutable if test is None else mutable.where(test))
         merged = mvcc.merge_latest(*sides)
         matches = ranking.top_k(merged, vector, metric, k, precision)
-        count = None if explain == "none" else lambda: ann_counts(found, sides, merged)
+        count = None if explain == "none" else lambda clock: ann_counts(found, sides, merged, clock)
     if count is None:
         return Result(matches, plan)
-    before, after, reranked, together, rerank_count = count()
-    counted = time.perf_counter()
+    clock = Clock()
+    before, after, reranked, together, rerank_count = count(clock)
     timings = None
     if explain == "profile":
-        micros = lambda a, b: int((b - a) * 1e6)
-        timings = dict.fromkeys(("planning", "prefilter", "candidate_generation", "postfilter", "rerank", "merge"), 0)
-        timings["planning"] = micros(started, planned)
-        timings["prefilter" if plan in planner.EXACT_PLANS else "candidate_generation"] = micros(planned, counted)
-        timings = {f"{name}_micros": v for name, v in timings.items()}
+        clock.took["planning"] = planned - started
+        with clock("rerank"):
+            matches.write.format("noop").mode("overwrite").save()
+        timings = {f"{name}_micros": int(clock.took.get(name, 0) * 1e6) for name in STAGES}
     return Result(matches, plan, Diagnostics(
         plan, planner.REASONS[plan], float(share), selection.considered, selection.pruned, selection.scanned, before, after, reranked, together, rerank_count,
         planner.FALLBACKS.get(plan), planner.scan_mix(plan, selection), timings,
     ))
 
 
-def exact_counts(records: DataFrame, test, plan: str) -> tuple[int, int, int, int, int]:
-    passed = F.lit(True) if test is None else test
-    row = records.agg(F.count("*").alias("before"), F.count_if(passed).alias("after")).first()
-    reranked = row["after"] if plan in (planner.PREDICATE_FIRST, planner.TINY) else row["before"]
-    return row["before"], row["after"], reranked, row["after"], 0
+def indexed_candidates(
+    index: Callable[[list[str], float], tuple[DataFrame, bool]], units: list[str], vector: Sequence[float], metric: str, size: int, precision: str, test: Column | None, share: float
+) -> DataFrame:
+    """Candidates from indexes.  Under a predicate more lists are read, twice as many each time, until `size` records pass or all lists are read."""
+    wide = 1.0 if test is None else 1 / max(share, 1e-6)
+    while True:
+        lists, whole = index(units, wide)
+        found = ann.candidates(lists, vector, metric, size, precision, test)
+        if test is None or whole:
+            return found
+        rows = found.collect()  # at most `size`
+        if len(rows) >= size:
+            return lists.sparkSession.createDataFrame(rows, found.schema)
+        wide *= 2
+
+
+class Clock:
+    """Seconds by stage, each measured as a job of its own; stages that a plan lacks stay at zero."""
 
+    def __init__(self):
+        self.took: dict[str, float] = {}
 
-def ann_counts(found: DataFrame, sides: list[DataFrame], merged: DataFrame) -> tuple[int, int, int, int, int]:
-    candidates, sizes, together = found.count(), [s.count() for s in sides], merged.count()
+    @contextmanager
+    def __call__(self, stage: str) -> Iterator[None]:
+        started = time.perf_counter()
+        yield
+        self.took[stage] = time.perf_counter() - started
+
+
+def exact_counts(records: DataFrame, test, plan: str, clock: Clock) -> tuple[int, int, int, int, int]:
+    passed = F.lit(True) if test is None else test
+    first = plan in (planner.PREDICATE_FIRST, planner.TINY)
+    with clock("prefilter" if first else "postfilter"):
+        row = records.agg(F.count("*").alias("before"), F.count_if(passed).alias("after")).first()
+    return row["before"], row["after"], row["after"] if first else row["before"], row["after"], 0
+
+
+def ann_counts(found: DataFrame, sides: list[DataFrame], merged: DataFrame, clock: Clock) -> tuple[int, int, int, int, int]:
+    with clock("candidate_generation"):
+        candidates = found.count()
+    with clock("postfilter"):
+        sizes = [s.count() for s in sides]
+    with clock("merge"):
+        together = merged.count()
     return candidates + sum(sizes[1:]), sum(sizes), together, together, 1

@@ -131,21 +131,21 @@ def float_column(x: Column) -> Column:
     return F.when(~text.contains("E"), text).when(plain, spelled).otherwise(F.regexp_replace(text, r"(\.0)?E", "e"))
 
 
-def field_stats(log: DataFrame) -> DataFrame:
-    """Per unit and field: counts, distinct scalars, and the least and greatest value over all types."""
-    rows = field_values(log)
+def field_stats(log: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+    """Per unit and field (all, or some): counts, distinct scalars, and the least and greatest value over all types."""
+    rows = field_values(log, fields)
     kind = F.col("kind")
     rank = F.when(kind == "bool", 0).when(kind.isin("int", "float"), 1).when(kind == "string", 2)
-    typed = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("number"), F.col("whole"), F.col("string"), F.col("kind")))
+    typed = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("number"), F.col("whole"), F.col("string"), F.col("kind"), F.col("key")))
     return rows.groupBy("unit_id", "field").agg(
         F.count("*").alias("present_count"), F.count_if(kind == "null").alias("null_count"), F.countDistinct("key").alias("distinct_count"), F.count("key").alias("scalar_count"),
         F.count_if(kind == "string").alias("string_count"), F.count_if(kind.isin("int", "float")).alias("number_count"), F.min(typed).alias("least"), F.max(typed).alias("most"),
     )
 
 
-def field_histogram(log: DataFrame) -> DataFrame:
+def field_histogram(log: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
     """Per unit, field and scalar: how often it occurs."""
-    return field_values(log).where(F.col("key").isNotNull()).groupBy("unit_id", "field", F.col("key").alias("value_key")).agg(F.count("*").alias("n"))
+    return field_values(log, fields).where(F.col("key").isNotNull()).groupBy("unit_id", "field", F.col("key").alias("value_key")).agg(F.count("*").alias("n"))
 
 
 def scalar_of(row) -> Scalar | None:
@@ -177,6 +177,11 @@ def units_from(counts: DataFrame, fields: DataFrame, histogram: DataFrame, names
     return list(units.values())
 
 
+def planning_stats(log: DataFrame, names: set[str], keys: set[str], index_kinds: dict[str, str]) -> list[UnitStats]:
+    """Statistics of a log's units for planning; only the fields that are named are taken out of the metadata."""
+    return units_from(unit_counts(log), field_stats(log, names), field_histogram(log, names), names, keys, index_kinds)
+
+
 def collection_stats(log: DataFrame, visible_seq_no: int | None = None) -> DataFrame:
     """One row: live and deleted ids, operations in the mutable unit, immutable units."""
     log = mvcc.at(log, visible_seq_no)

@@ -5,10 +5,11 @@ Layout of a collection's folder:
     descriptor.json             dimensions, metric, thresholds
     CURRENT                     number of the newest manifest
     manifests/<generation>.json checkpoint and units; never rewritten
-    commits/<last seq>.json     a batch counts once this file exists
+    commits/<last seq>.json     a batch counts once this file exists; its size and where it came from
     delta/<first seq>/          operations of a batch
     units/unit_id=<id>/         operations of an immutable unit
     stats/, histograms/         per unit and field, written with the unit
+    indexes/unit_id=<id>/       the unit's visible records by list, and <id>.json beside it
 
 Data is written first and the small file that names it last, so what a crash
 leaves behind is never read.  A batch is atomic.  One driver writes a collection.
@@ -16,19 +17,21 @@ leaves behind is never read.  A batch is atomic.  One driver writes a collection
 
 from __future__ import annotations
 
+import math
 import threading
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec.model import (
-    LOG, MUTABLE_UNIT, VECTOR, BarrierNotSatisfied, CommitAck, Descriptor, DimensionMismatch, InvalidArgument, InvalidSnapshot, NotFound, Scalar, Snapshot,
+    INDEXED, LOG, MUTABLE_UNIT, VECTOR, BarrierNotSatisfied, CommitAck, Descriptor, DimensionMismatch, EmptyBatch, InvalidArgument, InvalidSnapshot, NotFound, Scalar, Snapshot,
 )
-from quillvec.operators import mvcc
+from quillvec.operators import ann, mvcc
 from quillvec.operators.predicate import Predicate, combine, validate
 from quillvec.plans import engine, planner, stats
 from quillvec.sources.files import Files
@@ -83,6 +86,11 @@ class Collection:
             raise InvalidSnapshot(f"invalid snapshot: {snapshot}")
         return snapshot
 
+    def commits(self, manifest: dict) -> list[dict]:
+        """Batches after a manifest's checkpoint, oldest first."""
+        names = [n for n in self.files.names("commits") if n.endswith(".json") and int(n.removesuffix(".json")) > manifest["checkpoint_seq_no"]]
+        return [self.files.read(f"commits/{n}") for n in names]
+
     # --- reads ----------------------------------------------------------------------------
 
     def log(self, snapshot: Snapshot | None = None) -> DataFrame:
@@ -93,8 +101,7 @@ class Collection:
         if manifest["units"]:
             paths = [self.files.at(f"units/unit_id={u['unit_id']}") for u in manifest["units"]]
             parts.append(self.spark.read.option("basePath", self.files.at("units")).schema(f"{ddl(LOG)}, unit_id string").parquet(*paths))
-        commits = [self.files.read(f"commits/{n}") for n in self.files.names("commits") if manifest["checkpoint_seq_no"] < int(n.removesuffix(".json")) ]
-        delta = [self.files.at(f"delta/{c['first']}") for c in commits if c["first"] <= at.visible_seq_no]
+        delta = [self.files.at(f"delta/{c['first']}") for c in self.commits(manifest) if c["first"] <= at.visible_seq_no]
         if delta:
             parts.append(self.spark.read.schema(ddl(LOG)).parquet(*delta).where(F.col("seq_no") > manifest["checkpoint_seq_no"]).withColumn("unit_id", F.lit(MUTABLE_UNIT)))
         if not parts:
@@ -124,7 +131,7 @@ class Collection:
                 for r in self.spark.read.option("basePath", self.files.at("histograms")).parquet(*paths).where(chosen & F.col("value_key").isin(*keys)).collect():
                     by_id[r["unit_id"]].fields[r["field"]].counts[r["value_key"]] = r["n"]
         mutable = log.where(F.col("unit_id") == MUTABLE_UNIT)
-        fresh = stats.units_from(stats.unit_counts(mutable), stats.field_stats(mutable), stats.field_histogram(mutable), names, keys, {})
+        fresh = stats.planning_stats(mutable, names, keys, {})
         return units + (fresh or [stats.UnitStats(MUTABLE_UNIT, "mutable", "raw", 0, 0, 0, 0)])
 
     def query(
@@ -139,7 +146,25 @@ class Collection:
             validate(whole)
         at = self.resolve(snapshot, read_barrier)
         units = self.unit_statistics(at, *planner.named(whole))
-        return engine.execute(self.log(at), units, vector, self.descriptor.metric, top_k, dimensions=self.descriptor.dimensions, predicate=whole, precision=precision, explain=explain)
+        return engine.execute(
+            self.log(at), units, vector, self.descriptor.metric, top_k, dimensions=self.descriptor.dimensions, predicate=whole, precision=precision, explain=explain, index=lambda chosen, wide: self.indexed(chosen, vector, wide)
+        )
+
+    def indexed(self, units: Sequence[str], vector: Sequence[float], wide: float = 1.0) -> tuple[DataFrame, bool]:
+        """The indexed records of units that a query for `vector` has to look at, with `unit_id`; other lists are not opened.
+
+        `wide`: how many times the usual lists to read.  Also whether these are all lists.
+        """
+        paths, whole = [], True
+        for unit in units:
+            index = ann.Index(**self.files.read(f"indexes/{unit}.json"))
+            probes = math.ceil(index.probes * wide)
+            whole = whole and probes >= len(index.centroids)
+            there = {int(n.removeprefix("list=")) for n in self.files.names(f"indexes/unit_id={unit}")}
+            paths += [self.files.at(f"indexes/unit_id={unit}/list={k}") for k in ann.probed(vector, np.array(index.centroids), self.descriptor.metric, probes) if k in there]
+        schema = f"{ddl(INDEXED)}, unit_id string, list int"
+        lists = self.spark.read.option("basePath", self.files.at("indexes")).schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return lists, whole
 
     def stats(self, snapshot: Snapshot | None = None, read_barrier: Snapshot | None = None) -> dict:
         at = self.resolve(snapshot, read_barrier)
@@ -163,24 +188,46 @@ class Collection:
 
     # --- writes ---------------------------------------------------------------------------
 
-    def write(self, operations: Iterable[Operation] | DataFrame, ord_col: str = "ord") -> CommitAck:
+    def write(self, operations: Iterable[Operation] | DataFrame, ord_col: str = "ord", stream: tuple[str, int] | None = None) -> CommitAck:
         """Append a batch, all or nothing.
 
         A list is applied in its order; a DataFrame `(op, id, vector, metadata)` in
-        the order of `ord_col`.  No id may occur twice.
+        the order of `ord_col`.  No id may occur twice.  The input is evaluated once:
+        what is checked is what is written.  `stream`, a name and a number, is kept
+        with the commit; a number that the stream has reached is not written again.
         """
         if not isinstance(operations, DataFrame):
             rows = [(k, o[0], o[1], [float(x) for x in o[2]] if o[0] == "put" else None, (o[3] if len(o) > 3 else "{}") if o[0] == "put" else None) for k, o in enumerate(operations)]
             operations = self.spark.createDataFrame(rows, "ord long, op string, id string, vector array<float>, metadata string")
         batch = operations.select(F.col(ord_col).alias("ord"), "op", "id", F.col("vector").cast(VECTOR.simpleString()), "metadata")
+        staging = f"staging/{uuid.uuid4().hex}"
+        try:
+            dealt = batch.repartitionByRange("ord").withColumn("_range", F.spark_partition_id())
+            dealt.write.parquet(self.files.at(staging))
+            staged = self.spark.read.schema(dealt.schema).parquet(self.files.at(staging))
+            sizes = self.checked(staged)
+            with self.lock:
+                manifest, last = self.manifest(), self.last_seq_no()
+                if stream is not None and stream[1] <= self.stream_number(stream[0]):
+                    return CommitAck(last, 0, self.snapshot())
+                self.numbered(staged, last).write.mode("overwrite").parquet(self.files.at(f"delta/{last + 1}"))
+                entry = {"first": last + 1, "last": last + sizes["ops"], **sizes, "stream": None if stream is None else list(stream)}
+                self.files.write(f"commits/{entry['last']:020d}.json", entry)
+                self.maintain()
+                return CommitAck(entry["last"], sizes["ops"], self.snapshot())
+        finally:
+            self.files.delete(staging)
+
+    def checked(self, batch: DataFrame) -> dict[str, int]:
+        """How many operations and bytes `batch` holds; an error if it must not be written."""
         put = F.col("op") == "put"
         known = F.col("op").isin("put", "delete") & F.coalesce(F.col("id") != "", F.lit(False))
         row = batch.agg(
             F.count("*").alias("n"), F.count_if(~F.coalesce(known, F.lit(False))).alias("bad"), F.count_if(put & F.coalesce(F.size("vector") != self.descriptor.dimensions, F.lit(True))).alias("sizes"),
-            F.count_if(put & F.try_parse_json(F.coalesce("metadata", F.lit(""))).isNull()).alias("json"),
+            F.count_if(put & F.try_parse_json(F.coalesce("metadata", F.lit(""))).isNull()).alias("json"), F.coalesce(F.sum(stats.approx_bytes()), F.lit(0)).alias("bytes"),
         ).first()
         if not row["n"]:
-            raise InvalidArgument("a batch must not be empty")
+            raise EmptyBatch("a batch must not be empty")
         if row["bad"]:
             raise InvalidArgument("operations must be put or delete, with an id")
         if row["sizes"]:
@@ -189,44 +236,52 @@ class Collection:
             raise InvalidArgument("metadata must be JSON")
         if twice := batch.groupBy("id").count().where("count > 1").limit(1).collect():
             raise InvalidArgument(f"duplicate record id {twice[0]['id']!r} in a batch")
-        with self.lock:
-            last = self.last_seq_no()
-            self.numbered(batch, last).write.mode("overwrite").parquet(self.files.at(f"delta/{last + 1}"))
-            self.files.write(f"commits/{last + row['n']:020d}.json", {"first": last + 1, "last": last + row["n"]})
-            self.maintain()
-            return CommitAck(last + row["n"], row["n"], self.snapshot())
+        return {"ops": row["n"], "bytes": row["bytes"]}
 
-    def numbered(self, batch: DataFrame, last: int) -> DataFrame:
-        """`batch` with sequence numbers in order, without one task seeing all rows.
+    def numbered(self, staged: DataFrame, last: int) -> DataFrame:
+        """`staged` with sequence numbers in order, without one task seeing all rows.
 
-        Rows are dealt by ranges of `ord` and staged; a range's numbers start after
-        the sizes of the ranges before it.
+        Rows were dealt by ranges of `ord`; a range's numbers start after the sizes
+        of the ranges before it.
         """
-        staging = f"staging/{uuid.uuid4().hex}"
-        dealt = batch.repartitionByRange("ord").withColumn("_range", F.spark_partition_id())
-        dealt.write.parquet(self.files.at(staging))
-        staged = self.spark.read.schema(dealt.schema).parquet(self.files.at(staging))
         sizes = staged.groupBy("_range").count()
         before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
         own = F.row_number().over(Window.partitionBy("_range").orderBy("ord"))
         return staged.withColumn("_own", own).join(F.broadcast(before), "_range").select((F.lit(last) + F.col("_before") + F.col("_own")).cast("long").alias("seq_no"), "op", "id", "vector", "metadata")
 
+    def stream_number(self, name: str) -> int:
+        """The last batch number of a stream that is committed, or -1."""
+        manifest = self.manifest()
+        later = [c["stream"][1] for c in self.commits(manifest) if c.get("stream") and c["stream"][0] == name]
+        return max([manifest.get("streams", {}).get(name, -1), *later])
+
     def publish(self, units: list[dict], checkpoint: int) -> None:
-        generation = self.manifest()["generation"] + 1
-        self.files.write(f"manifests/{generation}.json", {"generation": generation, "checkpoint_seq_no": checkpoint, "units": units})
+        before = self.manifest()
+        generation, streams = before["generation"] + 1, dict(before.get("streams", {}))
+        for c in self.commits(before):
+            if c.get("stream") and c["last"] <= checkpoint:
+                streams[c["stream"][0]] = max(streams.get(c["stream"][0], -1), c["stream"][1])
+        self.files.write(f"manifests/{generation}.json", {"generation": generation, "checkpoint_seq_no": checkpoint, "units": units, "streams": streams})
         self.files.write("CURRENT", generation)
 
     def write_unit(self, operations: DataFrame) -> dict:
-        """A new immutable unit from log rows, with its statistics."""
+        """A new immutable unit from log rows, with its statistics and its index."""
         unit = str(uuid.uuid4())
         path = self.files.at(f"units/unit_id={unit}")
         operations.select(*LOG.fieldNames()).repartitionByRange("seq_no").sortWithinPartitions("seq_no").write.parquet(path)
         rows = self.spark.read.schema(ddl(LOG)).parquet(path).withColumn("unit_id", F.lit(unit))
         stats.field_stats(rows).drop("unit_id").write.parquet(self.files.at(f"stats/unit_id={unit}"))
         stats.field_histogram(rows).drop("unit_id").write.parquet(self.files.at(f"histograms/unit_id={unit}"))
+        index = ann.build(rows, self.files.at(f"indexes/unit_id={unit}"), self.descriptor.metric, self.descriptor.dimensions)
+        self.files.write(f"indexes/{unit}.json", asdict(index))
+        if index.kind == ann.RAW:
+            self.files.delete(f"indexes/unit_id={unit}")
         counts = stats.unit_counts(rows).first().asDict()
-        # candidates of every immutable unit can be generated, so each counts as indexed
-        return counts | {"unit_id": unit, "index_kind": "hnsw"}
+        return counts | {"unit_id": unit, "index_kind": index.kind, "component_bytes": self.component_bytes(unit)}
+
+    def component_bytes(self, unit: str) -> dict[str, int]:
+        """Bytes on disk of a unit's parts."""
+        return {part: self.files.size(f"{part}/unit_id={unit}") for part in ("units", "stats", "histograms", "indexes")}
 
     def flush(self) -> bool:
         """Freeze the mutable unit; False if it is empty."""
@@ -253,8 +308,8 @@ class Collection:
     def due(self) -> str | None:
         """What the thresholds ask for: `flush`, `compact` or nothing."""
         manifest = self.manifest()
-        mutable = self.log().where(F.col("unit_id") == MUTABLE_UNIT).agg(F.count("*").alias("n"), F.coalesce(F.sum(stats.approx_bytes()), F.lit(0)).alias("bytes")).first()
-        if mutable["n"] >= self.descriptor.flush_ops or mutable["bytes"] >= self.descriptor.flush_bytes:
+        batches = self.commits(manifest)
+        if sum(c["ops"] for c in batches) >= self.descriptor.flush_ops or sum(c["bytes"] for c in batches) >= self.descriptor.flush_bytes:
             return "flush"
         return "compact" if len(manifest["units"]) >= self.descriptor.compact_units else None
 
@@ -291,5 +346,31 @@ class Collection:
                 self.files.write("maintenance.json", self.maintenance_status() | {"in_progress": None} | done)
 
 
+    def vacuum(self, keep_generations: int = 1) -> dict[str, int]:
+        """Delete what only generations before the newest `keep_generations` can read; snapshots of those become invalid."""
+        with self.lock:
+            newest = self.manifest()["generation"]
+            kept = [self.manifest(g) for g in range(max(0, newest - keep_generations + 1), newest + 1) if self.files.exists(f"manifests/{g}.json")]
+            checkpoint, units = min(m["checkpoint_seq_no"] for m in kept), {u["unit_id"] for m in kept for u in m["units"]}
+            gone = {"manifests": 0, "commits": 0, "units": 0}
+            for n in self.files.names("manifests"):
+                if int(n.removesuffix(".json")) < kept[0]["generation"]:
+                    self.files.delete(f"manifests/{n}")
+                    gone["manifests"] += 1
+            for n in self.files.names("commits"):
+                if int(n.removesuffix(".json")) <= checkpoint:
+                    self.files.delete(f"delta/{self.files.read(f'commits/{n}')['first']}")
+                    self.files.delete(f"commits/{n}")
+                    gone["commits"] += 1
+            for n in self.files.names("units"):
+                unit = n.removeprefix("unit_id=")
+                if unit not in units:
+                    for part in ("units", "stats", "histograms", "indexes"):
+                        self.files.delete(f"{part}/unit_id={unit}")
+                    self.files.delete(f"indexes/{unit}.json")
+                    gone["units"] += 1
+            return gone
+
+
 def ddl(schema) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)

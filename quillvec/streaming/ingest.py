@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillvec.model import EmptyBatch
 from quillvec.sources.store import Collection
 
 OPERATIONS = "ord long, op string, id string, vector array<float>, metadata string"
@@ -22,19 +23,18 @@ def ingest(stream: DataFrame, collection: Collection, checkpoint: str, available
     """Write each micro-batch as one collection batch.
 
     Of several operations on an id in a micro-batch the last by `ord` counts, as a
-    batch holds an id once.  The micro-batch number is kept with the collection, so
-    a batch that is replayed after a failure is not written twice.
+    batch holds an id once.  The micro-batch number is part of the commit, so that a
+    batch that is replayed after a failure is not written twice.
     """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()
 
     def write(batch: DataFrame, number: int) -> None:
-        done = f"streams/{zlib.crc32(checkpoint.encode())}.json"
-        if collection.files.exists(done) and collection.files.read(done) >= number:
-            return
         newest = Window.partitionBy("id").orderBy(F.desc("ord"))
         last = batch.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
-        if not last.isEmpty():
-            collection.write(last)
-        collection.files.write(done, number)
+        try:
+            collection.write(last, stream=(name, number))
+        except EmptyBatch:
+            pass
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

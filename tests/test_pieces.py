@@ -59,24 +59,46 @@ def test_stream(spark, tmp_path):
     assert [(r["id"], r["vector"]) for r in c.scan().collect()] == [("a", [2.0])] and c.snapshot().visible_seq_no == 3
 
 
-def test_inverted_lists(spark, tmp_path):
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_an_index_of_clustered_vectors_is_read_in_part(spark, tmp_path, metric):
+    """Written with the unit, read by the query: 0.9 of the neighbours from a quarter of the vectors or less."""
     rng = np.random.default_rng(7)
-    centers = rng.normal(size=(8, 6)) * 4
-    rows = [(str(i), (centers[i % 8] + rng.normal(size=6) * 0.3).tolist(), "{}", i) for i in range(400)]
-    df = spark.createDataFrame(rows, "id string, vector array<float>, metadata string, seq_no long")
-    centroids = ann.fit(df, 8, "l2", sample_rows=200)
-    ann.build(df, f"file://{tmp_path}/ivf", centroids, "l2")
-    assert spark.read.parquet(f"file://{tmp_path}/ivf").count() == 400
-    hits = 0
-    for q in rows[::50]:
-        want = {r["id"] for r in ranking.top_k(df, q[1], "l2", 10).collect()}
-        hits += len(want & {r["id"] for r in ann.search(spark, f"file://{tmp_path}/ivf", q[1], centroids, "l2", 10, 3).collect()})
-    assert hits >= 0.9 * 80
+    centers = rng.normal(size=(32, 8)) * 4
+    vectors = [(centers[i % 32] + rng.normal(size=8) * 0.3).tolist() for i in range(1600)]
+    c = Catalog(spark, f"file://{tmp_path}/root").create_collection("docs", 8, metric)
+    c.write([("put", f"{i:04}", v, f'{{"half":{i % 2}}}') for i, v in enumerate(vectors)])
+    c.flush()
+    entry = c.manifest()["units"][0]
+    index = ann.Index(**c.files.read(f"indexes/{entry['unit_id']}.json"))
+    assert entry["index_kind"] == "ivf" == index.kind and index.recall >= 0.9 and entry["component_bytes"]["indexes"] > 0
+    hits = read = 0
+    asked = range(0, 1600, 160)
+    for i in asked:
+        lists, _ = c.indexed([entry["unit_id"]], vectors[i])
+        read += lists.count()
+        assert all("list=" in f for f in lists.inputFiles())
+        r = c.query(vectors[i], 10, explain="plan")
+        assert r.plan == "vector_first_ann"
+        want = {x["id"] for x in ranking.top_k(c.scan(), vectors[i], metric, 10).collect()}
+        hits += len(want & {x["id"] for x in r.matches.collect()})
+    assert hits >= 0.9 * 10 * len(asked) and read <= 0.25 * 1600 * len(asked)
+    narrow = c.query(vectors[0], 5, filters={"half": 1}).matches.collect()
+    assert len(narrow) == 5 and all('"half":1' in x["metadata"] for x in narrow)
+
+
+def test_vectors_that_hardly_cluster_are_scanned(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    c = Catalog(spark, f"file://{tmp_path}/root").create_collection("docs", 32, "cosine")
+    c.write([("put", str(i), rng.normal(size=32).tolist()) for i in range(1200)])
+    c.flush()
+    entry = c.manifest()["units"][0]
+    assert entry["index_kind"] == "raw" and not c.files.exists(f"indexes/unit_id={entry['unit_id']}")
+    assert c.query([1.0] * 32, 3).plan == "unfiltered_exact_scan"
 
 
 def test_recall_over_the_embeddings(spark, sf_dir):
-    recalls = [r["recall"] for r in queries.QUERIES["ann_recall"](spark, sf_dir).collect()]
-    assert len(recalls) == 10 and sum(recalls) / len(recalls) >= 0.9
+    row = queries.QUERIES["ann_recall"](spark, sf_dir).first()
+    assert row["queries"] == 10 and row["reached"]
 
 
 def test_unit_candidates_take_the_newest_version(spark):
