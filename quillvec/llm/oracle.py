@@ -24,11 +24,11 @@ w AS (SELECT *, {words("t")} AS ws FROM d),
 g AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
 repeated AS (SELECT r, count(DISTINCT i + s) AS n FROM twice, (VALUES (0), (1), (2)) v(s) GROUP BY r),
-l AS (SELECT r, l FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
-lw AS (SELECT r, l, {words("l")} AS ws FROM l),
-judged AS (SELECT r, l, len(ws) AS n,
-  ({count_of("l", rules.SEPARATORS)} >= 3 AND 5 * {count_of("l", rules.SEPARATORS)} >= len(ws)) OR 2 * {count_of("l", rules.MARKS)} >= len(ws) OR (len(ws) >= 5 AND upper(l) = l AND lower(l) <> l)
-  OR (len(ws) < 3 AND instr('{ENDS}', right(rtrim(l, ' '), 1)) = 0) OR (len(ws) >= 10 AND 4 * len(list_distinct(ws)) <= len(ws)) OR regexp_matches(lower(l), '{rules.BOILERPLATE}') AS fails FROM lw),
+l AS (SELECT r, l, row_number() OVER (PARTITION BY r ORDER BY p DESC) = 1 AS last FROM (SELECT r, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS p FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+lw AS (SELECT r, l, last, {words("l")} AS ws FROM l),
+judged AS (SELECT r, l, len(ws) AS n, (instr('{ENDS}', right(rtrim(l, ' '), 1)) = 0 AND NOT (last AND len(ws) >= {rules.CUT_OFF}))
+  OR ({count_of("l", rules.SEPARATORS)} >= 3 AND 5 * {count_of("l", rules.SEPARATORS)} >= len(ws)) OR 2 * {count_of("l", rules.MARKS)} >= len(ws) OR (len(ws) >= 5 AND upper(l) = l AND lower(l) <> l)
+  OR (len(ws) >= 10 AND 4 * len(list_distinct(ws)) <= len(ws)) OR (len(ws) <= {rules.SHORT} AND regexp_matches(lower(l), '{rules.BOILERPLATE}')) AS fails FROM lw),
 by_doc AS (SELECT r, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (fails) AS gone, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY r),
 base AS (SELECT r, doc_id, len(ws)::BIGINT AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars, {count_of("t", rules.SYMBOLS)}::BIGINT AS n_symbols,
   coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS lines_removed, coalesce(lost, 0)::BIGINT AS words_removed

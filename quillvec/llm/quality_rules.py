@@ -6,9 +6,14 @@ and repetition rules.  Lines that fail one go; a document that loses more than
 checks (too few words, or most of them in repeated three-word windows).
 
 Everything happens within a row: there is no shuffle, and a document's lines are
-never spread out.  Null and empty texts have no words and fail the base checks.
+never spread out.  Null and empty texts have no words and fail the base checks;
+texts of any length are judged whole, and shares that are exactly at a limit pass.
 Repeated rows each get the same verdict; an empty table gives no rows; other
 columns of the input are ignored.
+
+A line is to end like a sentence, with a mark of any script listed; a document's
+last line may be cut off if it has `CUT_OFF` words.  Boilerplate is looked for in lines
+of at most `SHORT` words, in English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -22,12 +27,17 @@ SYMBOLS = "#*$%&|<>"
 #: Marks between the entries of menus and breadcrumbs.
 SEPARATORS = "|»›•·"
 MARKS = "#*$%&<>~^="
-#: Last characters of lines that are sentences.
-ENDS = ".!?…:;\"')]”’»。！？"
-BOILERPLATE = (
-    "all rights reserved|cookie policy|accept cookies|enable javascript|privacy policy|terms of (use|service)|lorem ipsum|"
-    "click here|sign up now|subscribe to our|share this (page|post|article)|skip to (main )?content|back to top"
-)
+#: Last characters of lines that are sentences, with what may close after them.
+ENDS = ".!?…:;\"')]”’»。！？؟۔।"
+CUT_OFF, SHORT = 6, 40
+#: Phrases, in small letters, of notices and controls.
+PHRASES = {
+    "en": "all rights reserved|cookie policy|accept (all )?cookies|enable javascript|privacy policy|terms of (use|service)|lorem ipsum|click here|sign up now|subscribe to our|share this (page|post|article)|skip to (main )?content|back to top",
+    "de": "alle rechte vorbehalten|cookie-richtlinie|cookies akzeptieren|javascript aktivieren|aktivieren sie javascript|datenschutzerklärung|allgemeine geschäftsbedingungen|nutzungsbedingungen|hier klicken|klicken sie hier|jetzt anmelden|newsletter abonnieren|zum inhalt springen|nach oben scrollen",
+    "fr": "tous droits réservés|politique de (confidentialité|cookies)|accepter (tous )?les cookies|activer javascript|activez javascript|conditions générales|conditions d.utilisation|mentions légales|cliquez ici|inscrivez-vous maintenant|abonnez-vous à|partager (cette page|cet article)|aller au contenu|haut de page",
+    "es": "todos los derechos reservados|política de (privacidad|cookies)|aceptar (todas )?las cookies|aceptar cookies|activar javascript|habilitar javascript|términos (de uso|y condiciones)|aviso legal|haga clic aquí|haz clic aquí|regístrate ahora|suscríbete a|compartir (esta página|este artículo)|saltar al contenido|volver arriba",
+}
+BOILERPLATE = r"\b(" + "|".join(PHRASES.values()) + ")"
 
 
 def count_of(text: Column, characters: str) -> Column:
@@ -57,20 +67,22 @@ def repeated_words(found: Column) -> Column:
     return bind(found, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(bind(hashed(w), windows)))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether `line` (with a word in it) breaks a rule."""
+def line_fails(line: Column, found: Column, last: Column) -> Column:
+    """Whether `line`, whose words are `found` (one at least), breaks a rule; `last`: it is its document's last."""
+    n = F.size(found)
+    separators = count_of(line, SEPARATORS)
+    unended = (F.instr(F.lit(ENDS), F.right(F.rtrim(line), F.lit(1))) == 0) & ~(last & (n >= CUT_OFF))
+    navigation = (separators >= 3) & (5 * separators >= n)
+    marked = 2 * count_of(line, MARKS) >= n
+    shouted = (n >= 5) & ~line.rlike("[a-z]") & (F.upper(line) == line) & (F.lower(line) != line)
+    repetitive = (n >= 10) & (4 * F.size(F.array_distinct(found)) <= n)
+    boilerplate = (n <= SHORT) & F.lower(line).rlike(BOILERPLATE)
+    return unended | navigation | marked | shouted | boilerplate | repetitive
 
-    def verdict(w: Column) -> Column:
-        n = F.size(w)
-        separators = count_of(line, SEPARATORS)
-        navigation = (separators >= 3) & (5 * separators >= n)
-        marked = 2 * count_of(line, MARKS) >= n
-        shouted = (n >= 5) & (F.upper(line) == line) & (F.lower(line) != line)
-        fragment = (n < 3) & (F.instr(F.lit(ENDS), F.right(F.rtrim(line), F.lit(1))) == 0)
-        repetitive = (n >= 10) & (4 * F.size(F.array_distinct(w)) <= n)
-        return navigation | marked | shouted | fragment | repetitive | F.lower(line).rlike(BOILERPLATE)
 
-    return bind(words(line), verdict)
+def verdicts(lines: Column, found: Column) -> Column:
+    """For each line the number of its words, and whether it fails; `found`: the words of each."""
+    return F.transform(lines, lambda line, k: bind(F.get(found, k), lambda w: F.struct(F.size(w).alias("n"), line_fails(line, w, k == F.size(lines) - 1).alias("fails"))))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.3) -> DataFrame:
@@ -78,17 +90,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     percent = round(100 * max_lost)
     row = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias("_t"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    row = row.select(id_col, "_t", words(F.col("_t")).alias("_w"), lines.alias("_l"))
-    gone = F.filter("_l", line_fails)
-    lost = bind(gone, lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0), lambda a, x: a + F.size(words(x))).alias("words")))
+    row = row.select(id_col, "_t", lines.alias("_l")).select(id_col, "_t", "_l", F.transform("_l", words).alias("_w"))
+    row = row.select(id_col, "_t", "_l", F.flatten("_w").alias("_words"), F.filter(verdicts(F.col("_l"), F.col("_w")), lambda v: v["fails"]).alias("_gone"))
     row = row.select(
         id_col,
-        F.size("_w").cast("long").alias("n_words"),
+        F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        lost.alias("_lost"),
+        repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
+        F.struct(F.size("_gone").alias("n"), F.aggregate("_gone", F.lit(0), lambda a, x: a + x["n"]).alias("words")).alias("_lost"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return row.select(
@@ -100,9 +111,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.3) -> DataFrame:
     """The documents that are kept, without the lines that fail; other columns stay as they are."""
-    left = F.filter(F.split(text_or_empty(F.col(text_col)), "\n"), lambda x: ~x.rlike(f"[^{SPACE}]") | ~line_fails(x))
-    found = words(F.col(text_col))
-    row = docs.select(whole_row(docs), left.alias("left"), F.size(found).alias("n"), repeated_words(found).alias("repeated"))
-    row = row.withColumn("kept", F.aggregate("left", F.lit(0), lambda a, x: a + F.size(words(x))))
+    every = F.split(text_or_empty(F.col(text_col)), "\n")
+    row = docs.select(whole_row(docs), every.alias("every"), F.filter(every, lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
+    row = row.withColumn("words", F.transform("lines", words)).withColumn("verdicts", verdicts(F.col("lines"), F.col("words")))
+    # a line of `every` is the next of `lines` if it has a word; its number there is how many worded lines come before it
+    marked = F.aggregate(
+        "every", F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("left")),
+        lambda a, x: F.when(~x.rlike(f"[^{SPACE}]"), F.struct(a["k"].alias("k"), F.array_append(a["left"], x).alias("left"))).otherwise(
+            F.struct((a["k"] + 1).alias("k"), F.when(F.get("verdicts", a["k"])["fails"], a["left"]).otherwise(F.array_append(a["left"], x)).alias("left"))
+        ),
+        lambda a: a["left"],
+    )
+    kept = F.aggregate("verdicts", F.lit(0), lambda a, v: a + F.when(v["fails"], 0).otherwise(v["n"]))
+    row = row.select("doc", marked.alias("left"), F.size(F.flatten("words")).alias("n"), repeated_words(F.flatten("words")).alias("repeated"), kept.alias("kept"))
     good = (F.col("n") >= 50) & (100 * F.col("repeated") <= 50 * F.col("n")) & (100 * (F.col("n") - F.col("kept")) <= round(100 * max_lost) * F.col("n"))
     return row.where(good).select(F.col("doc").withField(text_col, F.array_join("left", "\n")).alias("doc")).select("doc.*")

@@ -370,17 +370,21 @@ def test_base_counts(spark, corpus, texts, edges):
 
 def test_line_rules(spark):
     cases = {
-        "Home | About | Contact | Imprint": True, "CLICK THIS NOW AND WIN BIG": True, "a# b# c# d#": True, "Menu": True, "Please enable JavaScript to go on reading here.": True,
-        "go go go go go go go go go go go go": True, "This is a sentence that someone wrote.": False, "A last line cut off in the midd": False, "Es war einmal ein König, der hatte drei Söhne.": False, "Yes.": False,
+        "Home | About | Contact | Imprint.": True, "CLICK THIS NOW AND WIN BIG!": True, "a# b# c# d#.": True, "Menu": True, "Please enable JavaScript to go on reading here.": True,
+        "go go go go go go go go go go go go.": True, "This is a sentence that someone wrote.": False, "Es war einmal ein König, der hatte drei Söhne.": False, "Yes.": False,
+        "A line that simply stops and is no sentence at all": True, "Alle Rechte vorbehalten, 2020.": True, "Tous droits réservés.": True, "Consulte la política de privacidad.": True, "これは文です。": False, "هل هذا سؤال؟": False,
+        "a first step, then a second one, and so on; see there:": False, "GROSS GESCHRIEBEN IST DIESE GANZE ZEILE.": True, " ".join(["click here is said in a long sentence"] * 6) + " " + " ".join(f"w{k}" for k in range(20)) + ".": False,
     }
-    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", quality_rules.line_fails(F.col("t")).alias("f"))
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", quality_rules.verdicts(F.array("t", F.lit("end.")), F.transform(F.array("t", F.lit("end.")), quality_rules.words))[0]["fails"].alias("f"))
     assert {r["t"]: r["f"] for r in df.collect()} == cases
+    last = spark.createDataFrame([("A last line cut off in the midd",), ("Cut off",)], "t string").select(quality_rules.verdicts(F.array("t"), F.array(quality_rules.words(F.col("t"))))[0]["fails"].alias("f"))
+    assert [r["f"] for r in last.collect()] == [False, True]
 
 
 def test_cleaning_keeps_good_lines(spark, docs_of):
     good = "\n".join(" ".join(f"word{k * 9 + j}" for j in range(9)) + "." for k in range(12))
-    out = quality_rules.clean(docs_of([(1, good + "\nHome | About | Contact | News"), (2, "\n".join(["Home | About | Contact | News"] * 30)), (3, None)])).collect()
-    assert [(r["doc_id"], r["text"]) for r in out] == [(1, good)]
+    out = quality_rules.clean(docs_of([(1, good.replace("\n", "\n\n", 1) + "\nHome | About | Contact | News"), (2, "\n".join(["Home | About | Contact | News"] * 30)), (3, None)])).collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(1, good.replace("\n", "\n\n", 1))]
 
 
 # --- decontamination ----------------------------------------------------------------------
