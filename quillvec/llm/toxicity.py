@@ -90,12 +90,28 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        stem = any((zlib.crc32((word if n == WHOLE else word[:n]).encode("utf-8", "surrogatepass")) << 4 | n) in self.keys_in for n in self.lengths if n == WHOLE or n <= len(word))
+        stem, size = False, len(word)
+        for n in self.lengths:
+            if n == WHOLE or n <= size:
+                if (zlib.crc32((word if n == WHOLE else word[:n]).encode("utf-8", "surrogatepass")) << 4 | n) in self.keys_in:
+                    stem = True
+                    break
         found = bucket(word, BUCKETS) | bucket(word[:5], BUCKETS, 1) << BUCKET_BITS | stem << STEM | (OF.get(word, -1) + 1) << LEXICON | (word in AIMED) << POINTS
         self[word] = found
         return found
 
 
+_KNOWN: dict[frozenset[int], Words] = {}
+
+
+def known_words(keys: frozenset[int]) -> Words:
+    """One for each Python worker, kept from batch to batch."""
+    if keys not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[keys] = Words(keys)
+    return _KNOWN[keys]
+
+
 def candidates(keys: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Keys that `least` toxic rows or more have, ascending, and how many do."""
     every, count = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
@@ -292,7 +308,7 @@ def looked(docs: DataFrame, stems: frozenset[int], id_col: str, text_col: str) -
 
     @python_udf(f"struct<{LOOKED}>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(look([t or "" for t in texts], Words(stems)))
+        return pd.DataFrame(look([t or "" for t in texts], known_words(stems)))
 
     return durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), of(F.col(text_col)).alias("l")).select("id", "key", "l.*"))
 
@@ -304,13 +320,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: i
     sample = durable(training_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, sample_rows, "id", "text"))
     stems = induce(sample)
     seen = looked(docs, stems, id_col, text_col)
-    judged = seen.join(known, "id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
+    judged = seen.select("id", "key", "votes").join(known, "id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
     counted = judged.groupBy("votes", "gold").count().orderBy("votes", "gold").toPandas()
     label_model = LabelModel.fit(*(counted[c].to_numpy(np.int64) for c in ("votes", "gold", "count")))
     order = [F.xxhash64(F.lit("fit"), "id", "key"), F.col("id"), F.col("key")]
-    free = judged.where(~held_out(F.col("id")))
+    free = judged.where(~held_out(F.col("id")) & F.col("id").isNotNull()).select("id", "key", "gold")
     part = free.where("gold >= 0").orderBy(*order).limit(fit_rows).unionByName(free.where("gold < 0").orderBy(*order).limit(fit_rows))
-    taken = part.toPandas().sort_values(["gold", "id", "key"])
+    taken = seen.join(F.broadcast(part.distinct()), ["id", "key"]).toPandas().drop_duplicates(["id", "key"]).sort_values(["gold", "id", "key"])
     size = 1 + len(VOTERS) + DENSE + BUCKETS
     if not (taken["gold"] >= 0).any():
         weights = np.zeros(size)
@@ -346,6 +362,6 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @python_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(weights, **look([t or "" for t in texts], Words(stems))))
+        return pd.Series(scores(weights, **look([t or "" for t in texts], known_words(stems))))
 
     return docs.where(of(F.col(text_col)) < 0.5)
