@@ -1,25 +1,31 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-Candidates are found by pattern and validated: cards by the Luhn sum, addresses
-by the range of their parts, social security numbers by their groups, dates by
-the calendar.  What doesn't validate is left alone.  A validated value is encoded
-as a whole number, run through a keyed Feistel network over exactly the numbers
-of its format, and decoded in the same format: digits stay where digits were, a
-card keeps a right check digit, a date stays a date.  Equal values get equal
-pseudonyms in all documents, different values different ones, and whoever has the
-key can go back.
+Candidates are found by pattern and validated: cards by the Luhn sum, bank accounts
+(IBAN) by the remainder of 97, addresses by the range of their parts, social security
+numbers by their groups, dates by the calendar, international phone numbers by
+country code and length.  What doesn't validate is left alone.  A validated value is
+encoded as a whole number, run through a keyed Feistel network over exactly the
+numbers of its format, and decoded in the same format: digits stay where digits were,
+a card and an account keep right check digits, a date stays a date in its own order.
+Equal values get equal pseudonyms in all documents, different values different ones,
+and whoever has the key can go back.
 
 The network is an alternating one over Z_a x Z_b for any a and b, so no value
 falls outside its format and there is no retrying.  Round values come from
 SHA-256 of key, kind, round and half.
 
-Mail addresses keep their domain and get a keyed tag for the name before it
-(format-preserving for their form, not a permutation).  Hexadecimal secrets are
-permuted in blocks of 12 digits.
-
-Everything happens within a row; there is no shuffle.  Null texts stay null,
-empty ones empty.  Repeated rows are each treated alike; an empty table gives no
-rows; other columns pass.  Dates outside 1800 to 2199 are left alone.
+Slashed dates are day first where that is a date, else month first; the latter are
+permuted among the dates that can only be read so, by walking the network's cycle.
+Numbers of over 18 digits go through in two parts, each keyed by the other.
+Hexadecimal secrets are permuted in blocks of 12 digits.  Mail addresses keep their
+domain and get a keyed tag of 128 bits for the name before it (no permutation: it
+cannot be undone).
+
+Everything happens within a row; there is no shuffle.  Null texts stay null, empty
+ones empty; texts of any length are treated whole.  Where patterns overlap the
+leftmost match counts, then their order here.  Repeated rows are each treated alike;
+an empty table gives no rows; other columns pass.  Dates outside 1800 to 2199, dates
+without leading zeros and national numbers not written 3-3-4 are left alone.
 """
 
 from __future__ import annotations
@@ -35,28 +41,34 @@ ROUNDS = 10
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
-DATE = r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
+DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?!\d)"
-PATTERN = "|".join((MAIL, HEX, ADDRESS, DATE, SOCIAL, PHONE, CARD))
-KINDS = ("mail", "secret", "address", "date", "social", "phone", "card")
+#: Country calling codes of one, two and three digits.
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689]\d|3[578]\d|42\d|5[09]\d|6[789]\d|8[0578]\d|9[679]\d)"
+ABROAD = rf"(?<![\d+])\+{COUNTRY}(?:[ .-]?(?:\(\d{{1,4}}\)|\d)){{6,12}}(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"
+ACCOUNT = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+PATTERN = "|".join((MAIL, HEX, ADDRESS, DATE, SOCIAL, PHONE, ABROAD, CARD, ACCOUNT))
+KINDS = ("mail", "secret", "address", "date", "social", "phone", "card", "account")
 TENS = [10**k for k in range(19)]
 #: Days from 1800-01-01 to 2199-12-31: 400 years of the calendar are 189 * 773 days.
 FIRST_DAY, DAY_A, DAY_B = "1800-01-01", 189, 773
+#: Steps after which a walk has ended: one in 10 ** 24 of all values would need more.
+WALK = 60
 
 
 def digits_of(text: Column) -> Column:
     return F.translate(text, " .-/()+", "")
 
 
-def keyed(key: str, kind: str, number: Column, half: Column) -> Column:
+def keyed(key: str, kind: str | Column, number: Column, half: Column) -> Column:
     """60 bits of SHA-256 as a whole number."""
-    raw = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number, half), 256)
+    raw = F.sha2(F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), number, half), 256)
     return F.conv(F.substring(raw, 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
+def feistel(x: Column, a: Column, b: Column, key: str, kind: str | Column, back: bool = False) -> Column:
     """The keyed permutation of 0 .. a * b - 1 at `x`; `back`: its inverse."""
 
     def turn(s: Column, k: Column) -> Column:
@@ -72,8 +84,8 @@ def feistel(x: Column, a: Column, b: Column, key: str, kind: str, back: bool = F
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["left"] * b + s["right"])
 
 
-def permute_digits(digits: Column, key: str, kind: str, back: bool = False) -> Column:
-    """A string of 2 to 18 digits, permuted among those of its length."""
+def permute_digits(digits: Column, key: str, kind: str | Column, back: bool = False) -> Column:
+    """A string of 1 to 18 digits, permuted among those of its length."""
     n = F.length(digits)
     tens = F.array(*[F.lit(t).cast("long") for t in TENS])
     half = F.floor(n / 2).cast("int")
@@ -84,6 +96,22 @@ def permute_digits(digits: Column, key: str, kind: str, back: bool = False) -> C
     return bind(feistel(digits.cast("long"), F.get(tens, half), F.get(tens, n - half), key, kind, back), halves)
 
 
+def permute_long(digits: Column, key: str, kind: str, back: bool = False) -> Column:
+    """A string of any number of digits: what is beyond 18 keys the rest, then is keyed by it, and keys it again."""
+
+    def turn(s: Column, number: int) -> Column:
+        moves, other = ("low", "high") if number == 1 else ("high", "low")
+        changed = {moves: permute_digits(s[moves], key, F.concat_ws("|", F.lit(f"{kind}{number}"), s[other]), back), other: s[other]}
+        return F.struct(changed["high"].alias("high"), changed["low"].alias("low"))
+
+    def all_turns(s: Column, numbers: list[int]) -> Column:
+        return bind(turn(s, numbers[0]), lambda t: all_turns(t, numbers[1:])) if numbers else F.concat(s["high"], s["low"])
+
+    parts = F.struct(F.substring(digits, 1, 18).alias("high"), F.substring(digits, F.lit(19), F.length(digits)).alias("low"))
+    long = bind(parts, lambda s: all_turns(s, [2, 1, 0] if back else [0, 1, 2]))
+    return F.when(F.length(digits) <= 18, permute_digits(digits, key, kind, back)).otherwise(long)
+
+
 def put_back(form: Column, digits: Column) -> Column:
     """`form` with its digits replaced by `digits`, one after another."""
     parts = F.split(form, "")
@@ -104,7 +132,7 @@ def luhn_sum(digits: Column) -> Column:
 
 def mail(x: Column, key: str, back: bool) -> Column:
     name, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(name), F.lower(domain)), 256), 1, 12), F.lit("@"), domain)
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(name), F.lower(domain)), 256), 1, 32), F.lit("@"), domain)
 
 
 def secret(x: Column, key: str, back: bool) -> Column:
@@ -136,12 +164,31 @@ def address(x: Column, key: str, back: bool) -> Column:
 
 
 def date(x: Column, key: str, back: bool) -> Column:
-    iso = x.substr(5, 1) == "-"
-    day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.try_to_date(x, "dd/MM/yyyy"))
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    new = feistel(number, F.lit(DAY_A).cast("long"), F.lit(DAY_B).cast("long"), key, "date", back)
-    shown = bind(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy")))
-    return F.when(number.between(0, DAY_A * DAY_B - 1), shown)
+    first, mark = F.lit(FIRST_DAY).cast("date"), x.substr(3, 1)
+    forms = {"iso": "yyyy-MM-dd", "dotted": "dd.MM.yyyy", "day": "dd/MM/yyyy", "month": "MM/dd/yyyy"}
+    read = {name: F.try_to_date(x, form) for name, form in forms.items()}
+    form = F.when(x.substr(5, 1) == "-", "iso").when(mark == ".", "dotted").when(read["day"].isNotNull(), "day").otherwise("month")
+    sides = F.lit(DAY_A).cast("long"), F.lit(DAY_B).cast("long")
+
+    def day_of(number: Column) -> Column:
+        return F.date_add(first, number.cast("int"))
+
+    def step(number: Column) -> Column:
+        return feistel(number, *sides, key, "date", back)
+
+    def walk(number: Column) -> Column:
+        """On through the cycle until the date can only be read month first."""
+        start = F.struct(step(number).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.when(F.dayofmonth(day_of(s["n"])) > 12, s).otherwise(F.struct(step(s["n"]).alias("n"))), lambda s: s["n"])
+
+    def of(form: Column) -> Column:
+        by_form = lambda make: F.when(form == "iso", make("iso")).when(form == "dotted", make("dotted")).when(form == "day", make("day")).otherwise(make("month"))
+        number = F.datediff(by_form(lambda name: read[name]), first).cast("long")
+        new = bind(number, lambda n: F.when(form == "month", walk(n)).otherwise(step(n)))
+        shown = bind(day_of(new), lambda d: by_form(lambda name: F.date_format(d, forms[name])))
+        return F.when(number.between(0, DAY_A * DAY_B - 1), shown)
+
+    return bind(form, of)
 
 
 def social(x: Column, key: str, back: bool) -> Column:
@@ -164,6 +211,39 @@ def phone(x: Column, key: str, back: bool) -> Column:
     return put_back(x, F.concat(F.substring(raw, F.lit(1), F.length(raw) - 10), permute_digits(own, key, "phone", back)))
 
 
+def abroad(x: Column, key: str, back: bool) -> Column:
+    """The country code stays."""
+    raw = digits_of(x)
+    code = F.regexp_extract(raw, f"^{COUNTRY}", 0)
+    own = F.substring(raw, F.length(code) + 1, F.length(raw))
+    return put_back(x, F.concat(code, permute_digits(own, key, "phone", back)))
+
+
+def remainder(characters: Column) -> Column:
+    """The remainder of 97 of a string of digits and capitals, which stand for 10 to 35."""
+
+    def add(total: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), total * 10 + c.cast("int")).otherwise(total * 100 + F.ascii(c) - 55)
+        return (value % 97).cast("int")
+
+    return F.aggregate(F.split(characters, ""), F.lit(0), add)
+
+
+def account(x: Column, key: str, back: bool) -> Column:
+    """Country and letters stay; digits are permuted and the check digits made right."""
+    raw = F.translate(x, " ", "")
+    moved = lambda body, check: F.concat(body, F.substring(raw, 1, 2), check)
+    own = F.substring(raw, F.lit(5), F.length(raw))
+    valid = (remainder(moved(own, F.substring(raw, 3, 2))) == 1) & (F.length(raw) <= 34) & own.rlike("[0-9]")
+    body = put_back(own, permute_long(F.regexp_replace(own, "[^0-9]", ""), key, "account", back))
+
+    def whole(new: Column) -> Column:
+        check = F.lpad((98 - remainder(moved(new, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(F.substring(raw, 1, 2), check, new)
+
+    return F.when(valid, put_back(x, bind(bind(body, whole), lambda v: F.regexp_replace(v, "[^0-9]", ""))))
+
+
 def card(x: Column, key: str, back: bool) -> Column:
     raw = digits_of(x)
     body = permute_digits(F.substring(raw, F.lit(1), F.length(raw) - 1), key, "card", back)
@@ -175,7 +255,8 @@ def card(x: Column, key: str, back: bool) -> Column:
 
 
 CHANGE: dict[str, tuple[str, Callable[[Column, str, bool], Column]]] = {
-    "mail": (MAIL, mail), "secret": (HEX, secret), "address": (ADDRESS, address), "date": (DATE, date), "social": (SOCIAL, social), "phone": (PHONE, phone), "card": (CARD, card),
+    "mail": (MAIL, mail), "secret": (HEX, secret), "address": (ADDRESS, address), "date": (DATE, date), "social": (SOCIAL, social), "phone": (PHONE, phone), "abroad": (ABROAD, abroad), "card": (CARD, card),
+    "account": (ACCOUNT, account),
 }
 
 
@@ -185,7 +266,8 @@ def pseudonym(found: Column, key: str, back: bool = False) -> Column:
     for name, (pattern, change) in CHANGE.items():
         fits = found.rlike(f"^(?:{pattern})$")
         new = change(found, key, back)
-        kind = F.when(fits, F.lit(name)) if kind is None else kind.when(fits, F.lit(name))
+        label = F.lit("phone" if name == "abroad" else name)
+        kind = F.when(fits, label) if kind is None else kind.when(fits, label)
         value = F.when(fits, new) if value is None else value.when(fits, new)
     return bind(value, lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), F.coalesce(v, found).alias("value")))
 

@@ -1,5 +1,7 @@
 """Operators against brute force on small corpora."""
 
+import datetime
+import hashlib
 import random
 import re
 import zlib
@@ -513,6 +515,7 @@ def test_edited_and_reparameterised_copies(spark, docs_of):
 PRIVATE = [
     "card 4111 1111 1111 1111 x", "4111-1111-1111-1111", "ssn 123-45-6789 000-12-3456", "born 1990-02-28, 31/12/1999 and 2023-02-30", "ip 10.0.0.1 and 999.1.1.1", "+1 (017) 555-7713 or 555-123-4567",
     'key "B44E15E09FD311C3CF3163B66D5A9875B883D8CE" b44e15e09fd311c3cf3163b66d5a9875b883d8ce', "4845168114407329 4845168114407329 1234567890123456", "nothing 12 here", "1600-01-01", "899-99-9999 001-01-0001",
+    "12/25/1990 and 03/04/1990, 31.12.1999 02/30/1990 1.2.3", "+49 30 1234567 or +33 1 23 45 67 89, +891 1 23 45 67 89", "DE89 3704 0044 0532 0130 00, FR1420041010050500013M02606 and DE88370400440532013000", "3782 822463 10005 or 3714-496353-98431",
 ]
 
 
@@ -527,6 +530,8 @@ def test_pseudonyms_round_trip_and_keep_their_format(spark):
     rows = {r["k"]: r for r in hidden.collect()}
     assert {r["k"]: r["text"] for r in back.collect()} == dict(enumerate(PRIVATE))
     shape = lambda t: re.sub(r"[A-F]", "H", re.sub(r"\d", "9", re.sub(r"(?<=[0-9a-f])[a-f](?=[0-9a-f])", "h", t)))
+    assert "02/30/1990 1.2.3" in rows[11]["text"] and rows[11]["text"][:10] != "12/25/1990" and int(rows[11]["text"][3:5]) > 12 and rows[12]["text"].endswith("+891 1 23 45 67 89")
+    assert rows[13]["pii"] == ["account"] * 2 and rows[13]["text"].endswith("DE88370400440532013000") and iban_ok(rows[13]["text"].split(",")[0]) and rows[14]["pii"] == ["card"] * 2
     for k, text in enumerate(PRIVATE):
         if k not in (4, 6):
             assert shape(rows[k]["text"]) == shape(text)
@@ -539,6 +544,123 @@ def test_pseudonyms_round_trip_and_keep_their_format(spark):
     assert other[0] != rows[0]["text"]
 
 
+def plain_feistel(x, a, b, kind, key="secret"):
+    left, right = divmod(x, b)
+    for k in range(10):
+        value = lambda half: int(hashlib.sha256(f"{key}|{kind}|{k}|{half}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
+        if k % 2 == 0:
+            left = (left + value(right)) % a
+        else:
+            right = (right + value(left)) % b
+    return left * b + right
+
+
+def plain_digits(d, kind):
+    half = len(d) // 2
+    return str(plain_feistel(int(d), 10**half, 10 ** (len(d) - half), kind)).zfill(len(d))
+
+
+def plain_fill(form, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in form)
+
+
+def plain_date(x):
+    form = "%Y-%m-%d" if x[4] == "-" else "%d.%m.%Y" if x[2] == "." else "%d/%m/%Y"
+    try:
+        day = datetime.datetime.strptime(x, form)
+    except ValueError:
+        form = "%m/%d/%Y"
+        day = datetime.datetime.strptime(x, form)
+    first = datetime.datetime(1800, 1, 1)
+    n = plain_feistel((day - first).days, 189, 773, "date")
+    while form == "%m/%d/%Y" and (first + datetime.timedelta(n)).day <= 12:
+        n = plain_feistel(n, 189, 773, "date")
+    return (first + datetime.timedelta(n)).strftime(form)
+
+
+def plain_card(x):
+    raw = re.sub(r"\D", "", x)
+    body = plain_digits(raw[:-1], "card")
+    return plain_fill(x, next(body + c for c in "0123456789" if luhn(body + c)))
+
+
+def iban_ok(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def plain_account(x):
+    raw = x.replace(" ", "")
+    d = re.sub(r"\D", "", raw[4:])
+    if len(d) <= 18:
+        d = plain_digits(d, "account")
+    else:
+        high, low = d[:18], d[18:]
+        high = plain_digits(high, f"account0|{low}")
+        low = plain_digits(low, f"account1|{high}")
+        d = plain_digits(high, f"account2|{low}") + low
+    body = plain_fill(raw[4:], d)
+    return plain_fill(x, next(f"{c:02}" for c in range(2, 99) if iban_ok(f"{raw[:2]}{c:02}{body}")) + re.sub(r"\D", "", body))
+
+
+def plain_address(x):
+    n = 0
+    for p in x.split("."):
+        n = n * 256 + int(p)
+    n = plain_feistel(n, 1 << 16, 1 << 16, "address")
+    return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+
+
+def plain_social(x):
+    area, group, serial = map(int, x.split("-"))
+    side = 99 * 9999
+    n = plain_feistel((area - 2 if area > 666 else area - 1) * side + (group - 1) * 9999 + serial - 1, 898, side, "social")
+    area, rest = divmod(n, side)
+    return f"{area + 2 if area >= 665 else area + 1:03}-{rest // 9999 + 1:02}-{rest % 9999 + 1:04}"
+
+
+def plain_secret(x):
+    out = ""
+    for k in range(0, len(x), 12):
+        part = x[k : k + 12]
+        half = len(part) // 2
+        out += f"{plain_feistel(int(part, 16), 16**half, 16 ** (len(part) - half), 'secret'):x}".zfill(len(part))
+    return out.upper() if x.upper() == x else out
+
+
+def plain_mail(x):
+    name, domain = x.split("@")
+    return "u" + hashlib.sha256(f"secret|mail|{name.lower()}|{domain.lower()}".encode()).hexdigest()[:32] + "@" + domain
+
+
+def test_pseudonyms_match_another_implementation(spark):
+    """Every kind against plain Python with its own hash, numbers, dates and check digits."""
+    phone = lambda keep: lambda x: plain_fill(x, (d := re.sub(r"\D", "", x))[:keep] + plain_digits(d[keep:], "phone"))
+    cases = {
+        "1990-02-28": plain_date, "31/12/1999": plain_date, "12/25/1990": plain_date, "02/13/1804": plain_date, "31.12.1999": plain_date, "29/02/2000": plain_date, "03/04/1990": plain_date, "2199-12-31": plain_date,
+        "4111 1111 1111 1111": plain_card, "4111-1111-1111-1111": plain_card, "378282246310005": plain_card, "3782 822463 10005": plain_card, "6304 0000 0000 0000 000": plain_card,
+        "DE89 3704 0044 0532 0130 00": plain_account, "GB82WEST12345698765432": plain_account, "FR1420041010050500013M02606": plain_account, "ES9121000418450200051332": plain_account, "NO9386011117947": plain_account,
+        "10.0.0.1": plain_address, "255.255.255.255": plain_address, "123-45-6789": plain_social, "899-99-9999": plain_social, "667-01-0001": plain_social, "+1 (017) 555-7713": phone(1), "555-123-4567": phone(0),
+        "+49 30 1234567": phone(2), "+33 1 23 45 67 89": phone(2), "+353 1 234 5678": phone(3), "B44E15E09FD311C3CF3163B66D5A9875B883D8CE": plain_secret, "b44e15e09fd311c3cf3163b66d5a9875b883d8ce00": plain_secret, "A.b+c@Mail.example.org": plain_mail,
+    }
+    df = spark.createDataFrame([(k, f"see {x}, then") for k, x in enumerate(cases)], "k int, text string")
+    got = {r["k"]: r["text"] for r in pii.pseudonymise(df, "secret").collect()}
+    for k, (x, of) in enumerate(cases.items()):
+        assert got[k] == f"see {of(x)}, then", x
+        assert of(x) != x
+    back = {r["k"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(got.items()), "k int, text string"), "secret", back=True).collect()}
+    assert all(back[k] == f"see {x}, then" for k, x in enumerate(cases) if "@" not in x)
+
+
+def test_dates_are_permuted_within_their_form(spark):
+    """Month-first dates stay so, and no two dates meet."""
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(k) for k in range(0, 1200, 3)]
+    rows = [(k, f.format(d=d)) for k, (d, f) in enumerate((d, f) for d in days for f in ("{d:%Y-%m-%d}", "{d:%d/%m/%Y}", "{d:%m/%d/%Y}") if f != "{d:%m/%d/%Y}" or d.day > 12)]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "k int, text string"), "secret").orderBy("k").collect()]
+    assert len(set(got)) == len(got) and all((int(a[3:5]) > 12) == (int(b[3:5]) > 12) for (_, a), b in zip(rows, got) if "/" in a)
+
+
 def test_feistel_is_a_permutation(spark):
     for a, b in ((7, 11), (1, 50), (100, 100)):
         df = spark.range(a * b).select("id", pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "k", "t").alias("p"))
