@@ -46,6 +46,7 @@ UNITS = (
     "percent degrees mph kmh watts volts"
 ).split()
 PLACEHOLDERS = (NUMBER, UNIT, NAME)
+ANY = "[" + "".join(PLACEHOLDERS) + "]"
 PUNCTUATION = ".,;:!?\"'()[]{}…“”‘’«»*_`~|#$%&<>"
 
 
@@ -60,25 +61,31 @@ def bare(text: Column) -> Column:
     return words(F.translate(F.lower(text), PUNCTUATION, ""))
 
 
-def template(text: Column) -> Column:
-    """Struct `(tokens, raw)`: template tokens, and the words they stand for, place by place.
+def templates(texts: DataFrame) -> DataFrame:
+    """`texts` with `tokens`, the template, and `raw`, the words they stand for place by place, instead of `text`.
 
     Placeholders go into the whole text before it is split, so that a word costs no
-    expression of its own.
+    expression of its own; in a text without any the words are the tokens.  Each
+    step is a projection of its own, so nothing is computed twice and all is compiled.
     """
-    text = F.translate(text_or_empty(text), NUMBER + UNIT + NAME, "")
-    numbered = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, NUMBERS, NUMBER), f"(?i){UNITS_AFTER}", f"{NUMBER}$1{UNIT}")).otherwise(text)
-    return F.struct(bare(F.regexp_replace(numbered, NAMES, NAME)).alias("tokens"), bare(text).alias("raw"))
+    kept = [c for c in texts.columns if c != "text"]
+    text = text_or_empty(F.col("text"))
+    plain = texts.select(*kept, F.when(text.rlike(ANY), F.translate(text, "".join(PLACEHOLDERS), "")).otherwise(text).alias("plain"))
+    numbers = F.regexp_replace(F.regexp_replace("plain", NUMBERS, NUMBER), f"(?i){UNITS_AFTER}", f"{NUMBER}$1{UNIT}")
+    numbered = plain.select(*kept, "plain", F.when(F.col("plain").rlike("[0-9]"), numbers).otherwise(F.col("plain")).alias("numbered"))
+    marked = numbered.select(*kept, "plain", F.regexp_replace("numbered", NAMES, NAME).alias("marked"))
+    split = marked.select(*kept, "plain", "marked", bare(F.col("marked")).alias("tokens"))
+    return split.select(*kept, "tokens", F.when(F.col("marked").rlike(ANY), bare(F.col("plain"))).otherwise(F.col("tokens")).alias("raw"))
 
 
 def windows(found: DataFrame, sizes: list[int], bare: bool = False) -> DataFrame:
-    """Windows `(size, place, hash, slots)` of the templates `t`, instead of `t`; slots: the words behind placeholders, null for other words.
+    """Windows `(size, place, hash, slots)` of `tokens` and `raw`, instead of these; slots: the words behind placeholders, null for other words.
 
     `bare`: also whether a window holds placeholders alone.  Tokens are hashed in a projection of their own, and what follows has no lambdas:
     so it is compiled, and slots are made for windows that find a partner only.
     """
-    kept = [c for c in found.columns if c != "t"]
-    split = found.select(*kept, F.col("t.tokens").alias("tokens"), F.col("t.raw").alias("raw"), F.transform("t.tokens", lambda x: F.xxhash64(x)).alias("h"))
+    kept = [c for c in found.columns if c not in ("tokens", "raw")]
+    split = found.select(*kept, "tokens", "raw", F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
     each = split.select(*kept, "tokens", "raw", "h", F.posexplode("h").alias("place", "_"))
     if len(sizes) > 1:
         each = each.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
@@ -105,8 +112,8 @@ def coverage(places: Column, size: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows `(id_col, row, item_col, covered_tokens, item_tokens, n_slots, altered)`, one a document and item."""
-    items = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("t")).dropDuplicates()
-    items = items.withColumn("item_tokens", F.size("t.tokens")).where("item_tokens > 0")
+    items = templates(benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))).dropDuplicates()
+    items = items.withColumn("item_tokens", F.size("tokens")).where("item_tokens > 0")
     lengths = items.agg(F.max("item_tokens"), F.collect_set(F.when(F.col("item_tokens") < window, F.col("item_tokens")))).first()
     longest, sizes = lengths[0] or 0, [window, *sorted(lengths[1])]
     items = windows(items, sizes, bare=True).where(F.col("size") == F.least(F.lit(window), "item_tokens"))
@@ -120,8 +127,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float =
     long = F.aggregate(F.coalesce("item_slots", F.array()), F.lit(0), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
     if (items.agg(F.sum(80 + long)).first()[0] or 0) <= broadcast_bytes:
         items = F.broadcast(items)
-    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), template(F.col(text_col)).alias("t"))
-    hits = durable(windows(texts, sizes).join(items, ["size", "hash"]).withColumn("diagonal", F.col("place") - F.col("item_place")))
+    texts = templates(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")))
+    found = windows(texts, sizes)
+    # one whole number as the key, which is quick to look up; sizes are part of the hash
+    hits = found.join(items.withColumnRenamed("size", "item_size"), "hash").where("size = item_size").drop("item_size")
+    hits = durable(hits.withColumn("diagonal", F.col("place") - F.col("item_place")))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull())
     key = ["id", "row", "item", "item_tokens", "worded", "size"]
     line = hits.groupBy(*key, "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
