@@ -1,6 +1,6 @@
-"""Conflict-constrained best-fit packing of documents into bins of `capacity` words.
+"""Conflict-constrained best-fit packing of documents into bins of `capacity` words, or tokens.
 
-Documents longer than a bin are cut into pieces of exactly `capacity` words, each
+Documents longer than a bin are cut into pieces of exactly `capacity`, each
 a bin of its own, and a rest.  Pieces go, longest first, into the fullest bin that
 still has room and holds no document of the same source and none of the same
 cluster of duplicates.  Bins are ordered by what room they have left, and each
@@ -17,7 +17,9 @@ about `shard_rows` pieces however large the corpus or a single source is, and is
 packed by one task.  Only ids, places and lengths are shuffled, never text.  Bins
 of different shards never mix, which costs at most one poorly filled end a shard.
 
-Documents without a word are left out of bins.  Null sources are one source, and
+Documents without a word (or token) are left out of bins.  Among pieces of one length
+the lesser id goes first, then the lesser key of the row and the piece; among
+compatible bins of one room the older one is taken.  Null sources are one source, and
 a null cluster conflicts with nothing.  Clusters are exact copies, whatever the case
 and spacing, unless `clusters` names others, such as `near_copies`.  Rows equal in id and text are separate
 pieces, kept apart by their cluster.  An empty table gives no rows.
@@ -122,11 +124,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Clusters `(row, cluster)` of near copies, which hold those of exact copies: SimHash components over lower-cased texts."""
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("id"), F.lower(F.col(text_col)).alias("text"))
     marked, named = simhash.groups(rows, "id", "text", 4, 4, 4096)
-    return marked.join(named, "fp").groupBy(F.col("id").alias("row")).agg(F.min("keeper").alias("cluster"))
+    return marked.join(named, "fp").groupBy(F.col("id").alias("row")).agg(F.min("component_id").alias("cluster"))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, clusters: DataFrame | None = None) -> DataFrame:
-    """Rows `(bin, place, id_col, piece, start, n_words)`: words start .. start + n_words of a document.
+def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, clusters: DataFrame | None = None, size: Column | None = None, unit: str = "words") -> DataFrame:
+    """Rows `(bin, place, id_col, piece, start, n_<unit>)`: words (or what `size` counts) start .. start + n of a document.
 
     `bin` is shard * 2**32 + number; `place` counts the pieces of a bin.  `clusters(row, cluster)`,
     one row each, goes before `cluster`.
@@ -134,7 +136,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col:
     ship(docs.sparkSession)
     cluster = cluster_of(F.col(text_col)) if cluster is None else cluster
     sized = docs.select(
-        F.col(id_col).alias("id"), F.size(words(F.col(text_col))).alias("n"), F.coalesce(F.xxhash64(F.col(source_col)), F.lit(0)).alias("source"), cluster.alias("cluster"),
+        F.col(id_col).alias("id"), (F.size(words(F.col(text_col))) if size is None else size).cast("int").alias("n"), F.coalesce(F.xxhash64(F.col(source_col)), F.lit(0)).alias("source"), cluster.alias("cluster"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
     ).where("n > 0")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
@@ -159,4 +161,4 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col:
     named = F.col("id").cast("string").alias("id")  # pandas has no whole numbers with nulls
     dealt = columns.repartition(max(1, min(shards, 1 << 16)), "shard").sortWithinPartitions("shard", F.desc("length"), "id", "row", "piece")
     packed = dealt.select("shard", named, "piece", "length", "source", "cluster").mapInPandas(run, "bin long, place long, id string, piece int, start long, n_words int")
-    return packed.select("bin", "place", F.col("id").cast(kind).alias(id_col), "piece", "start", "n_words")
+    return packed.select("bin", "place", F.col("id").cast(kind).alias(id_col), "piece", "start", F.col("n_words").alias(f"n_{unit}"))

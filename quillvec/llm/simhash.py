@@ -18,14 +18,25 @@ Skew.  Copies collapse to one fingerprint before the search.  A shard with over
 the queries of every other part of that shard only.  A task reports a spanning
 forest of the links it finds, never all pairs.
 
-Nulls and empty texts have fingerprint zero and are linked like any other.
-Repeated rows are returned as often as they come.  An empty table gives no
-rows.  A null doc_id never becomes a component's id unless all its ids are null.
+Similar texts (`keep_one_similar`).  Texts whose sets of shingles have a similarity
+of `least` differ in some 15 % of the bits of a fingerprint, which no choice of few
+blocks survives, and 64 bits are too few to tell them from others.  So fingerprints
+have 128 bits there, a shard holds those that agree in one of many short runs of
+bits, as many runs as a pair at the expected distance needs to meet with a
+probability of `MEET`, and links within the radius are candidates only: the links of
+each shard's closest spanning forest are checked against the whole texts.
+
+Nulls and empty texts have fingerprint zero and are linked like any other; texts of
+any length are read whole.  Repeated rows are returned as often as they come.  An
+empty table gives no rows.  A null doc_id never becomes a component's id unless all
+its ids are null.  Of a component the least id stays, null ids last, and of rows with
+equal ids the one with the least key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import components, durable, python_udf, sorted_groups, whole_row
+from quillvec.llm.common import components, discard, durable, python_udf, row_key, sorted_groups, whole_row
 from quillvec.ship import ship
 
 SEED = 42
@@ -71,11 +82,12 @@ def fingerprint_column(text: Column, shingle: int = 4) -> Column:
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit values, searched in batches."""
+    """A BK-tree over distinct values, searched in batches."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        plain = values.tolist()
+        """`values`: 64-bit words, one or several a value (then with two dimensions)."""
+        self.values = values.reshape(len(values), -1)
+        plain = [sum(w << 64 * k for k, w in enumerate(v)) for v in self.values.tolist()]
         children: list[dict[int, int]] = [{} for _ in plain]
         for k in range(1, len(plain)):
             at, x = 0, plain[k]
@@ -91,30 +103,32 @@ class BKTree:
         self.edge = np.fromiter((d for c in children for d in c), np.int64, int(sizes.sum()))
         self.child = np.fromiter((k for c in children for k in c.values()), np.int64, int(sizes.sum()))
 
-    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices (query, node) of all pairs within `radius`."""
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices (query, node) of all pairs within `radius`, and their distances."""
+        queries = queries.reshape(len(queries), -1)
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         hits = []
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            d = np.bitwise_count(queries[q] ^ self.values[node]).sum(axis=1, dtype=np.int64)
             close = d <= radius
-            hits.append((q[close], node[close]))
+            hits.append((q[close], node[close], d[close]))
             fan = self.first[node + 1] - self.first[node]
             up = np.repeat(np.arange(len(q)), fan)
             slot = np.arange(len(up)) - np.repeat(np.cumsum(fan) - fan, fan) + self.first[node[up]]
             keep = np.abs(self.edge[slot] - d[up]) <= radius
             q, node = q[up[keep]], self.child[slot[keep]]
-        return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+        return tuple(np.concatenate([h[k] for h in hits]) for k in range(3))
 
 
 def forest(trees: np.ndarray, queries: np.ndarray | None, radius: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among `trees`, or between it and `queries`."""
+    """Links of a spanning forest among `trees`, or between it and `queries`, close ones before others.
+
+    Pairs of indices; those of `queries` count on from those of `trees`.
+    """
     tree = BKTree(trees)
-    alone = queries is None
-    asked = trees if alone else queries
-    shift = 0 if alone else len(trees)
-    values = trees if alone else np.concatenate([trees, queries])
-    up = np.arange(len(values))
+    asked, shift = (trees, 0) if queries is None else (queries, len(trees))
+    up = np.arange(len(trees) + (0 if queries is None else len(queries)))
+    out = []
 
     def roots(x: np.ndarray) -> np.ndarray:
         while True:
@@ -124,19 +138,23 @@ def forest(trees: np.ndarray, queries: np.ndarray | None, radius: int, step: int
             x = y
 
     for at in range(0, len(asked), step):
-        q, node = tree.near(asked[at : at + step], radius)
-        q, node = roots(q + at + shift), roots(node)
-        pairs = np.unique(np.stack([q, node], 1)[q != node], axis=0)
-        for a, b in pairs.tolist():
-            while up[a] != a:
-                a = up[a]
-            while up[b] != b:
-                b = up[b]
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    top = roots(np.arange(len(values)))
-    low = np.arange(len(values)) != top
-    return values[low], values[top[low]]
+        q, node, d = tree.near(asked[at : at + step], radius)
+        q = q + at + shift
+        a, b = roots(q), roots(node)
+        order = np.flatnonzero(a != b)
+        order = order[np.argsort(d[order], kind="stable")]
+        _, first = np.unique(np.minimum(a, b)[order] * len(up) + np.maximum(a, b)[order], return_index=True)
+        for k in order[np.sort(first)].tolist():
+            x, y = int(a[k]), int(b[k])
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(q[k]), int(node[k])))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def shard_masks(n: int, radius: int, target: int = 128) -> list[int]:
@@ -154,38 +172,55 @@ def shard_masks(n: int, radius: int, target: int = 128) -> list[int]:
     return [sum(c) for c in combinations(blocks, j)]
 
 
-def links(values: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """Rows `(a, b)` whose components are those of all links among `values(fp)`, distinct longs."""
-    ship(values.sparkSession)
-    masks = shard_masks(values.count(), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "part"))
-    size = keyed.groupBy("mask", "part").count().where("count > 1")
-    parted = keyed.join(size, ["mask", "part"]).select("mask", "part", "fp", F.ceil(F.col("count") / shard_rows).alias("n"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n"))
-    spread = parted.withColumn("own", own).select("mask", "part", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    dealt = spread.select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", (F.col("own") > F.col("other")).alias("asks"))
-    keys = ["mask", "part", "i", "j"]
+def shards(keyed: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows of `keyed(part, ...)` for the tasks that search: `i` and `j` number the parts that a large shard is cut into.
+
+    A task has the rows of part i, and of part j those that ask (none if they are the same).
+    Rows alone in their shard are left out.
+    """
+    rest = [c for c in keyed.columns if c != "part"]
+    size = keyed.groupBy("part").count().where("count > 1")
+    parted = keyed.join(size, "part").withColumn("n", F.ceil(F.col("count") / shard_rows)).drop("count")
+    own = F.pmod(F.xxhash64(*rest), F.col("n"))
+    spread = parted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = spread.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("asks"), *rest)
+    keys = ["part", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def searching(values: list[str], names: str, radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Searches shards, and yields the links of their forests between the entries of column `names`."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(batches, keys):
-            fp = group["fp"].to_numpy(np.int64).view(np.uint64)
-            asks = group["asks"].to_numpy(bool)
+        for group in sorted_groups(batches, ["part", "i", "j"]):
+            fp = np.stack([group[c].to_numpy(np.int64).view(np.uint64) for c in values], 1)
+            name, asks = group[names].to_numpy(np.int64), group["asks"].to_numpy(bool)
             if group["i"].iloc[0] == group["j"].iloc[0]:
                 a, b = forest(fp, None, radius)
             elif asks.any() and not asks.all():
                 a, b = forest(fp[~asks], fp[asks], radius)
+                name = np.concatenate([name[~asks], name[asks]])
             else:
                 continue
             if len(a):
-                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+                yield pd.DataFrame({"a": name[a], "b": name[b]})
+
+    return search
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
+
+def links(values: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+    """Rows `(a, b)` whose components are those of all links among `values(fp)`, distinct longs."""
+    ship(values.sparkSession)
+    masks = shard_masks(values.count(), radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    each = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "bits"))
+    keyed = each.select(F.xxhash64("mask", "bits").alias("part"), "fp")  # shards whose hashes meet are searched as one
+    return shards(keyed, shard_rows).mapInPandas(searching(["fp"], "fp", radius), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
     """Documents as `(id, row, fp)`, and fingerprints as `(fp, component_id, keeper)`; keeper is the row with the least id."""
-    marked = durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
+    marked = durable(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
     first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
     values = durable(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(first).alias("first")))
     found = components(links(values.select("fp"), radius, shard_rows))
@@ -200,9 +235,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named.drop("keeper"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def only(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` whose key is in `keepers(row)`, of equal rows one."""
+    keyed = docs.select(whole_row(docs), row_key(id_col, text_col).alias("row"))
+    return keyed.join(keepers, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
     """`docs` with one document of each component: the one with the least id, null ids last, and of equal rows one."""
     _, named = groups(docs, id_col, text_col, shingle, radius, shard_rows)
-    keyed = docs.select(whole_row(docs), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
-    stay = named.select(F.col("keeper").alias("row")).distinct()
-    return keyed.join(stay, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+    return only(docs, named.select(F.col("keeper").alias("row")).distinct(), id_col, text_col)
+
+
+# --- similar texts ------------------------------------------------------------------------
+
+#: Probability that a pair at the expected distance meets in a shard; rows that a shard is to have.
+MEET, SHARD = 0.95, 256
+WIDE = 128
+
+
+def shingles(text: str | None, size: int) -> list[bytes]:
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < size:
+        return [b" ".join(found)] if found else []
+    return list(map(b" ".join, zip(*(found[k:] for k in range(size)))))
+
+
+def wide_fingerprint(text: str | None, size: int) -> tuple[int, int]:
+    """A SimHash of 128 bits over the set of shingles, as two signed words."""
+    grams = set(shingles(text, size))
+    if not grams:
+        return 0, 0
+    ones, grams = np.zeros(WIDE, np.int64), list(grams)
+    for at in range(0, len(grams), BLOCK):
+        h = np.frombuffer(b"".join(map(xxhash.xxh128_digest, grams[at : at + BLOCK])), np.uint8).reshape(-1, WIDE // 8)
+        ones += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(grams)).view(np.int64).tolist())
+
+
+def distance_of(least: float) -> float:
+    """The bits in which fingerprints of texts with similarity `least` are expected to differ."""
+    return WIDE * math.acos(2 * least / (1 + least)) / math.pi
+
+
+def runs(n: int, least: float) -> list[tuple[int, int]]:
+    """Masks, as two signed words each, of runs of bits in several orders of them.
+
+    A run is as long as makes shards of about `SHARD` of n values, and there are so
+    many that pairs at the expected distance agree on one with probability `MEET`.
+    """
+    length = max(1, min(24, round(math.log2(max(2, n / SHARD)))))
+    apart = round(distance_of(least))
+    agree = math.prod((WIDE - apart - k) / (WIDE - k) for k in range(length))
+    wanted = math.ceil(math.log(1 - MEET) / math.log(1 - agree))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    out = []
+    for step in range(1, WIDE, 2):  # odd steps go through all bits
+        for first in range(0, WIDE - length + 1, length):
+            mask = sum(1 << (at * step % WIDE) for at in range(first, first + length))
+            out.append((signed(mask >> 64), signed(mask & (1 << 64) - 1)))
+            if len(out) == wanted:
+                return out
+    return out
+
+
+def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints `(node, a, b, first)`, `first` their row with the least id, and checked links `(a, b)` of nodes."""
+
+    @python_udf("struct<a: long, b: long>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["a", "b"])
+
+    @python_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        hashed = ({xxhash.xxh64_intdigest(g) for g in shingles(t, shingle)} for t in texts)
+        return pd.Series([np.fromiter(h, np.uint64, len(h)).view(np.int64) for h in hashed], dtype=object)
+
+    marked = durable(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), prints(F.col(text_col)).alias("p")).select("id", "row", "p.*"))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
+    nodes = durable(marked.groupBy("a", "b").agg(F.min(first).alias("first")).select(F.monotonically_increasing_id().alias("node"), "a", "b", "first"))
+    discard(marked)
+    radius = int(distance_of(least) + 1.5 * math.sqrt(distance_of(least) * (1 - distance_of(least) / WIDE)))
+    masks = F.array(*[F.struct(F.col("a").bitwiseAND(F.lit(x)).alias("a"), F.col("b").bitwiseAND(F.lit(y)).alias("b")) for x, y in runs(nodes.count(), least)])
+    keyed = nodes.select("node", "a", "b", F.posexplode(masks).alias("mask", "bits")).select(F.xxhash64("mask", "bits").alias("part"), "node", "a", "b")
+    found = shards(keyed, shard_rows).mapInPandas(searching(["a", "b"], "node", radius), "a long, b long")
+    found = durable(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "node")
+    rows = nodes.join(ends, "node").select("node", F.col("first.row").alias("row"))
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(rows, "row")
+    known = durable(texts.dropDuplicates(["node"]).select("node", sets(F.col("text")).alias("grams")))
+    pairs = found.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return nodes, pairs.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, shard_rows: int = 4096) -> DataFrame:
+    """`docs` with one document of each group of texts whose sets of shingles have a similarity of `least` or more."""
+    ship(docs.sparkSession)
+    nodes, checked = similar(docs, id_col, text_col, shingle, least, shard_rows)
+    found = components(checked)
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keepers = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return only(docs, keepers, id_col, text_col)

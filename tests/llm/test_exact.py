@@ -115,10 +115,62 @@ def test_bk_tree(values, radius):
     import numpy as np
 
     tree = simhash.BKTree(np.array(values, np.uint64))
-    q, n = tree.near(np.array(values, np.uint64), radius)
+    q, n, d = tree.near(np.array(values, np.uint64), radius)
+    assert d.tolist() == [(values[a] ^ values[b]).bit_count() for a, b in zip(q.tolist(), n.tolist())]
     assert sorted(zip(q.tolist(), n.tolist())) == sorted((a, b) for a, x in enumerate(values) for b, y in enumerate(values) if (x ^ y).bit_count() <= radius)
 
 
+def jaccard(a, b, size=5):
+    grams = lambda t: {tuple(w[k : k + size]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t.lower())] for k in range(max(1, len(w) - size + 1)) if w}
+    x, y = grams(a), grams(b)
+    return len(x & y) / max(1, len(x | y))
+
+
+def edited_corpus(seed, n=120):
+    """Texts and copies of them with more and more words replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for _ in range(n):
+        first = [word() for _ in range(rng.choice([8, 40, 150, 400]))]
+        rows.append(first)
+        for share in rng.sample([0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.06], 3):
+            rows.append([word() if rng.random() < share else w for w in first])
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("shard_rows", [16, 4096])
+def test_similar_texts_against_all_pairs(docs_of, shard_rows):
+    """What stays: no two texts of 0.8 or more but for a few, and one of each group that all pairs give."""
+    rows = edited_corpus(shard_rows)
+    close = [(a, b) for a, x in rows for b, y in rows[:a] if abs(len(x) - len(y)) < 0.3 * len(x) + 9 and jaccard(x, y) >= 0.8]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in close:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    want = {i for i in range(len(rows)) if up[i] == i}
+    got = {r["doc_id"] for r in simhash.keep_one_similar(docs_of(rows), shard_rows=shard_rows).collect()}
+    assert want <= got and len(got - want) <= 0.05 * (len(rows) - len(want)) and len(rows) - len(want) > 100
+
+
+def test_runs_of_bits_cover_a_large_corpus():
+    for n in (1, 1000, 10**6, 10**9):
+        masks = simhash.runs(n, 0.8)
+        assert len(set(masks)) == len(masks) and len(masks) < 400
+        rng, met = random.Random(n), 0
+        for _ in range(300):
+            flipped = sum(1 << b for b in rng.sample(range(128), round(simhash.distance_of(0.8))))
+            met += any(not (x % (1 << 64) << 64 | y % (1 << 64)) & flipped for x, y in masks)
+        assert met >= 0.9 * 300
+
+
 def test_components_of_a_long_chain(spark):
     from quillvec.llm.common import components
 
@@ -482,7 +534,7 @@ def test_leaks_match_brute_force(spark, docs_of):
     rows += [(100, "0 1 2 3 4 5 6 7"), (101, "1 2 3 4 5 7 6"), (102, "9 " * 30)]
     benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(rows)
     for window in (3, 5):
-        shown = lambda df, c: {r[c]: (list(r["t"]["tokens"]), list(r["t"]["raw"])) for r in df.select(c, decontamination.template(F.col("text")).alias("t")).collect()}  # noqa: E731, B023
+        shown = lambda df, c: {r[c]: (list(r["tokens"]), list(r["raw"])) for r in decontamination.templates(df.select(c, "text")).collect()}  # noqa: E731, B023
         want = plain_leaks(shown(docs, "doc_id"), {k: x for k, x in shown(benchmark, "item_id").items() if x[0]}, window, 0.5)
         got = {(r["doc_id"], r["item_id"], r["covered_tokens"]) for r in decontamination.leaks(docs, benchmark, window=window).collect()}
         assert got == want and len(want) > 50
