@@ -64,10 +64,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col:
     return text.join(F.broadcast(chosen), id_col).groupBy(*labels.columns).agg(F.min("text").alias("text"))
 
 
-def features_column(text: Column, features: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> Column:
+def features_column(text: Column, rows_of: Callable[[list[str]], Rows]) -> Column:
     @python_udf("struct<index: array<int>, value: array<float>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        found = [features(t or "") for t in texts]
-        return pd.DataFrame({"index": [a.astype(np.int32) for a, _ in found], "value": [b.astype(np.float32) for _, b in found]})
+        found = rows_of([t or "" for t in texts])
+        cut = found.start[1:] if len(found.start) else []
+        return pd.DataFrame({"index": np.split(found.index, cut), "value": np.split(found.value, cut)})
 
     return of(text)

@@ -7,14 +7,17 @@ sum of its tail probabilities; the probability of reaching `least_grade` selects
 The fit uses at most `sample_rows` graded rows outside the held-out fold, chosen
 by a hash of their ids; scoring covers every whole text.
 
-Null and empty texts are graded from the shape of an empty text.  Repeated rows
-are graded alike; an empty table gives no rows; without any grades every text
-gets even odds.  Other columns are never read.
+Null and empty texts are graded from the shape of an empty text; texts of any length
+are read whole.  Repeated rows are graded alike; of several grades of an id the
+greatest counts and of several texts the least.  A tail probability of exactly one half
+selects.  An empty table gives no rows; without any grades every text gets even odds.
+Other columns are never read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from quillvec.llm.common import python_udf
 from quillvec.llm.linear import Rows, adam, bucket, features_column, held_out, sigmoid, training_rows
 
-BUCKETS = 1 << 15
+SHIFT = 15
+BUCKETS = 1 << SHIFT
 #: After the buckets: constant, share of distinct words, share equal to the word before, log length.
 EXTRA = 4
 REMEMBERED = 200_000
@@ -34,34 +38,93 @@ SHAPES = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+(?<!A)"), "a"
 
 def shape(word: str) -> str:
     """`word` with letters, digits and repeats cut short: "Ruin!!" is "a!" and "RUIN!!" is "A!"."""
+    core, tail = (word, "") if word[-1].isalnum() else (word[:-1], word[-1])
+    if core.isalpha():  # most words by far
+        if not core[-1].isupper():
+            return "a" + tail
+        if core.isascii() and core.isupper():
+            return "A" + tail
     for pattern, by in SHAPES:
         word = pattern.sub(by, word)
     return word[:12]
 
 
 class Buckets(dict):
-    """The two buckets of a word, remembered for the words met last."""
+    """The two buckets of a word, as one number, remembered for the words met last."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = (bucket(word, BUCKETS), bucket(shape(word), BUCKETS, 1))
+        found = self[word] = bucket(word, BUCKETS) | bucket(shape(word), BUCKETS, 1) << SHIFT
         return found
 
 
 _BUCKETS = Buckets()
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and shapes by their share of the text, then `EXTRA`."""
-    words = text.split()
-    n = max(1, len(words))
-    pairs = np.array([_BUCKETS[w] for w in words], np.int64).reshape(-1, 2)
-    index, count = np.unique(pairs[:, 0], return_counts=True)
-    shapes, often = np.unique(pairs[:, 1], return_counts=True)
-    repeats = np.count_nonzero(pairs[1:, 0] == pairs[:-1, 0])
-    extra = [1.0, 2 * len(set(words)) / n, 4 * repeats / n, np.log1p(len(words)) / 8]
-    return np.concatenate([index, shapes, BUCKETS + np.arange(EXTRA)]), np.concatenate([count / n, 4 * often / n, extra])
+@dataclass
+class Seen:
+    """Texts laid end to end: buckets of their words and shapes, where texts begin, and `EXTRA` numbers of each."""
+
+    words: np.ndarray
+    shapes: np.ndarray
+    first: np.ndarray
+    extra: np.ndarray
+
+    def value(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted features of each text; a bucket counts by its share of the words."""
+        sums = np.concatenate([[0.0], np.cumsum(weights[self.words] + 4 * weights[self.shapes])])
+        n = np.diff(self.first)
+        return (sums[self.first[1:]] - sums[self.first[:-1]]) / np.maximum(1, n) + self.extra @ weights[BUCKETS:]
+
+    def rows(self) -> Rows:
+        """The same features as sparse rows."""
+        index, value = [], []
+        for a, b, extra in zip(self.first[:-1].tolist(), self.first[1:].tolist(), self.extra):
+            words, count = np.unique(self.words[a:b], return_counts=True)
+            shapes, often = np.unique(self.shapes[a:b], return_counts=True)
+            index.append(np.concatenate([words, shapes, BUCKETS + np.arange(EXTRA)]))
+            value.append(np.concatenate([count / max(1, b - a), 4 * often / max(1, b - a), extra]))
+        return Rows(index, value)
+
+
+def look(texts: list[str]) -> Seen:
+    words = [t.split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    code = np.fromiter(map(_BUCKETS.__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
+    one, two = code & BUCKETS - 1, code >> SHIFT
+    text = np.repeat(np.arange(len(texts)), n)
+    again = np.bincount(text[1:][(one[1:] == one[:-1]) & (text[1:] == text[:-1])], minlength=len(texts))
+    distinct = np.array([len(set(w)) for w in words], np.int64)
+    size = np.maximum(1, n)
+    return Seen(one, two, first, np.stack([np.ones(len(texts)), 2 * distinct / size, 4 * again / size, np.log1p(n) / 8], 1))
+
+
+def cuts(x: np.ndarray, size: int) -> np.ndarray:
+    """Thresholds of the parameters after the weights: a start, and steps that are positive, so they stay ordered."""
+    return x[size] + np.concatenate([[0.0], np.cumsum(np.exp(x[size + 1 :]))])
+
+
+def loss(x: np.ndarray, rows: Rows, grades: np.ndarray, size: int, pull: float) -> float:
+    """The mean negative log likelihood, and a pull to small weights."""
+    cut = np.concatenate([[-np.inf], cuts(x, size), [np.inf]])
+    f = rows.dot(x[:size])
+    return float(-np.log(sigmoid(cut[grades + 1] - f) - sigmoid(cut[grades] - f)).mean() + pull / 2 * (x[:size] ** 2).sum())
+
+
+def gradient(x: np.ndarray, rows: Rows, grades: np.ndarray, size: int, pull: float) -> np.ndarray:
+    """Of `loss`."""
+    n, n_grades = len(grades), len(x) - size + 1
+    cut = np.concatenate([[-np.inf], cuts(x, size), [np.inf]])
+    f = rows.dot(x[:size])
+    high, low = sigmoid(cut[grades + 1] - f), sigmoid(cut[grades] - f)
+    p = np.maximum(high - low, 1e-9)
+    up, down = high * (1 - high) / p, low * (1 - low) / p
+    by_cut = -(np.bincount(grades + 1, up, n_grades + 1) - np.bincount(grades, down, n_grades + 1))[1:n_grades] / n
+    later = np.cumsum(by_cut[::-1])[::-1]
+    own = np.concatenate([[later[0]], later[1:] * np.exp(x[size + 1 :])])
+    return np.concatenate([rows.back(up - down, size) / n + pull * x[:size], own])
 
 
 @dataclass
@@ -69,31 +132,17 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one fewer than grades
 
-    def tails(self, index: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each threshold k."""
-        return sigmoid(self.weights[index] @ value - self.thresholds)
+    def tails(self, texts: list[str]) -> np.ndarray:
+        """For each text P(grade > k) for each threshold k."""
+        return sigmoid(look(texts).value(self.weights)[:, None] - self.thresholds)
 
     @classmethod
     def fit(cls, rows: Rows, grades: np.ndarray, n_grades: int, steps: int = 200, rate: float = 0.2, pull: float = 1e-5) -> Ordinal:
-        """Maximum likelihood; thresholds are a start and positive steps, so they stay ordered."""
-        size, n = BUCKETS + EXTRA, len(grades)
-
-        def thresholds(x: np.ndarray) -> np.ndarray:
-            return x[size] + np.concatenate([[0.0], np.cumsum(np.exp(x[size + 1 :]))])
-
-        def gradient(x: np.ndarray) -> np.ndarray:
-            cut = np.concatenate([[-np.inf], thresholds(x), [np.inf]])
-            f = rows.dot(x[:size])
-            high, low = sigmoid(cut[grades + 1] - f), sigmoid(cut[grades] - f)
-            p = np.maximum(high - low, 1e-9)
-            up, down = high * (1 - high) / p, low * (1 - low) / p
-            by_cut = -(np.bincount(grades + 1, up, n_grades + 1) - np.bincount(grades, down, n_grades + 1))[1:n_grades] / n
-            later = np.cumsum(by_cut[::-1])[::-1]
-            own = np.concatenate([[later[0]], later[1:] * np.exp(x[size + 1 :])])
-            return np.concatenate([rows.back(up - down, size) / n + pull * x[:size], own])
-
-        x = adam(np.concatenate([np.zeros(size), [-1.0], np.zeros(n_grades - 2)]), gradient, steps, rate)
-        return cls(x[:size], thresholds(x))
+        """Maximum likelihood."""
+        size = BUCKETS + EXTRA
+        start = np.concatenate([np.zeros(size), [-1.0], np.zeros(n_grades - 2)])
+        x = adam(start, lambda x: gradient(x, rows, grades, size, pull), steps, rate)
+        return cls(x[:size], cuts(x, size))
 
 
 def tails_column(text: Column, model: Ordinal) -> Column:
@@ -101,8 +150,7 @@ def tails_column(text: Column, model: Ordinal) -> Column:
 
     @python_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
-        own = Ordinal(weights.astype(np.float64), thresholds)
-        return pd.Series([own.tails(*features(t or "")) for t in texts], dtype=object)
+        return pd.Series(list(Ordinal(weights.astype(np.float64), thresholds).tails([t or "" for t in texts])), dtype=object)
 
     return of(text)
 
@@ -111,7 +159,8 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, sample_rows: int = 60
     """The model from `grades(id_col, grade_col)`, whole numbers from 0 to n_grades - 1."""
     known = grades.where(F.col(grade_col).between(0, n_grades - 1)).groupBy(id_col).agg(F.max(grade_col).cast("int").alias("_grade"))
     sample = training_rows(docs, known, sample_rows, id_col, text_col)
-    taken = sample.select(id_col, "_grade", features_column(F.col("text"), features).alias("f")).select(id_col, "_grade", "f.*").toPandas().sort_values(id_col)
+    shown = features_column(F.col("text"), lambda texts: look(texts).rows())
+    taken = sample.select(id_col, "_grade", shown.alias("f")).select(id_col, "_grade", "f.*").toPandas().sort_values(id_col)
     if not len(taken):
         return Ordinal(np.zeros(BUCKETS + EXTRA), np.zeros(n_grades - 1))
     return Ordinal.fit(Rows(list(taken["index"]), list(taken["value"])), taken["_grade"].to_numpy(np.int64), n_grades)

@@ -768,6 +768,128 @@ def test_label_model_recovers_voters():
     assert post[y].mean() > post[~y].mean() + 0.4
 
 
+def test_label_model_matches_plain_em():
+    """Rows one by one, voters by their definition: prior, tables and posteriors after the same rounds."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, voters = 400, len(toxicity.VOTERS)
+    fired = rng.random((n, voters)) < rng.uniform(0.05, 0.4, voters)
+    fired[:, toxicity.NONE] = ~fired[:, : toxicity.NONE].any(axis=1)
+    gold = rng.choice([-1, -1, 0, 1], n)
+    votes = (fired.astype(np.int64) << np.arange(voters)).sum(axis=1)
+    patterns, count = np.unique(np.stack([votes, gold], 1), axis=0, return_counts=True)
+    model = toxicity.LabelModel.fit(patterns[:, 0], patterns[:, 1], count, rounds=4, tied=9.0)
+    q = np.array([abs(g - 0.02) if g >= 0 else 0.05 if f[toxicity.NONE] else 0.8 for f, g in zip(fired, gold)])
+    for _ in range(8):
+        prior = min(0.5, max(1e-3, q.sum() / n))
+        weight = {0: 1 - q, 1: q}
+        rate = {(c, v): (sum(w for w, f in zip(weight[c], fired[:, v]) if f) + 0.05) / (weight[c].sum() + 0.1) for c in (0, 1) for v in range(voters)}
+        seen = {(c, g): weight[c][gold == g].sum() + 0.05 for c in (0, 1) for g in (-1, 0, 1)}
+        labelled = sum(x for (_, g), x in seen.items() if g >= 0) / sum(seen.values())
+        likely = {(c, g): 1 - labelled if g < 0 else labelled * seen[c, g] / (seen[c, 0] + seen[c, 1]) for c in (0, 1) for g in (-1, 0, 1)}
+        both = [[(prior if c else 1 - prior) * likely[c, g] * np.prod([rate[c, v] if f[v] else 1 - rate[c, v] for v in range(voters)]) for c in (0, 1)] for f, g in zip(fired, gold)]
+        q = np.array([b / (a + b) for a, b in both])
+    assert model.prior == pytest.approx(prior, rel=1e-6)
+    for clique, table in zip(model.cliques, model.tables):
+        assert table[:, 1] == pytest.approx([rate[c, clique[0]] for c in (0, 1)], rel=1e-6)
+    assert model.posterior(votes, gold) == pytest.approx(q, rel=1e-6)
+
+
+def test_looking_at_texts_matches_plain_voters():
+    """Votes, counts and words of a batch against one text at a time."""
+    import numpy as np
+
+    rng = random.Random(8)
+    pool = ["you", "idiot", "IDIOT", "Idiot", "trash", "kill", "stupid", "the", "plane", "trapdoor", "x1y", "Müll", "ein", "du"]
+    texts = ["", "   ", "you are an idiot", *(" ".join(rng.choice(pool) for _ in range(rng.randint(1, 120))) for _ in range(150))]
+    keys = frozenset([zlib.crc32(b"tra") << 4 | 3, zlib.crc32(b"plane") << 4 | toxicity.WHOLE])
+    got = toxicity.look(texts, toxicity.Words(keys))
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        hits, stems = [w for w in words if w in toxicity.OF], [w for w in words if w.startswith("tra") or w == "plane"]
+        want = {list(toxicity.LEXICONS)[toxicity.OF[w]] for w in hits}
+        if any(w in toxicity.AIMED for j, x in enumerate(words) if x in toxicity.OF for w in words[max(0, j - 3) : j]):
+            want.add("aimed")
+        want |= {name for name, on in (("several", len(hits) >= 2), ("dense", hits and 50 * len(hits) >= len(words)), ("shouted", any(w.upper() in t for w in hits)), ("varied", len(set(hits)) >= 2)) if on}
+        want |= {name for name, on in (("stem", stems), ("stems", len(stems) > 1), ("stem_dense", stems and 200 * len(stems) >= len(words))) if on}
+        assert {v for j, v in enumerate(toxicity.VOTERS) if got["votes"][k] >> j & 1} == (want or {"none"})
+        assert (got["stemmed"][k], got["n"][k]) == (len(stems), len(words))
+        assert set(got["words"][k].tolist()) == {toxicity.bucket(w, toxicity.BUCKETS) for w in words} | {toxicity.bucket(w[:5], toxicity.BUCKETS, 1) for w in words}
+    columns = [got[c] for c in ("votes", "stemmed", "n")]
+    weights = np.random.default_rng(2).normal(size=1 + len(toxicity.VOTERS) + toxicity.DENSE + toxicity.BUCKETS)
+    assert toxicity.scores(weights, *columns, got["words"]) == pytest.approx(toxicity.sigmoid(toxicity.rows_of(*columns, got["words"]).dot(weights)), abs=1e-4)
+
+
+def test_ordinal_gradient_is_that_of_the_likelihood():
+    """The loss from its definition, the gradient by small steps."""
+    import numpy as np
+
+    from quillvec.llm.linear import Rows
+
+    rng = np.random.default_rng(3)
+    size, n, pull = 6, 40, 0.01
+    index = [np.sort(rng.choice(size, 3, replace=False)) for _ in range(n)]
+    value = [rng.normal(size=3).astype(np.float32) for _ in range(n)]
+    rows, grades = Rows(index, value), rng.integers(0, 4, n)
+    x = rng.normal(size=size + 3) * 0.3
+    cut = [-np.inf, x[size], x[size] + np.exp(x[size + 1]), x[size] + np.exp(x[size + 1]) + np.exp(x[size + 2]), np.inf]
+    s = lambda z: 1 / (1 + np.exp(-z))
+    plain = np.mean([-np.log(s(cut[g + 1] - sum(x[i] * v for i, v in zip(ii, vv))) - s(cut[g] - sum(x[i] * v for i, v in zip(ii, vv)))) for ii, vv, g in zip(index, value, grades)]) + pull / 2 * (x[:size] ** 2).sum()
+    loss = lambda y: quality_classifier.loss(y, rows, grades, size, pull)
+    assert loss(x) == pytest.approx(plain, abs=1e-5)
+    steps = np.eye(size + 3) * 1e-2
+    assert quality_classifier.gradient(x, rows, grades, size, pull) == pytest.approx([(loss(x + d) - loss(x - d)) / 2e-2 for d in steps], abs=2e-3)
+
+
+@given(st.text(alphabet=st.sampled_from(list("abAB12.,!!é日-")), min_size=1, max_size=8))
+@settings(deadline=None, max_examples=300)
+def test_word_shapes(word):
+    plain = word
+    for pattern, by in quality_classifier.SHAPES:
+        plain = pattern.sub(by, plain)
+    assert quality_classifier.shape(word) == plain[:12]
+
+
+def test_scores_of_texts_match_their_sparse_rows():
+    import numpy as np
+
+    texts = ["", "one", "Ruin!! ruin ruin RUIN!! 12 34", "a b a b c " * 40]
+    seen = quality_classifier.look(texts)
+    weights = np.random.default_rng(1).normal(size=quality_classifier.BUCKETS + quality_classifier.EXTRA)
+    assert seen.value(weights) == pytest.approx(seen.rows().dot(weights), abs=1e-4)
+    words = texts[2].split()
+    assert seen.extra[2].tolist() == pytest.approx([1, 2 * len(set(words)) / 6, 4 / 6, np.log1p(6) / 8])
+
+
+def test_token_count_query(spark, library, edges, tmp_path):
+    """The DataFrame, with bytes and limit, for nulls, long words and special strings."""
+    from quillvec.llm import queries
+
+    rng = random.Random(9)
+    rows = [*EDGES, *((100 + k, t) for k, t in enumerate(HARD)), (300, "".join(rng.choice("abcdefghij") for _ in range(60_000))), (301, "日本" * 20_000)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in queries.QUERIES["op9_token_counts"](spark, f"file://{tmp_path}").select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())
+    want = Counter()
+    for i, t in rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want[i, len((t or "").encode()), n, n > 512] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("states", [300_000, 1500])
+def test_long_words_through_composed_maps(library, monkeypatch, states):
+    """Words of many chunks, also where the table of states is dropped on the way."""
+    monkeypatch.setattr(token_counts, "MAX_STATES", states)
+    own = token_counts.Transducer(token_counts.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(states)
+    some = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 9000), ("ab", 20_000), ("aeiou", 5000), ("=-", 7000), ("日本語", 4000), ("the", 30_000))]
+    some += ["x " + "a" * 10_000 + " y " + "ab" * 4000, "a" * 511, "a" * 512, "a" * 513, "a" * 1024, " " + "b" * 1023]
+    assert own.counts(some).tolist() == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert own.counts(["".join(rng.choices("abcdefgh", k=2_000_000))])[0] > 0
+
+
 def test_grades_on_held_out_rows(large):
     docs, labels = large
     got = quality_classifier.grade(docs, quality_classifier.grades_of(labels), 3).toPandas().merge(labels.toPandas(), on="doc_id")
