@@ -427,3 +427,24 @@ def jsonl_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).select(F.to_json(F.struct("id", "vector", F.parse_json("metadata").alias("metadata"))).alias("value"))
     rows.write.mode("overwrite").text(path)
     return read_puts(spark, path).select("op", "id", F.size("vector").alias("dimensions"), "metadata")
+
+
+JSONL_BATCH = 4000
+
+
+@register(
+    "jsonl_batches",
+    f"""WITH RECURSIVE lines AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, strlen('{{"id":"' || vec_id || '","vector":[' || label || '.0],"metadata":{{"t":"' || repeat('x', (vec_id * 37 % 400)::INTEGER) || '"}}}}') + 1 AS b FROM embeddings),
+taken AS (SELECT n, vec_id, b AS fill, 0::BIGINT AS batch FROM lines WHERE n = 1 UNION ALL
+  SELECT l.n, l.vec_id, CASE WHEN t.fill + l.b > {JSONL_BATCH} THEN l.b ELSE t.fill + l.b END, CASE WHEN t.fill + l.b > {JSONL_BATCH} THEN t.batch + 1 ELSE t.batch END FROM taken t JOIN lines l ON l.n = t.n + 1)
+SELECT batch, vec_id::VARCHAR AS id FROM taken""",
+)
+def jsonl_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of many lengths, and the batches they are taken in."""
+    from quillvec.sources.jsonl import read_puts
+
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    e = read(spark, sf_dir, "embeddings")
+    line = F.format_string('{"id":"%d","vector":[%d.0],"metadata":{"t":"%s"}}', "vec_id", "label", F.repeat(F.lit("x"), (F.col("vec_id") * 37 % 400).cast("int")))
+    e.select("vec_id", line.alias("value")).coalesce(1).sortWithinPartitions("vec_id").select("value").write.text(path)
+    return read_puts(spark, path, JSONL_BATCH).select("batch", "id")

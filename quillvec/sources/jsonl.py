@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec.model import InvalidArgument
@@ -13,10 +13,12 @@ BATCH_BYTES = 1 << 20
 def read_puts(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Puts in file order: `(ord, batch, op, id, vector, metadata)`.
 
-    Blank lines are skipped and metadata defaults to `{}`.  Batches are runs of
-    lines of about `batch_bytes`: a batch is the number of whole `batch_bytes` that
-    lie before a line, so it needs one running sum and no driver loop.  A line over
-    `batch_bytes`, a line that is no record and a file without records are errors.
+    Blank lines are skipped and metadata defaults to `{}`.  A batch takes lines as
+    long as they are `batch_bytes` together; only a split of a file, which Spark reads
+    in one go, ends a batch early.  A split's line sizes meet in one row, bounded by
+    the size of a split; lines then find their batch among the few that begin in
+    their split.  A line over `batch_bytes`, a line that is no record and a file
+    without records are errors.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     lines = lines.where(F.trim("value") != "").withColumn("_bytes", F.octet_length("value") + 1)
@@ -35,10 +37,16 @@ def read_puts(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) ->
         raise InvalidArgument(f"{path} holds no records")
     if summary["most"] > batch_bytes:
         raise InvalidArgument(f"a line of {path} is longer than {batch_bytes} bytes")
-    # bytes before a line: the bytes of earlier blocks (one row a block) and those before it in its own
-    block = Window.partitionBy("_file", "_block").orderBy("_line")
-    earlier = lines.groupBy("_file", "_block").agg(F.sum("_bytes").alias("_size"))
-    earlier = earlier.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = row.withColumn("_own", F.sum("_bytes").over(block) - F.col("_bytes")).join(F.broadcast(earlier.select("_file", "_block", "_before")), ["_file", "_block"])
-    ord_ = F.struct("_file", "_block", "_line")
-    return placed.select(ord_.alias("ord"), F.floor((F.col("_before") + F.col("_own")) / batch_bytes).alias("batch"), "op", "id", "vector", "metadata")
+    sized = lines.groupBy("_file", "_block").agg(F.sort_array(F.collect_list(F.struct(F.col("_line").alias("line"), F.col("_bytes").alias("bytes")))).alias("_sizes"))
+    limit = F.lit(batch_bytes).cast("long")
+
+    def take(a: Column, x: Column) -> Column:
+        full = a["fill"] + x["bytes"] > limit
+        return F.struct(F.when(full, F.array_append(a["starts"], x["line"])).otherwise(a["starts"]).alias("starts"), F.when(full, x["bytes"].cast("long")).otherwise(a["fill"] + x["bytes"]).alias("fill"))
+
+    empty = F.struct(F.array().cast("array<long>").alias("starts"), limit.alias("fill"))
+    begun = sized.select("_file", "_block", F.aggregate("_sizes", empty, take, lambda a: a["starts"]).alias("_starts"))
+    before = F.coalesce(F.sum(F.size("_starts")).over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    placed = row.join(begun.withColumn("_before", before), ["_file", "_block"])
+    own = F.size(F.filter("_starts", lambda s: s <= F.col("_line"))) - 1
+    return placed.select(F.struct("_file", "_block", "_line").alias("ord"), (F.col("_before") + own).cast("long").alias("batch"), "op", "id", "vector", "metadata")
