@@ -65,7 +65,7 @@ def templates(texts: DataFrame) -> DataFrame:
     """`texts` with `tokens`, the template, and `raw`, the words they stand for place by place, instead of `text`.
 
     Placeholders go into the whole text before it is split, so that a word costs no
-    expression of its own; in a text without any the words are the tokens.  Each
+    expression of its own; in a text without any the words are the tokens, and `raw` is null.  Each
     step is a projection of its own, so nothing is computed twice and all is compiled.
     """
     kept = [c for c in texts.columns if c != "text"]
@@ -75,7 +75,7 @@ def templates(texts: DataFrame) -> DataFrame:
     numbered = plain.select(*kept, "plain", F.when(F.col("plain").rlike("[0-9]"), numbers).otherwise(F.col("plain")).alias("numbered"))
     marked = numbered.select(*kept, "plain", F.regexp_replace("numbered", NAMES, NAME).alias("marked"))
     split = marked.select(*kept, "plain", "marked", bare(F.col("marked")).alias("tokens"))
-    return split.select(*kept, "tokens", F.when(F.col("marked").rlike(ANY), bare(F.col("plain"))).otherwise(F.col("tokens")).alias("raw"))
+    return split.select(*kept, "tokens", F.when(F.col("marked").rlike(ANY), bare(F.col("plain"))).alias("raw"))
 
 
 def windows(found: DataFrame, sizes: list[int], bare: bool = False) -> DataFrame:
@@ -83,24 +83,27 @@ def windows(found: DataFrame, sizes: list[int], bare: bool = False) -> DataFrame
 
     `bare`: also whether a window holds placeholders alone.  Tokens are hashed in a projection of their own, and what follows has no lambdas:
     so it is compiled, and slots are made for windows that find a partner only.
+    With every window goes a copy of its document's hashes, so these have 32 bits,
+    and of its words only where there are placeholders.
     """
     kept = [c for c in found.columns if c not in ("tokens", "raw")]
-    split = found.select(*kept, "tokens", "raw", F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
-    each = split.select(*kept, "tokens", "raw", "h", F.posexplode("h").alias("place", "_"))
+    split = found.select(*kept, "raw", F.transform("tokens", lambda x: F.hash(x)).alias("h"))
+    # an inner explode would bring a filter for empty templates, which makes them a second time
+    each = split.select(*kept, "raw", "h", F.posexplode_outer("h").alias("place", "_"))
     if len(sizes) > 1:
         each = each.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
     else:
         each = each.withColumn("size", F.lit(sizes[0]))
     each = each.where(F.col("place") + F.col("size") <= F.size("h"))
     at = lambda c, j: F.get(F.col(c), F.col("place") + j)
-    known = [F.xxhash64(F.lit(p)) for p in PLACEHOLDERS]
+    known = [F.hash(F.lit(p)) for p in PLACEHOLDERS]
     bare_of = lambda size: reduce(and_, [at("h", j).isin(*known) for j in range(size)])
     hashed = lambda size: F.xxhash64(F.lit(size), *[at("h", j) for j in range(size)])
     own = lambda size: F.xxhash64(F.lit(-size), *[at("raw", j) for j in range(size)])
     by_size = lambda of: reduce(lambda rest, size: F.when(F.col("size") == size, of(size)).otherwise(rest), sizes[1:], of(sizes[0]))
     hashes = by_size(lambda size: F.when(bare_of(size), own(size)).otherwise(hashed(size)))
     inside = lambda j: F.col("size") > j if len(sizes) > 1 else F.lit(True)
-    slot = [F.when(inside(j) & at("tokens", j).isin(*PLACEHOLDERS), at("raw", j)) for j in range(max(sizes))]
+    slot = [F.when(inside(j) & at("h", j).isin(*known), at("raw", j)) for j in range(max(sizes))]
     slots = F.when(F.coalesce(*slot).isNotNull(), F.array(*slot))
     return each.select(*kept, "size", "place", hashes.alias("hash"), slots.alias("slots"), *([by_size(bare_of).alias("bare")] if bare else []))
 
