@@ -100,7 +100,8 @@ def repeats(docs: DataFrame, least_words: int = 25, gram_words: int = 8, sentenc
     split_up = arrays_column(F.col(text_col), FIELDS, lambda texts: lines_of(texts, least_words, gram_words, sentences))
     lines = numbered(docs, id_col, text_col, F.hash(F.col(text_col)).alias("tie"), split_up.alias("l")).select("id", "row", "n", "tie", "l.*")
     lines = durable(lines).where(F.size("short") > 0)  # a filter before it would split the texts twice
-    found = lines.select("n", F.explode(F.arrays_zip("k", "hash")).alias("f")).select("n", "f.k", "f.hash")
+    # an inner explode would bring a filter that zips the arrays a second time
+    found = lines.select("n", F.explode_outer(F.arrays_zip("k", "hash")).alias("f")).select("n", "f.k", "f.hash").where("k is not null")
     twice = durable(found.groupBy("hash").count().where("count > 1").select("hash"))
     ranks = ranked(lines, "id", "tie")
     places = found.join(twice, "hash").groupBy("n").agg(F.collect_list("k").alias("places")).join(ranks, "n")

@@ -138,10 +138,11 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col:
     sized = docs.select(
         F.col(id_col).alias("id"), (F.size(words(F.col(text_col))) if size is None else size).cast("int").alias("n"), F.coalesce(F.xxhash64(F.col(source_col)), F.lit(0)).alias("source"), cluster.alias("cluster"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
-    ).where("n > 0")
+    )
+    # texts are read once: a filter or an inner explode of what is counted would count it a second time
+    sized = durable(sized).where("n > 0")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
     pieces = pieces.withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity)).drop("n")
-    pieces = durable(pieces)  # texts are read once
     if clusters is not None:
         named = clusters.select(F.col("row").alias("named_row"), F.col("cluster").alias("named"))
         pieces = pieces.join(named, F.col("row") == F.col("named_row"), "left").withColumn("cluster", F.coalesce("named", "cluster")).drop("named_row", "named")

@@ -59,7 +59,8 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
     units = numbered(docs, id_col, text_col, F.col(rank_col or id_col).alias("rank"), F.hash(F.col(text_col)).alias("tie"), split_up.alias("l")).select("id", "row", "n", "rank", "tie", "l.*")
     units = durable(units).where(F.size("hash") > 0)  # a filter before it would split the texts twice
     digest, own = ["hash", "second"], ["weight", *AROUND]
-    each = units.select("rank", "tie", "n", F.posexplode(F.arrays_zip(*digest, *own)).alias("k", "u"))
+    # an inner explode would bring a filter that zips the arrays a second time
+    each = units.select("rank", "tie", "n", F.posexplode_outer(F.arrays_zip(*digest, *own)).alias("k", "u")).where("k is not null")
     twice = durable(each.groupBy(*[F.col(f"u.{c}").alias(c) for c in digest]).count().where("count > 1").select(*digest))
     shared = durable(each.select("rank", "tie", "n", "k", *[f"u.{c}" for c in (*digest, *own)]).join(twice, digest))
     first = durable(shared.groupBy(*digest).agg(F.min(F.struct("rank", "tie", "n", "k", *AROUND)).alias("first")))
