@@ -64,7 +64,7 @@ BUCKETS = 1 << 14
 DENSE = 2
 #: Lengths of stems, and what stands for a whole word.
 STEMS, WHOLE = range(3, 9), 15
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Other rows that a stem may have, as a share of the toxic ones.
 SPARE = 0.15
 #: Stem keys of toxic rows that are candidates; the more frequent ones go first.
