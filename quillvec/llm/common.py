@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.ship import ship
+from quillvec.llm.ship import ship
 from quillvec.sources.files import shared_dir
 
 #: ASCII white space, which separates words.

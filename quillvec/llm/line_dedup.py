@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillvec.llm.common import durable
 from quillvec.llm.lines import BASE, PIECES, PLACE_BITS, SECOND, Sums, arrays_column, listed, numbered, one_each, ranked, short, spans_of, split, without
-from quillvec.ship import ship
+from quillvec.llm.ship import ship
 
 FIELDS = "short: array<int>, weight: array<int>, size: array<int>, k: array<int>, hash: array<long>"
 

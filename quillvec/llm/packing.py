@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillvec.llm import simhash
 from quillvec.llm.common import SPACE, durable, sorted_groups, text_or_empty, words
-from quillvec.ship import ship
+from quillvec.llm.ship import ship
 
 
 class Packer:

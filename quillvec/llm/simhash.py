@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.common import components, discard, durable, python_udf, row_key, sorted_groups, whole_row
-from quillvec.ship import ship
+from quillvec.llm.ship import ship
 
 SEED = 42
 BLOCK = 1 << 16

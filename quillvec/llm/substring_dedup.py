@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillvec.llm.common import durable
 from quillvec.llm.lines import FAR, NEAR, SENTENCES, arrays_column, listed, numbered, one_each, spans_of, split, stretches, without
-from quillvec.ship import ship
+from quillvec.llm.ship import ship
 
 FIELDS = "hash: array<long>, second: array<long>, weight: array<int>, size: array<int>, b6: array<int>, b12: array<int>, a6: array<int>, a12: array<int>"
 AROUND = ["b6", "b12", "a6", "a12"]
