@@ -22,6 +22,7 @@ import threading
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict
 
 import numpy as np
@@ -41,14 +42,22 @@ Operation = tuple  # ("put", id, vector, metadata JSON) or ("delete", id)
 
 
 class Collection:
-    """An open collection."""
+    """An open collection.
 
-    def __init__(self, spark: SparkSession, path: str):
+    With `background` a thread does what maintenance writes ask for, and what was left
+    pending when the collection was last open; else the write that asks for it does it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, background: bool = False):
         self.spark, self.files = spark, Files(spark, path)
         if not self.files.exists("descriptor.json"):
             raise NotFound(f"no collection at {path}")
         self.descriptor = Descriptor(**self.files.read("descriptor.json"))
         self.lock = _LOCKS[self.files.root]
+        self.worker = ThreadPoolExecutor(1, "maintenance") if background else None
+        self.runs: list[Future] = []
+        if background:
+            self.runs.append(self.worker.submit(self.maintain))
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, descriptor: Descriptor) -> Collection:
@@ -213,7 +222,11 @@ class Collection:
                 self.numbered(staged, last).write.mode("overwrite").parquet(self.files.at(f"delta/{last + 1}"))
                 entry = {"first": last + 1, "last": last + sizes["ops"], **sizes, "stream": None if stream is None else list(stream)}
                 self.files.write(f"commits/{entry['last']:020d}.json", entry)
-                self.maintain()
+                if self.worker is None:
+                    self.maintain()
+                elif label := self.due():
+                    self.enqueue(label)
+                    self.runs.append(self.worker.submit(self.maintain))
                 return CommitAck(entry["last"], sizes["ops"], self.snapshot())
         finally:
             self.files.delete(staging)
@@ -346,6 +359,11 @@ class Collection:
                 self.files.write("maintenance.json", self.maintenance_status() | {"in_progress": None} | done)
 
 
+    def drain(self) -> None:
+        """Wait until the background thread has nothing left to do."""
+        while self.runs:
+            self.runs.pop(0).result()
+
     def vacuum(self, keep_generations: int = 1) -> dict[str, int]:
         """Delete what only generations before the newest `keep_generations` can read; snapshots of those become invalid."""
         with self.lock:
