@@ -7,8 +7,11 @@ document to every operator and get the same answer.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,30 +59,48 @@ BATCH_ROWS = 1000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_BATCH_LOCK, _BATCH_USERS = threading.Lock(), Counter()
+_BATCH_BEFORE: dict[int, str] = {}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get small batches meanwhile; the session's setting comes back with the last of several writers."""
+    session = id(spark._jsparkSession)
+    with _BATCH_LOCK:
+        if not _BATCH_USERS[session]:
+            _BATCH_BEFORE[session] = before = spark.conf.get(BATCH_SETTING)
+            spark.conf.set(BATCH_SETTING, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+        _BATCH_USERS[session] += 1
+    try:
+        yield
+    finally:
+        with _BATCH_LOCK:
+            _BATCH_USERS[session] -= 1
+            if not _BATCH_USERS[session]:
+                spark.conf.set(BATCH_SETTING, _BATCH_BEFORE.pop(session))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    Python workers get small batches meanwhile; the session's setting comes back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table of `durable` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `durable` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import durable
+from quillvec.llm.common import discard, durable
 from quillvec.llm.lines import BASE, PIECES, PLACE_BITS, SECOND, Sums, arrays_column, listed, numbered, one_each, ranked, short, spans_of, split, without
 from quillvec.llm.ship import ship
 
@@ -136,7 +136,9 @@ def repeats(docs: DataFrame, least_words: int = 25, gram_words: int = 8, sentenc
                 yield pd.DataFrame(out, columns=["n", "n_lines", "spans"])
 
     spans = lines.join(marked, "n").select("n", "weight", "size", "matches").mapInPandas(runs, "n long, n_lines int, spans array<struct<start: int, end: int, words: int>>")
-    return one_each(durable(spans), lines).select("id", "row", "n_lines", "spans")
+    spans = durable(spans)
+    discard(twice, ranks, window, first)
+    return one_each(spans, lines).select("id", "row", "n_lines", "spans")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind, durable, python_udf, row_key, text_or_empty, whole_row
+from quillvec.llm.common import bind, discard, durable, python_udf, row_key, text_or_empty, whole_row
 
 SENTENCES, PIECES = ".!?", ".!?sn"
 #: Sentence marks of scripts without spaces.
@@ -231,7 +231,9 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     sizes = dealt.groupBy("part").count()
     before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
-    return durable(dealt.withColumn("own", own).join(F.broadcast(before), "part").select("n", (F.col("before") + F.col("own") - 1).alias("rank")))
+    out = durable(dealt.withColumn("own", own).join(F.broadcast(before), "part").select("n", (F.col("before") + F.col("own") - 1).alias("rank")))
+    discard(dealt)
+    return out
 
 
 def one_each(spans: DataFrame, lines: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import durable
+from quillvec.llm.common import discard, durable
 from quillvec.llm.lines import FAR, NEAR, SENTENCES, arrays_column, listed, numbered, one_each, spans_of, split, stretches, without
 from quillvec.llm.ship import ship
 
@@ -83,7 +83,9 @@ def repeats(docs: DataFrame, least_words: int = 25, sentences: bool = True, id_c
                 yield pd.DataFrame(out, columns=["n", "n_units", "spans"])
 
     spans = rows.select("n", "weight", "size", "marks").mapInPandas(passages, "n long, n_units int, spans array<struct<start: int, end: int, words: int>>")
-    return one_each(durable(spans), units).select("id", "row", "n_units", "spans")
+    spans = durable(spans)
+    discard(twice, shared, first)
+    return one_each(spans, units).select("id", "row", "n_units", "spans")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -319,6 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: i
     known = known.where(~held_out(F.col("id")))
     sample = durable(training_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, sample_rows, "id", "text"))
     stems = induce(sample)
+    discard(sample)
     seen = looked(docs, stems, id_col, text_col)
     judged = seen.select("id", "key", "votes").join(known, "id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
     counted = judged.groupBy("votes", "gold").count().orderBy("votes", "gold").toPandas()
