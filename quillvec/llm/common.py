@@ -7,11 +7,14 @@ document to every operator and get the same answer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import threading
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +33,26 @@ def python_udf(kind: str) -> Callable:
     return F.pandas_udf(kind)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from batch to batch under `name`.
+
+    One thing at a time: workers go from one operator to the next, and their tables
+    would add up.  What is dropped goes back to the system where it has a way to say so.
+    """
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

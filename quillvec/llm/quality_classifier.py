@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import python_udf
+from quillvec.llm.common import held, python_udf
 from quillvec.llm.linear import Rows, adam, bucket, features_column, held_out, sigmoid, training_rows
 
 SHIFT = 15
 BUCKETS = 1 << SHIFT
 #: After the buckets: constant, share of distinct words, share equal to the word before, log length.
 EXTRA = 4
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SHAPES = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+(?<!A)"), "a"), (regex.compile(r"\d+"), "9"), (regex.compile(r"(.)\1+"), r"\1")]
 
 
@@ -59,9 +59,6 @@ class Buckets(dict):
         return found
 
 
-_BUCKETS = Buckets()
-
-
 @dataclass
 class Seen:
     """Texts laid end to end: buckets of their words and shapes, where texts begin, and `EXTRA` numbers of each."""
@@ -92,7 +89,7 @@ def look(texts: list[str]) -> Seen:
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
-    code = np.fromiter(map(_BUCKETS.__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
+    code = np.fromiter(map(held("buckets", Buckets).__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
     one, two = code & BUCKETS - 1, code >> SHIFT
     text = np.repeat(np.arange(len(texts)), n)
     again = np.bincount(text[1:][(one[1:] == one[:-1]) & (text[1:] == text[:-1])], minlength=len(texts))

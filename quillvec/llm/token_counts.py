@@ -43,7 +43,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import python_udf
+from quillvec.llm.common import held, python_udf
 
 LETTER, DIGIT, OTHER, BLANK, WHITE = range(5)
 #: Bytes in a chunk, and in what is laid end to end at a time.
@@ -51,9 +51,9 @@ CHUNK, SLAB = 512, 2 << 20
 #: Bytes before a chunk that a guess at its entry state looks at, and rounds in which every live entry is followed.
 WARM, ROUNDS = 64, 3
 #: Slots of the transition table (8 bytes each), and states (some 400 bytes each) before they are dropped.
-SLOT_BITS, MAX_STATES = 22, 150_000
+SLOT_BITS, MAX_STATES = 21, 160_000
 #: Pairs of tokens that are remembered when the states are dropped.
-MAX_PAIRS = 150_000
+MAX_PAIRS = 160_000
 #: An odd number near 2**64 over the golden ratio, which spreads keys over slots.
 SPREAD = 0x9E3779B97F4A7C15
 
@@ -380,15 +380,9 @@ class Transducer:
         return out[node], counts[node]
 
 
-_COMPILED: dict[str, Transducer] = {}
-
-
 def compiled(vocabulary: Vocabulary) -> Transducer:
     """One transducer in each Python worker, kept from task to task."""
-    if vocabulary.name not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[vocabulary.name] = Transducer(vocabulary)
-    return _COMPILED[vocabulary.name]
+    return held(f"transducer {vocabulary.name}", lambda: Transducer(vocabulary))
 
 
 _READ: dict[tuple[str, int], Vocabulary] = {}

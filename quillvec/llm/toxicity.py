@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import discard, durable, python_udf
+from quillvec.llm.common import discard, durable, held, python_udf
 from quillvec.llm.linear import Rows, adam, bucket, held_out, sigmoid, training_rows
 
 LEXICONS: dict[str, frozenset[str]] = {
@@ -101,15 +101,9 @@ class Words(dict):
         return found
 
 
-_KNOWN: dict[frozenset[int], Words] = {}
-
-
 def known_words(keys: frozenset[int]) -> Words:
     """One for each Python worker, kept from batch to batch."""
-    if keys not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[keys] = Words(keys)
-    return _KNOWN[keys]
+    return held(f"words {hash(keys)}", lambda: Words(keys))
 
 
 def candidates(keys: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
