@@ -12,7 +12,7 @@ import gc
 import threading
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
@@ -53,6 +53,17 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     return _HELD[name]
 
 
+#: Texts whose words are held as Python objects at a time.
+PART_TEXTS = 200
+
+
+def parts(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """`texts` in lists of at most `PART_TEXTS`, null as empty, whatever the size of Arrow batches."""
+    whole = list(texts)
+    for at in range(0, max(1, len(whole)), PART_TEXTS):
+        yield [t or "" for t in whole[at : at + PART_TEXTS]]
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import python_udf
+from quillvec.llm.common import parts, python_udf
 
 
 class Rows:
@@ -67,8 +67,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col:
 def features_column(text: Column, rows_of: Callable[[list[str]], Rows]) -> Column:
     @python_udf("struct<index: array<int>, value: array<float>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        found = rows_of([t or "" for t in texts])
-        cut = found.start[1:] if len(found.start) else []
-        return pd.DataFrame({"index": np.split(found.index, cut), "value": np.split(found.value, cut)})
+        index, value = [], []
+        for part in parts(texts):
+            found = rows_of(part)
+            index += np.split(found.index, found.start[1:])
+            value += np.split(found.value, found.start[1:])
+        return pd.DataFrame({"index": index, "value": value})
 
     return of(text)

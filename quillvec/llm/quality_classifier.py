@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import held, python_udf
+from quillvec.llm.common import held, parts, python_udf
 from quillvec.llm.linear import Rows, adam, bucket, features_column, held_out, sigmoid, training_rows
 
 SHIFT = 15
@@ -147,7 +147,8 @@ def tails_column(text: Column, model: Ordinal) -> Column:
 
     @python_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(Ordinal(weights.astype(np.float64), thresholds).tails([t or "" for t in texts])), dtype=object)
+        model = Ordinal(weights.astype(np.float64), thresholds)
+        return pd.Series([row for part in parts(texts) for row in model.tails(part)], dtype=object)
 
     return of(text)
 

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import discard, durable, held, python_udf
+from quillvec.llm.common import discard, durable, held, parts, python_udf
 from quillvec.llm.linear import Rows, adam, bucket, held_out, sigmoid, training_rows
 
 LEXICONS: dict[str, frozenset[str]] = {
@@ -302,7 +302,7 @@ def looked(docs: DataFrame, stems: frozenset[int], id_col: str, text_col: str) -
 
     @python_udf(f"struct<{LOOKED}>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(look([t or "" for t in texts], known_words(stems)))
+        return pd.concat([pd.DataFrame(look(part, known_words(stems))) for part in parts(texts)], ignore_index=True)
 
     return durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), of(F.col(text_col)).alias("l")).select("id", "key", "l.*"))
 
@@ -357,6 +357,6 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @python_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(weights, **look([t or "" for t in texts], known_words(stems))))
+        return pd.Series(np.concatenate([scores(weights, **look(part, known_words(stems))) for part in parts(texts)]))
 
     return docs.where(of(F.col(text_col)) < 0.5)
