@@ -17,6 +17,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def held(name: str, make: Callable[[], Any]) -> Any:
         if _HELD:
             _HELD.clear()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
                 trim(0)
@@ -53,6 +55,11 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     return _HELD[name]
 
 
+def nothing_held() -> None:
+    """For operators that keep nothing: what another has left in the worker goes."""
+    held("", object)
+
+
 #: Texts whose words are held as Python objects at a time.
 PART_TEXTS = 200
 

@@ -19,8 +19,8 @@ class Rows:
     def __init__(self, index: list[np.ndarray], value: list[np.ndarray]):
         self.length = np.array([len(x) for x in index], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.index = np.concatenate([*index, np.zeros(0, np.int32)]).astype(np.int32)
-        self.value = np.concatenate([*value, np.zeros(0, np.float32)]).astype(np.float32)
+        self.index = np.concatenate([*index, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+        self.value = np.concatenate([*value, np.zeros(0, np.float32)]).astype(np.float32, copy=False)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(self.value * weights.astype(np.float32)[self.index], dtype=np.float64)])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import bind, discard, durable, python_udf, row_key, text_or_empty, whole_row
+from quillvec.llm.common import bind, discard, durable, nothing_held, python_udf, row_key, text_or_empty, whole_row
 
 SENTENCES, PIECES = ".!?", ".!?sn"
 #: Sentence marks of scripts without spaces.
@@ -210,6 +210,7 @@ def arrays_column(text: Column, fields: str, of: Callable[[list[str]], dict[str,
 
     @python_udf(f"struct<{fields}>")
     def column(texts: pd.Series) -> pd.DataFrame:
+        nothing_held()
         return pd.DataFrame(of([t or "" for t in texts]))
 
     return column(text)

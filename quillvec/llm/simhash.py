@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import components, discard, durable, python_udf, row_key, sorted_groups, whole_row
+from quillvec.llm.common import components, discard, durable, nothing_held, python_udf, row_key, sorted_groups, whole_row
 from quillvec.llm.ship import ship
 
 SEED = 42
@@ -76,6 +76,7 @@ def fingerprint_column(text: Column, shingle: int = 4) -> Column:
 
     @python_udf("long")
     def of(texts: pd.Series) -> pd.Series:
+        nothing_held()
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return of(text)
@@ -304,6 +305,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: fl
 
     @python_udf("struct<a: long, b: long>")
     def prints(texts: pd.Series) -> pd.DataFrame:
+        nothing_held()
         return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["a", "b"])
 
     @python_udf("array<long>")

@@ -51,9 +51,9 @@ CHUNK, SLAB = 512, 2 << 20
 #: Bytes before a chunk that a guess at its entry state looks at, and rounds in which every live entry is followed.
 WARM, ROUNDS = 64, 3
 #: Slots of the transition table (8 bytes each), and states (some 400 bytes each) before they are dropped.
-SLOT_BITS, MAX_STATES = 21, 160_000
+SLOT_BITS, MAX_STATES = 21, 130_000
 #: Pairs of tokens that are remembered when the states are dropped.
-MAX_PAIRS = 160_000
+MAX_PAIRS = 130_000
 #: An odd number near 2**64 over the golden ratio, which spreads keys over slots.
 SPREAD = 0x9E3779B97F4A7C15
 

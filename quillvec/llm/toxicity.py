@@ -170,8 +170,8 @@ def rows_of(votes: np.ndarray, stemmed: np.ndarray, n: np.ndarray, words: list[n
     head = 1 + len(VOTERS) + np.arange(DENSE)
     for v, d, w in zip(votes.tolist(), dense, words):
         own = [0, *(1 + k for k in range(len(VOTERS)) if v >> k & 1)]
-        index.append(np.concatenate([own, head, np.asarray(w, np.int64) + 1 + len(VOTERS) + DENSE]))
-        value.append(np.concatenate([np.ones(len(own)), d, np.full(len(w), 0.3 / max(1, len(w)) ** 0.5)]))
+        index.append(np.concatenate([own, head, np.asarray(w, np.int64) + 1 + len(VOTERS) + DENSE]).astype(np.int32))
+        value.append(np.concatenate([np.ones(len(own)), d, np.full(len(w), 0.3 / max(1, len(w)) ** 0.5)]).astype(np.float32))
     return Rows(index, value)
 
 
@@ -307,7 +307,7 @@ def looked(docs: DataFrame, stems: frozenset[int], id_col: str, text_col: str) -
     return durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), of(F.col(text_col)).alias("l")).select("id", "key", "l.*"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, fit_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
     """The model for `docs`, and what was seen of them; labels of the held-out fold are not looked at."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("gold"))
     known = known.where(~held_out(F.col("id")))
@@ -359,4 +359,5 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.concatenate([scores(weights, **look(part, known_words(stems))) for part in parts(texts)]))
 
-    return docs.where(of(F.col(text_col)) < 0.5)
+    # written here, where Python workers get small batches, and not in those of whoever writes the result
+    return durable(docs.where(of(F.col(text_col)) < 0.5))

@@ -878,7 +878,7 @@ def test_token_count_query(spark, library, edges, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("states", [160_000, 1500])
+@pytest.mark.parametrize("states", [130_000, 1500])
 def test_long_words_through_composed_maps(library, monkeypatch, states):
     """Words of many chunks, also where the table of states is dropped on the way."""
     monkeypatch.setattr(token_counts, "MAX_STATES", states)
