@@ -25,6 +25,9 @@ have 128 bits there, a shard holds those that agree in one of many short runs of
 bits, as many runs as a pair at the expected distance needs to meet with a
 probability of `MEET`, and links within the radius are candidates only: the links of
 each shard's closest spanning forest are checked against the whole texts.
+What that leaves out is found by an exact search: sets of shingles in different groups
+that share a shingle of their prefixes, the rarest fifth or so in one order, are
+checked as well.  So groups are those that all pairs give.
 
 Nulls and empty texts have fingerprint zero and are linked like any other; texts of
 any length are read whole.  Repeated rows are returned as often as they come.  An
@@ -253,6 +256,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 #: Probability that a pair at the expected distance meets in a shard; rows that a shard is to have.
 MEET, SHARD = 0.95, 256
 WIDE = 128
+#: Documents whose shingles are counted, and how many of the most common are told apart.
+SAMPLE, COMMON = 2000, 20_000
+#: For products that are whole numbers but for rounding.
+SLACK = 1e-6
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -262,16 +269,48 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(found[k:] for k in range(size)))))
 
 
+def digests(grams: list[bytes]) -> np.ndarray:
+    """128 bits of each distinct shingle, as rows of bytes."""
+    distinct = list(set(grams))
+    return np.frombuffer(b"".join(map(xxhash.xxh128_digest, distinct)), np.uint8).reshape(-1, WIDE // 8)
+
+
+def hashes(found: np.ndarray) -> np.ndarray:
+    """64 bits of each digest, ascending."""
+    return np.unique(found.view(np.int64)[:, 0]) if len(found) else np.zeros(0, np.int64)
+
+
+def majority(found: np.ndarray) -> tuple[int, int]:
+    """The bits set in over half of the digests, as two signed words."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(found), BLOCK):
+        ones += np.unpackbits(found[at : at + BLOCK], axis=1).sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(found)).view(np.int64).tolist())
+
+
 def wide_fingerprint(text: str | None, size: int) -> tuple[int, int]:
     """A SimHash of 128 bits over the set of shingles, as two signed words."""
-    grams = set(shingles(text, size))
-    if not grams:
-        return 0, 0
-    ones, grams = np.zeros(WIDE, np.int64), list(grams)
-    for at in range(0, len(grams), BLOCK):
-        h = np.frombuffer(b"".join(map(xxhash.xxh128_digest, grams[at : at + BLOCK])), np.uint8).reshape(-1, WIDE // 8)
-        ones += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(2 * ones > len(grams)).view(np.int64).tolist())
+    return majority(digests(shingles(text, size)))
+
+
+def described(text: str | None, size: int, least: float, names: np.ndarray, often: np.ndarray) -> tuple[int, int, int, int, np.ndarray, np.ndarray]:
+    """The fingerprint of `text`, a hash of its set of shingles, their number, the prefix of them that texts of similarity `least` share one of, and parities.
+
+    Parities are of the numbers of shingles in classes, a power of two of them, 64 to a word; those of two sets differ in at
+    most as many as the sets do.
+    Shingles of `names` (ascending, not empty) come last, by how `often` they occur; all else is ordered by hash.
+    """
+    found = digests(shingles(text, size))
+    grams = hashes(found)
+    n = len(grams)
+    prefix = grams[: n - math.ceil(least * n - SLACK) + 1]
+    if n and len(names):
+        at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+        rank = np.where(names[at] == grams, often[at], 0)
+        prefix = grams[np.argsort(rank, kind="stable")[: len(prefix)]]
+    classes = max(64, 1 << (2 * n - 1).bit_length()) if n else 64
+    parity = np.packbits(np.bincount(grams & (classes - 1), minlength=classes).astype(np.uint8) & 1).view(np.int64)
+    return *majority(found), xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63), n, prefix, parity
 
 
 def distance_of(least: float) -> float:
@@ -300,42 +339,95 @@ def runs(n: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints `(node, a, b, first)`, `first` their row with the least id, and checked links `(a, b)` of nodes."""
+def common_grams(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> dict[int, int]:
+    """How often the most common shingles (hashes) occur in a bounded sample; it orders prefixes and decides no link."""
 
-    @python_udf("struct<a: long, b: long>")
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        nothing_held()
-        return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["a", "b"])
+    @python_udf("array<long>")
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashes(digests(shingles(t, shingle))) for t in texts], dtype=object)
+
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0).select(grams(F.col(text_col)).alias("h"))
+    counts = sample.select(F.explode_outer("h").alias("h")).where("h is not null").groupBy("h").count().where("count > 2")
+    return {r["h"]: r["count"] for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()}
+
+
+def checked(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """The pairs of `found(a, b)` whose whole texts have the similarity."""
 
     @python_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
-        hashed = ({xxhash.xxh64_intdigest(g) for g in shingles(t, shingle)} for t in texts)
-        return pd.Series([np.fromiter(h, np.uint64, len(h)).view(np.int64) for h in hashed], dtype=object)
+        return pd.Series([hashes(digests(shingles(t, shingle))) for t in texts], dtype=object)
+
+    ends = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "node")
+    rows = durable(nodes.join(ends, "node").select("node", F.col("first.row").alias("row")))
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(rows, "row")
+    known = durable(texts.dropDuplicates(["node"]).select("node", sets(F.col("text")).alias("grams")))
+    pairs = found.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    out = durable(pairs.where(both + SLACK >= least * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    discard(rows, known)
+    return out
+
+
+def prefix_pairs(rooted: DataFrame, least: float) -> DataFrame:
+    """Pairs `(a, b)` of `rooted(node, root, n, prefix, parity)` with different roots, among them all of similarity `least`.
+
+    Sets as similar as that share one of the first `n - ceil(least * n) + 1` shingles of
+    each in any one order, and sizes and the places of the first one shared bound what they can share, and parities
+    bound by how much they differ.
+    """
+    each = rooted.select("node", "root", "n", F.posexplode_outer("prefix").alias("at", "h")).where("h is not null")
+    shared = durable(each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h"))
+    met = durable(each.join(shared, "h"))
+    x, y = (met.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "at")]) for side in "xy")
+    sizes = F.least("x_n", "y_n") + SLACK >= least * F.greatest("x_n", "y_n")
+    places = (1 + least) * F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) + SLACK >= least * (F.col("x_n") + F.col("y_n"))
+    pairs = x.join(y, "h").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & sizes & places)
+    met_pairs = durable(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    a, b = (rooted.select(F.col("node").alias(side), F.struct("n", "parity").alias(f"of_{side}")) for side in "ab")
+    size = F.least(F.size("of_a.parity"), F.size("of_b.parity"))  # the longer is folded; sizes this near differ by a factor of two at most
+    word = lambda side, k: F.coalesce(F.get(F.col(f"of_{side}.parity"), k), F.lit(0).cast("long")).bitwiseXOR(F.coalesce(F.get(F.col(f"of_{side}.parity"), k + size), F.lit(0).cast("long")))
+    apart = F.aggregate(F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.bit_count(word("a", k).bitwiseXOR(word("b", k)))), F.lit(0), lambda s, x: s + x)
+    bounded = met_pairs.join(a, "a").join(b, "b").where((1 + least) * apart <= (1 - least) * (F.col("of_a.n") + F.col("of_b.n")) + SLACK)
+    out = durable(bounded.select("a", "b"))
+    discard(shared, met, met_pairs)
+    return out
+
+
+def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets of shingles `(node, ..., first)`, `first` their row with the least id, and `(node, root)` of those with a link."""
+    common = common_grams(docs, id_col, text_col, shingle)
+    names = np.array(sorted(common), np.int64)
+    often = np.array([common[h] for h in names.tolist()], np.int64)
+
+    @python_udf("struct<a: long, b: long, whole: long, n: int, prefix: array<long>, parity: array<long>>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        nothing_held()
+        return pd.DataFrame([described(t, shingle, least, names, often) for t in texts], columns=["a", "b", "whole", "n", "prefix", "parity"])
 
     marked = durable(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), prints(F.col(text_col)).alias("p")).select("id", "row", "p.*"))
     first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
-    nodes = durable(marked.groupBy("a", "b").agg(F.min(first).alias("first")).select(F.monotonically_increasing_id().alias("node"), "a", "b", "first"))
+    grouped = marked.groupBy("a", "b", "whole", "n").agg(F.min(first).alias("first"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    nodes = durable(grouped.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "prefix", "parity", "first"))
     discard(marked)
     radius = int(distance_of(least) + 1.5 * math.sqrt(distance_of(least) * (1 - distance_of(least) / WIDE)))
     masks = F.array(*[F.struct(F.col("a").bitwiseAND(F.lit(x)).alias("a"), F.col("b").bitwiseAND(F.lit(y)).alias("b")) for x, y in runs(nodes.count(), least)])
     keyed = nodes.select("node", "a", "b", F.posexplode(masks).alias("mask", "bits")).select(F.xxhash64("mask", "bits").alias("part"), "node", "a", "b")
     found = shards(keyed, shard_rows).mapInPandas(searching(["a", "b"], "node", radius), "a long, b long")
     found = durable(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "node")
-    rows = nodes.join(ends, "node").select("node", F.col("first.row").alias("row"))
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(rows, "row")
-    known = durable(texts.dropDuplicates(["node"]).select("node", sets(F.col("text")).alias("grams")))
-    pairs = found.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return nodes, pairs.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+    links = checked(docs, nodes, found, id_col, text_col, shingle, least)
+    rooted = nodes.select("node", "n", "prefix", "parity").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = prefix_pairs(rooted, least)
+    if rest.isEmpty():
+        return nodes, components(links)
+    return nodes, components(links.union(checked(docs, nodes, rest, id_col, text_col, shingle, least)))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, shard_rows: int = 4096) -> DataFrame:
     """`docs` with one document of each group of texts whose sets of shingles have a similarity of `least` or more."""
     ship(docs.sparkSession)
-    nodes, checked = similar(docs, id_col, text_col, shingle, least, shard_rows)
-    found = components(checked)
+    nodes, found = similar(docs, id_col, text_col, shingle, least, shard_rows)
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return only(docs, keepers, id_col, text_col)

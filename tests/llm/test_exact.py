@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -160,6 +161,50 @@ def test_similar_texts_against_all_pairs(docs_of, shard_rows):
     assert want <= got and len(got - want) <= 0.05 * (len(rows) - len(want)) and len(rows) - len(want) > 100
 
 
+def test_links_that_a_forest_leaves_out_are_found(spark, docs_of, monkeypatch):
+    """Links that fail when whole texts are read, and fingerprints that never meet, hide no pair of 0.8 or more."""
+    rng = random.Random(3)
+    rows = []
+    for size in [5, 6, 9, 30, 60, 150, 150, 400, 900]:
+        first = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        rows.append(" ".join(first))
+        for edits in range(1, size // 30 + 2, 1 + size // 200):
+            copy = list(first)
+            for k in rng.sample(range(size), edits):
+                copy[k] = f"v{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+        rows.append(" ".join(first + ["one", "more"] * max(1, size // 40)))
+    rows = list(enumerate(rows))
+    close = {(b, a) for a, x in rows for b, y in rows[:a] if jaccard(x, y) >= 0.8}
+    group = list(range(len(rows)))
+    for a, b in close:
+        group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    want = {i for i in range(len(rows)) if group[i] == i}
+    assert 9 < len(want) < len(rows) - 15
+    left = lambda: sorted(r["doc_id"] for r in simhash.keep_one_similar(docs_of(rows)).collect())
+    assert left() == sorted(want)
+    monkeypatch.setattr(simhash, "runs", lambda n, least: [(-1, -1)])  # only equal fingerprints meet
+    assert left() == sorted(want)
+
+
+def test_prefixes_and_parities_bound_similar_sets():
+    rng = random.Random(5)
+    names = np.array(sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(50)), np.int64)
+    for size in [1, 4, 5, 6, 14, 15, 40, 64, 65, 300]:
+        for _ in range(20):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(size + 4)]
+            other = [f"v{k}" if rng.random() < 0.02 else w for k, w in enumerate(words)]
+            grams = [simhash.hashes(simhash.digests(simhash.shingles(" ".join(w), 5))) for w in (words, other)]
+            common = np.sort(np.concatenate([names, rng.sample(grams[0].tolist(), size // 2)]))
+            x, y = (simhash.described(" ".join(w), 5, 0.8, common, np.arange(3, len(common) + 3)) for w in (words, other))
+            differ = len(set(grams[0].tolist()) ^ set(grams[1].tolist()))
+            if len(x[5]) == len(y[5]):
+                assert np.bitwise_count((x[5] ^ y[5]).view(np.uint64)).sum() <= differ
+            both = len(set(grams[0].tolist()) & set(grams[1].tolist()))
+            if both >= 0.8 * len(set(grams[0].tolist()) | set(grams[1].tolist())):
+                assert set(x[4].tolist()) & set(y[4].tolist())
+
+
 def test_runs_of_bits_cover_a_large_corpus():
     for n in (1, 1000, 10**6, 10**9):
         masks = simhash.runs(n, 0.8)
