@@ -1,25 +1,5 @@
-"""Gives executors this package, wherever the driver found it."""
+"""Gives executors this package; see `quillvec.ship`."""
 
-from __future__ import annotations
+from quillvec.ship import ship
 
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession | None = None) -> None:
-    """Add the package's sources to the application, once."""
-    context = (spark or SparkSession.active()).sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="quillvec-")) / "quillvec_sources.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
+__all__ = ["ship"]
