@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillvec import queries
+from quillvec import queries, store_queries
 from quillvec.catalog import Catalog
 from quillvec.functions import metric as M
 from quillvec.model import InvalidArgument
@@ -123,3 +123,19 @@ def test_field_statistics_match_the_in_memory_form(spark):
 def test_short_vectors_are_not_padded(spark):
     with pytest.raises(Exception, match="mismatch"):
         spark.range(1).select(M.checked(F.array(F.lit(1.0)), 2)).collect()
+
+
+def test_vectors_are_joined_to_the_newest_operations(spark, sf_dir):
+    """What is written to a collection: versions are dropped before vectors join, not after."""
+    plan = store_queries.batches(spark, sf_dir)(0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
+def test_lists_and_centroids_are_not_columns_for_each_list(spark):
+    """The list of a vector is found for a batch at a time, whatever the number of lists."""
+    d = spark.range(8).selectExpr("cast(id AS string) AS id", "array(float(id % 4 = 0), float(id % 4 = 1), float(id % 4 > 1)) AS vector")
+    centroids = ann.fit(d, 3, "cosine")
+    placed = d.withColumn("list", ann.list_of(F.col("vector"), centroids, "cosine"))
+    assert "aggregate" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    lists = {tuple(r["vector"]): r["list"] for r in placed.collect()}
+    assert len(lists) == 3 == len(set(lists.values()))
