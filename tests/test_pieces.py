@@ -139,3 +139,25 @@ def test_lists_and_centroids_are_not_columns_for_each_list(spark):
     assert "aggregate" not in placed._jdf.queryExecution().optimizedPlan().toString()
     lists = {tuple(r["vector"]): r["list"] for r in placed.collect()}
     assert len(lists) == 3 == len(set(lists.values()))
+
+
+def test_jsonl_batches_go_across_splits(spark, tmp_path):
+    """Greedy over each whole file, in splits of a few lines, of less than a batch or of many batches."""
+    rng = np.random.default_rng(2)
+    want = []
+    for name in ("a", "b"):
+        lines = [json.dumps({"id": f"{name}{i:03}", "vector": [1], "metadata": {"t": "x" * int(rng.integers(0, 150))}}) for i in range(120)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+        fill, batch = 1 << 30, want[-1][1] if want else -1
+        for line in lines:
+            fill, batch = (len(line) + 1, batch + 1) if fill + len(line) + 1 > 1000 else (fill + len(line) + 1, batch)
+            want.append((line[8:12], batch))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in (150, 700, 5000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted((r["id"], r["batch"]) for r in read_puts(spark, f"file://{tmp_path}", 1000).collect()) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
