@@ -161,3 +161,16 @@ def test_jsonl_batches_go_across_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_unit_of_the_stream_is_many_files(spark, sf_dir, monkeypatch):
+    """No task writes or reads a whole unit, a unit is still one batch, and what is visible stays the same."""
+    made = []
+    monkeypatch.setattr(store_queries, "STREAM_FILE_ROWS", 40)
+    monkeypatch.setattr(store_queries, "new_path", lambda s, name, f=store_queries.new_path: made.append(f(s, name)) or made[-1])
+    got = queries.QUERIES["store_stream"](spark, sf_dir)
+    want = mvcc.live(queries.log_bytes(spark, sf_dir)).select("id", "metadata")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    source, streamed = (next(p for p in made if f"/{name}-" in p) for name in ("stream", "streamed"))
+    assert len(spark.read.parquet(source).inputFiles()) > 3 * store_queries.UNITS
+    assert len(spark.read.text(f"{streamed}/*/*/commits", recursiveFileLookup=True).inputFiles()) == store_queries.UNITS
